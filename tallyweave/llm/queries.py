@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import media_webp, packing, simhash
 from .shared import table
 
 
@@ -14,5 +14,18 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op8_best_fit_packing": op8_best_fit_packing}
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", simhash.hex_fingerprint(F.col("fp")[0]).alias("fingerprint"), "component_id")
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_webp.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_media_columns": op10_media_columns,
+}
 ORACLES: dict[str, str] = {}
