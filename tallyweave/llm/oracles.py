@@ -1,5 +1,7 @@
 """DuckDB SQL that gives the same rows as the queries, where SQL can express them."""
 
+from . import license_scan
+
 _LINES = """
 lines AS (
   SELECT doc_id, n, line, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS unit
@@ -42,4 +44,4 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN sums s ON d.doc_id = s.doc_id
 """
 
-ORACLES = {"op2_line_dedup": OP2, "op6_substring_dedup": OP6}
+ORACLES = {"op1_license_scan": license_scan.oracle(), "op2_line_dedup": OP2, "op6_substring_dedup": OP6}
