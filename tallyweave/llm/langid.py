@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
@@ -185,20 +185,26 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, lang_pred, score for every row."""
-    sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+def tagger(spark: SparkSession, model: Model):
+    """A column function: text -> struct<lang_pred, score>."""
+    sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def tag(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = _SCORERS.get(key)  # one for each worker and model, which serves many tasks
         if scorer is None:
             _SCORERS.clear()
             scorer = _SCORERS[key] = Scorer(sent.value)
-        for batch in batches:
-            got = [scorer.score(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
+        for texts in parts:
+            yield pd.DataFrame([scorer.score(t) for t in texts], columns=["lang_pred", "score"])
+
+    return tag
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id bigint, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, lang_pred, score for every row."""
+    tag = tagger(docs.sparkSession, model)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tag(F.col(text_col)).alias("tag")).select("doc_id", "tag.lang_pred", "tag.score")
 
 
 def identify(docs: DataFrame, vocabulary_path: str, **settings) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint_log, html_extract, langid, license_scan, line_dedup, media_webp, packing, simhash
+from . import decontaminate, fingerprint_log, html_extract, langid, license_scan, line_dedup, media_webp, packing, pii, simhash
 from .oracles import ORACLES as ORACLES
 from .shared import table
 
@@ -37,6 +37,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint(F.col("fp")[0]).alias("fingerprint"), "component_id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_log.dedup_documents(spark, sf_dir)
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_pii": op5_pii,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,

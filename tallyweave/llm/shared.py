@@ -58,6 +58,13 @@ def attach(docs: DataFrame, side: DataFrame, key: str, weight: str | None = None
     return docs.join(F.broadcast(side) if small else side.hint("shuffle_merge"), key, "left")
 
 
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs but those whose key is in ids(key); the ids are broadcast within the bound, else shuffled."""
+    ids = durable(ids.select(key).distinct())
+    small = ids.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), key, "left_anti").select(*docs.columns)
+
+
 # --- hashing of unit sequences, whole batches at a time (arithmetic modulo 2**64) ---------------
 
 _MULTIPLIERS = {"byte": 0x9E3779B97F4A7C15, "gram": 0xC2B2AE3D27D4EB4F, "window": 0x165667B19E3779F9}
@@ -154,7 +161,7 @@ def winnow(units: np.ndarray, first: np.ndarray, gram: int, window: int):
     return starts, lowest[starts], chosen, grams[chosen]
 
 
-def chunks(doc_ids, texts, limit: int = 2_000_000):
+def chunks(doc_ids, texts, limit: int = 1_000_000):
     """Split a batch by bytes, so that the arrays above stay small; one long text makes a chunk of its own."""
     ids, held, size = [], [], 0
     for doc_id, text in zip(doc_ids, texts):
