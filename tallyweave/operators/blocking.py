@@ -32,8 +32,11 @@ def key_column(records_core: Column, records_address: Column, nation: Column) ->
         "f": F.transform(F.filter(F.slice(told, 1, 3), lambda t: F.length(t) >= 5), lambda t: F.substring(t, 1, 5)),
         "w": F.slice(words, 1, 2),
     }
-    made = [F.transform(F.filter(values, lambda v: v != ""), lambda v, k=kind: F.concat_ws("|", nation, F.lit(k), v)) for kind, values in kinds.items()]
-    return F.array_distinct(F.concat(*made))
+
+    def named(kind: str, values: Column) -> Column:
+        return F.transform(F.filter(values, lambda v: v != ""), lambda v: F.concat_ws("|", nation, F.lit(kind), v))
+
+    return F.array_distinct(F.concat(*[named(kind, values) for kind, values in kinds.items()]))
 
 
 def postings(records: DataFrame, row: str = "row_id") -> DataFrame:
