@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -313,6 +316,28 @@ def country_transfer(spark, sf_dir):
     return spark.createDataFrame([(c, v["macro_f05"], v["queries"]) for c, v in found.items()], "country string, macro_f05 double, queries bigint")
 
 
+def stream_scored(spark, sf_dir):
+    """The queries as a stream of files, scored against the targets in resumable micro-batches."""
+    from ..streaming import scoring
+
+    queries, targets = views.sides(spark, sf_dir)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyweave-stream-")
+    folder = f"{folder}/stream-{uuid.uuid4().hex}"
+    queries.repartitionByRange(4, "row_id").write.parquet(f"{folder}/queries")
+
+    def score(batch: DataFrame) -> DataFrame:
+        top = blocking.top_candidates(views.overlap_pairs(batch, targets), score="p")
+        return top.select("query_id", "row_id", "p", "p2", F.col("rank").cast("bigint").alias("rank"))
+
+    scoring.score_stream(spark, f"{folder}/queries", queries.schema, f"{folder}/scored", score, files_per_batch=2)
+    return scoring.scored(spark, f"{folder}/scored").drop("batch_id")
+
+
+def record_table(spark, sf_dir):
+    """Dense ordinals in entity order, as a stored table has them."""
+    return sources.with_rows(views.records(spark, sf_dir).select("entity_id", "country"), ["entity_id"], "ordinal")
+
+
 # --- SQL ---------------------------------------------------------------------------------------------
 
 _PART = "part_pairs AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part)"
@@ -415,6 +440,8 @@ ORACLES: dict[str, str] = {
     "raw_candidates": f"WITH {sql.PAIRS} SELECT query_id, row_id FROM pairs",
     "raw_candidate_count": f"WITH {sql.PAIRS} SELECT r.row_id AS query_id, count(p.row_id) AS raw_candidates FROM records r LEFT JOIN pairs p ON p.query_id = r.row_id WHERE role = 0 GROUP BY r.row_id",
     "overlap_candidates": f"WITH {sql.SCORED} SELECT query_id, row_id, p, p2, rank FROM top",
+    "stream_scored": f"WITH {sql.SCORED} SELECT query_id, row_id, p, p2, rank FROM top",
+    "record_table": f"WITH {sql.RECORDS} SELECT entity_id, country, row_number() OVER (ORDER BY entity_id) - 1 AS ordinal FROM records",
     "lcs_ratio": f"WITH RECURSIVE {_PART}, {sql.lcs('part_pairs', 'p_partkey')} {_RATIO('ratio')}",
     "token_sort_ratio": f"WITH RECURSIVE {_PART}, sorted_pairs AS (SELECT p_partkey, {_SORTED('a')} AS a, {_SORTED('b')} AS b FROM part_pairs), {sql.lcs('sorted_pairs', 'p_partkey')} {_RATIO('ratio')}",
     "jaro_winkler": f"WITH {_PART} SELECT p_partkey, round(jaro_winkler_similarity(a, b), 6) AS jaro_winkler FROM part_pairs",
@@ -464,6 +491,7 @@ QUERIES = {
         pair_features_full, labelled_pairs, query_f05, macro_f05, metric_report, metric_by_country, threshold_curve, calibrated_threshold, blend_sweep,
         blend_choice, sample_split, source_profile, truth_cardinality, noise_profile, resolve_exclusive, exclusive_scores, owner_conflicts, expected_f05,
         choose_prefix, assembled_matches, assembled_candidates, audit_violations, audit_summary, gbt_scores, feature_importance, country_transfer,
+        stream_scored, record_table,
     )
 }
 QUERIES |= {
