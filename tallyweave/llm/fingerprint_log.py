@@ -148,7 +148,8 @@ def _sieve(hits: DataFrame, log2_bits: int) -> bytes:
 
 
 def _windows(docs: DataFrame, sieve, length: int, gram: int) -> DataFrame:
-    """Windows whose fingerprint the sieve lets through: fp and wh (together 128 bits), doc_id, s, occ."""
+    """Windows whose fingerprint the sieve lets through: fp and wh (together 128 bits), doc_id, s, and mark,
+    a hash of the whole text, so that equal texts have equal places."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = _Sieve(np.frombuffer(sieve.value, np.uint8))
@@ -168,11 +169,11 @@ def _windows(docs: DataFrame, sieve, length: int, gram: int) -> DataFrame:
                         "wh": wh.view(np.int64),
                         "doc_id": np.array(ids, np.int64)[owners],
                         "s": (at - first[owners]).astype(np.int32),
-                        "occ": _places(texts, owners, at, first).view(np.int64),
+                        "mark": np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)[owners],
                     }
                 )
 
-    return docs.mapInPandas(run, "fp bigint, wh bigint, doc_id bigint, s int, occ bigint")
+    return docs.mapInPandas(run, "fp bigint, wh bigint, doc_id bigint, s int, mark bigint")
 
 
 def _covered(spans: DataFrame, length: int) -> DataFrame:
@@ -215,11 +216,17 @@ def dedup(
     marks = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("mark"))
     many = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = marks.join(many, "mark").groupBy("doc_id").agg(F.lit(True).alias("copied"))
-    windows = durable(_windows(docs, sieve, length, gram))
-    seen = windows.groupBy("fp", "wh").agg(F.min("occ").alias("least"), F.max("occ").alias("most"))
-    real = windows.join(seen.filter("least <> most").select("fp", "wh"), ["fp", "wh"]).select("doc_id", "s")
+    # As files they take a fifth of the room that rows take: but for wh the columns repeat.
+    path = scratch_path(spark, "candidate-windows")
+    _windows(docs, sieve, length, gram).write.option("compression", "zstd").parquet(path)
+    windows = spark.read.parquet(path)
+    place = F.xxhash64("mark", "s")
+    seen = windows.groupBy("fp", "wh").agg(F.min(place).alias("least"), F.max(place).alias("most"))
+    repeated = durable(seen.filter("least <> most").select("fp", "wh"))  # apart, so that a frequent window's rows can be split in the join
+    real = windows.join(repeated.hint("shuffle_merge"), ["fp", "wh"]).select("doc_id", "s")
     spans = _covered(real, length)
     side = durable(spans.join(copies, "doc_id", "full_outer").select("doc_id", "spans", "copied", F.coalesce(F.size("spans"), F.lit(0)).alias("n_ends")))
+    remove_path(spark, path)
 
     def keep(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in rows:

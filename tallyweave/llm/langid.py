@@ -19,10 +19,10 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,29 +48,38 @@ def words(text: str | None) -> list[str]:
     return _LETTERS.findall((text or "").lower())
 
 
-def forward(word: str, table: dict[str, tuple[float, ...]], n_languages: int) -> list[float]:
+def with_prefixes(table: dict[str, tuple[float, ...]]) -> dict[str, tuple[float, ...] | None]:
+    """The table and, as None, all prefixes of its pieces: a look-up can stop where nothing goes on."""
+    out: dict[str, tuple[float, ...] | None] = {p[:n]: None for p in table for n in range(1, len(p))}
+    return out | table
+
+
+def forward(word: str, table: dict[str, tuple[float, ...] | None], n_languages: int) -> list[float]:
     """Log-probability of a word in each language, summed over all segmentations."""
     marked = "▁" + word
     size = len(marked)
-    found = [[] for _ in range(size + 1)]
-    for end in range(1, size + 1):
-        for begin in range(max(0, end - LONGEST), end):
-            got = table.get(marked[begin:end])
-            if got is not None:
+    found: list[list] = [[] for _ in range(size + 1)]
+    for begin in range(size):
+        for end in range(begin + 1, min(begin + LONGEST, size) + 1):
+            got = table.get(marked[begin:end], False)
+            if got:
                 found[end].append((begin, got))
+            elif got is False:
+                break
     out = []
     for k in range(n_languages):
-        sums, scale = [1.0], 0.0
-        for end in range(1, size + 1):
-            total = sums[end - 1] * STRAY
-            for begin, got in found[end]:
+        sums, scale, total = [1.0], 0.0, 1.0
+        for arcs in found[1:]:
+            total *= STRAY
+            for begin, got in arcs:
                 total += sums[begin] * got[k]
-            sums.append(total)
             if total < 1e-200:  # keep the live window in range
-                low = max(0, end - LONGEST)
+                low = max(0, len(sums) - LONGEST)
                 sums[low:] = [x / total for x in sums[low:]]
                 scale += math.log(total)
-        out.append(math.log(sums[size]) + scale)
+                total = 1.0
+            sums.append(total)
+        out.append(math.log(total) + scale)
     return out
 
 
@@ -151,35 +160,35 @@ def fit(docs: DataFrame, vocabulary_path: str, docs_per_language: int = 400, wor
 
 
 class Scorer:
-    """Scores texts; words met before are looked up in a table of bounded size."""
+    """Scores texts. Words met before are looked up; when `limit` words are held they become the older
+    half, of which those that are met again move on, so memory is bounded."""
 
-    def __init__(self, model: Model, limit: int = 300_000):
+    def __init__(self, model: Model, limit: int = 250_000):
         self.model, self.limit = model, limit
-        self.new: dict[str, int] = {}
-        self.rows = np.zeros((limit + 1, len(model.languages)))
+        self.table = with_prefixes(model.table)
+        self.new: dict[str, tuple[float, ...]] = {}
+        self.old: dict[str, tuple[float, ...]] = {}
 
     def score(self, text: str | None) -> tuple[str, float]:
         found = words(text)
-        if not found or not self.model.languages:
+        n = len(self.model.languages)
+        if not found or not n:
             return UNDETERMINED, 0.0
-        total = np.zeros(len(self.model.languages))
-        for at in range(0, len(found), self.limit // 2):
-            total += self._sum(found[at : at + self.limit // 2])
-        odds = (total - total.max()) / len(found) ** EVIDENCE
-        shares = np.exp(odds)
-        best = int(np.argmax(total))
-        return self.model.languages[best], float(shares[best] / shares.sum())
-
-    def _sum(self, found: list[str]) -> np.ndarray:
-        new = self.new
-        missing = set(found).difference(new)
-        if len(new) + len(missing) > self.limit:
-            new.clear()
-            missing = set(found)
-        for word in missing:
-            self.rows[len(new)] = forward(word, self.model.table, len(self.model.languages))
-            new[word] = len(new)
-        return self.rows[np.fromiter(map(new.__getitem__, found), np.int64, len(found))].sum(axis=0)
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        counts = Counter(found)
+        totals = [0.0] * n
+        for word, times in counts.items():
+            got = new.get(word)
+            if got is None:
+                got = old.get(word)
+                new[word] = got = tuple(forward(word, self.table, n)) if got is None else got
+            for k in range(n):
+                totals[k] += times * got[k]
+        best = max(range(n), key=totals.__getitem__)
+        shares = [math.exp((t - totals[best]) / len(found) ** EVIDENCE) for t in totals]
+        return self.model.languages[best], 1.0 / sum(shares)
 
 
 _SCORERS: dict[str, Scorer] = {}
