@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import null_ids, whole_id
+
 FOUND = "doc_id bigint, item_id bigint, distance int, start bigint, end bigint"
 _WORD = re.compile(r"[^\W_]+")
 
@@ -181,7 +183,7 @@ def leaks(
 ) -> DataFrame:
     """doc_id, item_id, distance, start, end: each passage of docs(doc_id, text) near an item(item_id, text)."""
     clean = F.udf(normalised, "string")
-    known = items.select(F.col("item_id").cast("bigint").alias("item_id"), clean("text").alias("text")).filter(F.length("text") >= min_chars)
+    known = items.select(whole_id("item_id"), clean("text").alias("text")).filter(F.length("text") >= min_chars)
     spark, out = docs.sparkSession, None
     for block in _blocks(known, block_chars):
         sent = spark.sparkContext.broadcast(block)
@@ -196,6 +198,6 @@ def leaks(
                         rows += [(doc_id, *x[:2], *span) for x, span in zip(got, spans)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "start", "end"])
 
-        found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, FOUND)
+        found = docs.select(whole_id(), F.col(text_col).alias("text")).mapInPandas(run, FOUND)
         out = found if out is None else out.unionByName(found)
-    return out
+    return null_ids(out, "doc_id", "item_id")

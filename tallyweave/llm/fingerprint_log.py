@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import attach, chunks, durable, mixed, range_hashes, remove_path, scratch_path, table, winnow, word_hashes
+from .shared import attach, chunks, durable, mixed, null_ids, range_hashes, remove_path, scratch_path, table, whole_id, winnow, word_hashes
 
 #: k-grams of 15 words: any 35 words in a row hold 21 of them, the least of which is a fingerprint.
 GRAM = 15
@@ -198,7 +198,7 @@ def dedup(
     batches: list[DataFrame], length: int = 35, gram: int = GRAM, log2_bits: int = 26, fan_in: int = 8, keep_text: bool = False, text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of all batches' documents."""
-    batches = [b.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text_col).alias("text")) for b in batches]
+    batches = [b.select(whole_id(), F.col(text_col).alias("text")) for b in batches]
     spark = batches[0].sparkSession
     log = FingerprintLog(spark, scratch_path(spark, "fingerprint-log"), length, gram, fan_in)
     hits = None
@@ -250,7 +250,8 @@ def dedup(
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text)
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
-    return attach(docs, side, "doc_id", "n_ends").select("doc_id", "text", "spans", "copied").mapInPandas(keep, schema)
+    joined = attach(docs, side, "doc_id", "n_ends").select("doc_id", "text", "spans", "copied")
+    return null_ids(joined.mapInPandas(keep, schema))
 
 
 def in_batches(docs: DataFrame, count: int, key: str = "doc_id") -> list[DataFrame]:

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import null_ids, whole_id
+
 # Names of HTML elements by their role, and words of class, id and role attributes.
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -306,5 +308,5 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             texts = [main_text(x, weights) for x in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    source = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.col(html_col).alias("html"))
-    return source.mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint")
+    source = pages.select(whole_id("page_id"), "url", F.col(html_col).alias("html"))
+    return null_ids(source.mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint"), "page_id")

@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,14 +128,15 @@ class Model:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+    """A null id is not held out, and not learnt from either."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, vocabulary_path: str, docs_per_language: int = 400, words_per_language: int = 4000, rounds: int = 2) -> Model:
     """Learn from docs(doc_id, text, lang) that are not held out and have a language."""
     from pyspark.sql import Window
 
-    labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     least = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
     chosen = labelled.select("doc_id", "lang").withColumn("nth", F.row_number().over(least)).filter(F.col("nth") <= docs_per_language)
     # At most docs_per_language ids of each language.
@@ -163,11 +165,14 @@ class Scorer:
     """Scores texts. Words met before are looked up; when `limit` words are held they become the older
     half, of which those that are met again move on, so memory is bounded."""
 
-    def __init__(self, model: Model, limit: int = 250_000):
+    def __init__(self, model: Model, limit: int = 100_000):
         self.model, self.limit = model, limit
         self.table = with_prefixes(model.table)
-        self.new: dict[str, tuple[float, ...]] = {}
-        self.old: dict[str, tuple[float, ...]] = {}
+        self._start({}, np.zeros((0, len(model.languages))))
+
+    def _start(self, old: dict[str, int], old_rows: np.ndarray) -> None:
+        self.old, self.old_rows, self.new = old, old_rows, {}
+        self.rows = np.zeros((1024, len(self.model.languages)))
 
     def score(self, text: str | None) -> tuple[str, float]:
         found = words(text)
@@ -175,20 +180,19 @@ class Scorer:
         if not found or not n:
             return UNDETERMINED, 0.0
         if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        counts = Counter(found)
-        totals = [0.0] * n
-        for word, times in counts.items():
-            got = new.get(word)
-            if got is None:
-                got = old.get(word)
-                new[word] = got = tuple(forward(word, self.table, n)) if got is None else got
-            for k in range(n):
-                totals[k] += times * got[k]
-        best = max(range(n), key=totals.__getitem__)
-        shares = [math.exp((t - totals[best]) / len(found) ** EVIDENCE) for t in totals]
-        return self.model.languages[best], 1.0 / sum(shares)
+            self._start(self.new, self.rows)
+        new, counts = self.new, Counter(found)
+        for word in [w for w in counts if w not in new]:
+            at = self.old.get(word)
+            if len(new) == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[len(new)] = forward(word, self.table, n) if at is None else self.old_rows[at]
+            new[word] = len(new)
+        at = np.fromiter(map(new.__getitem__, counts), np.int64, len(counts))
+        totals = np.fromiter(counts.values(), float, len(counts)) @ self.rows[at]
+        best = int(np.argmax(totals))
+        shares = np.exp((totals - totals[best]) / len(found) ** EVIDENCE)
+        return self.model.languages[best], float(1.0 / shares.sum())
 
 
 _SCORERS: dict[str, Scorer] = {}

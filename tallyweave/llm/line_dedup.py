@@ -9,7 +9,7 @@ stands for, and runs are compared by a hash of all their lines. Of equal runs th
 
 Defined cases: a null text stays null with no lines; an empty text has no units; a text with fewer lines
 than a run is left alone; a run repeated inside a document counts from its second place on; rows with
-the same doc_id and text are one place; an empty table gives no rows; extra columns pass through
+the same doc_id and text are one place; a null doc_id comes before all others; an empty table gives no rows; extra columns pass through
 `deduplicate`, whatever their names.
 """
 
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach, chunks, durable, range_hashes, winnow
+from .shared import attach, chunks, durable, range_hashes, whole_id, winnow
 
 _BLANK = b" \t\n\x0b\x0c\r"
 
@@ -85,10 +85,10 @@ def cut(text: str | None, starts, length: int) -> tuple[str | None, int, int]:
 
 def deduplicate(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`row`, all columns of docs as a struct, and `lines`: struct<text, n_lines, n_removed>."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(whole_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     side = durable(later_runs(texts, gram, window).withColumn("n_starts", F.size("starts")))
     length = gram + window - 1
-    keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(whole_id(id_col).alias("doc_id"), F.struct(*docs.columns).alias("row"))
 
     @F.pandas_udf("text string, n_lines bigint, n_removed bigint")
     def cut_all(text: pd.Series, starts: pd.Series) -> pd.DataFrame:

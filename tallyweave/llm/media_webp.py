@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import null_ids, whole_id
+
 WIDTH, MAX_HEIGHT = 16, 16_384
 
 # Fixed values of the format: order of the code length codes, repeat codes, and the distance map's
@@ -638,4 +640,5 @@ def media_columns(docs: DataFrame, keep_media: bool = False, text_col: str = "te
             names = [c.split()[0] for c in COLUMNS.split(", ")] + ["media"] * keep_media
             yield pd.DataFrame(out, columns=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, COLUMNS + ", media binary" * keep_media)
+    found = docs.select(whole_id(), F.col(text_col).alias("text")).mapInPandas(run, COLUMNS + ", media binary" * keep_media)
+    return null_ids(found)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable
+from .shared import durable, null_ids, whole_id
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 MEMBER = PIECE + ", offset bigint"
@@ -49,7 +49,7 @@ class ChunkIds:
     when `limit` entries are held they become the older half, of which those that are met again move
     on, and the rest goes at the next change."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, tex
                     out.append((doc_id, n, start, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, PIECE)
+    return docs.select(whole_id(), F.col(text_col).alias("text")).mapInPandas(cut, PIECE)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -195,4 +195,5 @@ def pack(
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("sequence_id", F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
+    placed = out.select("sequence_id", F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
+    return null_ids(placed)

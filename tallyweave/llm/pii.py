@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import null_ids, whole_id
+
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL_TAIL = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _EMAIL_HEAD = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -387,4 +389,4 @@ def scan(docs: DataFrame, lead: float = 2.0, text_col: str = "text") -> DataFram
                 rows.append((doc_id, *counts, hashlib.sha256(_line(base).encode()).hexdigest(), _line(every), len(added)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, COLUMNS)
+    return null_ids(docs.select(whole_id(), F.col(text_col).alias("text")).mapInPandas(run, COLUMNS))

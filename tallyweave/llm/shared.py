@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it has at most this many rows and this many array elements.
@@ -15,7 +15,27 @@ BROADCAST_ROWS = 200_000
 BROADCAST_ELEMENTS = 2_000_000
 
 
+#: Stands for a null id inside the operators, so that id columns stay whole numbers; ids come out null again.
+NULL_ID = -(1 << 63)
+
+
+def whole_id(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column).cast("bigint"), F.lit(NULL_ID)).alias(column)
+
+
+def null_ids(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(NULL_ID)) for c in columns or ("doc_id",)})
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows to an Arrow batch than by default (texts are long), unless the session has its own number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,7 +7,7 @@ exclusive-or, and gives its linked members' local components as stars, never all
 
 Defined cases: a null or empty text, or one of white space, has no words and fingerprint zero, linked
 like any other; a text with fewer words than a shingle is one shingle; repeated rows and equal texts
-share a fingerprint; an empty table gives no rows; extra columns are ignored.
+share a fingerprint; a null doc_id counts as the smallest; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import attach, durable
+from .shared import attach, durable, null_ids, whole_id
 
 TILE = 2048
 
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42
             found = [np.array(fingerprint(t, shingle, seeds), np.uint64).view(np.int64) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [x[0] for x in found], "least": [x[1] for x in found]})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id bigint, fp array<bigint>, least array<bigint>")
+    return docs.select(whole_id(), F.col(text_col).alias("text")).mapInPandas(run, "doc_id bigint, fp array<bigint>, least array<bigint>")
 
 
 def _cell(slices: int, width: int, words: int) -> Column:
@@ -154,7 +154,7 @@ def links(reps: DataFrame, radius: int, words: int, slices: int = 4, width: int
     )
 
 
-def near_groups(
+def _groups(
     docs: DataFrame,
     shingle: int = 3,
     radius: int = 2,
@@ -164,7 +164,6 @@ def near_groups(
     by_least: bool = False,
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, fp (array of signed words) and component_id, the smallest doc_id that links reach."""
     found = durable(fingerprints(docs, shingle, seeds, text_col))
     reps = durable(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("least").alias("least")))
     roots = components(links(reps, radius, len(seeds), slices, width, by_least))
@@ -172,9 +171,14 @@ def near_groups(
     return attach(found.select("doc_id", "fp"), durable(named), "fp").select("doc_id", "fp", "component_id")
 
 
+def near_groups(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, fp (array of signed words) and component_id, the smallest doc_id that links reach."""
+    return null_ids(_groups(docs, **settings), "doc_id", "component_id")
+
+
 def surplus(docs: DataFrame, **settings) -> DataFrame:
     """doc_id of all but the first document of each group."""
-    return near_groups(docs, **settings).filter("doc_id <> component_id").select("doc_id")
+    return _groups(docs, **settings).filter("doc_id <> component_id").select("doc_id")
 
 
 #: Near copies by five-word shingles at a similarity of 0.8 or more: two such texts' fingerprints of 256
