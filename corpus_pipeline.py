@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import decontaminate, langid, line_dedup, packing, simhash
-from tallyweave.llm.shared import scratch_path, table, without
+from tallyweave.llm.shared import scratch_path, small_batches, table, without
 
 #: No SQL: the first, third and last stage need trained models, shingle hashes and a tokenizer.
 ORACLE_SQL = None
@@ -19,6 +19,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no letters at all) or with one that is a guess go."""
+    small_batches(spark)
     tag = langid.tagger(spark, langid.fit(docs.select("doc_id", "text", "lang"), public_tokenizers.path("piece_bpe_32k.model")))
     row = F.struct(*docs.columns).alias("row")
     tagged = docs.select(row, tag(F.col("text")).alias("tag"))
@@ -27,6 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of three lines or more are cut out; a text of which nothing is left goes."""
+    small_batches(spark)
     out = line_dedup.deduplicate(docs).filter("lines.n_removed = 0 OR lines.n_removed < lines.n_lines")
     changed = {"text": F.col("lines.text"), "n_chars": F.when(F.col("lines.n_removed") > 0, F.length("lines.text")).otherwise(F.col("row.n_chars"))}
     return out.select(*[changed.get(c, F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
@@ -34,17 +36,20 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: first of groups by the narrow radius, then of near copies."""
+    small_batches(spark)
     docs = without(docs, simhash.surplus(docs.select("doc_id", "text")))
     return without(docs, simhash.surplus(docs.select("doc_id", "text"), **simhash.SIMILAR))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
+    small_batches(spark)
     found = decontaminate.leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return without(docs, found.select("doc_id"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
