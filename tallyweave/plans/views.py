@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Prepared queries (role 0) and targets (roles 1 and 2)."""
-    every = prepared(records(spark, sf_dir))
+    """Prepared queries (role 0) and targets (roles 1 and 2).
+
+    Records are prepared once: the narrow derived table is kept (memory, then disk) for all its uses in a
+    query and for later queries over the same files; a lost block is computed again."""
+    every = prepared(records(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
     return every.filter("role = 0"), every.filter("role > 0")
 
 
