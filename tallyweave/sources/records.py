@@ -7,6 +7,7 @@ import hashlib
 import json
 import os
 import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,6 +43,14 @@ def read_truth(spark: SparkSession, root: str) -> DataFrame:
     return read_tsv(spark, f"{root}/train/train_ground_truth.tsv", TRUTH)
 
 
+def durable(frame: DataFrame) -> DataFrame:
+    """frame computed once, its rows in the shared checkpoint folder; a temporary one only where none is named."""
+    context = frame.sparkSession.sparkContext
+    if not frame.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyweave-checkpoints-"))
+    return frame.checkpoint(eager=True)
+
+
 def with_rows(frame: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
     """Dense ordinals from 0 by `order`, without gathering all rows in one task.
 
@@ -49,7 +58,7 @@ def with_rows(frame: DataFrame, order: list[str], name: str = "row_id") -> DataF
     each, give the offsets."""
     dealt = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     local = dealt.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    local = local.checkpoint() if frame.sparkSession.conf.get("spark.checkpoint.dir", None) else local
+    local = durable(local)  # both uses below must see the same partitions
     sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
     return local.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before", "_n")
