@@ -90,20 +90,23 @@ def chains(item: str, budget: int) -> list[tuple[int, str, list]]:
 
 
 def passages(item: str, text: str, budget: int) -> list[tuple[int, int, int]]:
-    """(distance, start, end) of passages within the budget that do not overlap, nearest first kept."""
-    out, at = [], 0
-    while True:
-        scores = myers(item, text[at:])
-        best = min(scores, default=budget + 1)
-        if best > budget:
-            return out
-        end = scores.index(best) + 1
-        back = myers(item[::-1], text[at : at + end][::-1])
-        start = end - (back.index(min(back)) + 1)
-        if start > len(item):  # another passage may lie before
-            out += [(d, at + s, at + e) for d, s, e in passages(item, text[at : at + start], budget)]
-        out.append((best, at + start, at + end))
-        at += end
+    """(distance, start, end) of passages within the budget that do not overlap, from left to right, each
+    with the nearest end of its neighbourhood. One pass over the text, and one back over each passage."""
+    scores, backwards = myers(item, text), item[::-1]
+    masks, out, free, at = _masks(backwards), [], 0, 0
+    while at < len(scores):
+        if scores[at] > budget:
+            at += 1
+            continue
+        near = scores[at : at + 2 * budget + 1]
+        end = at + near.index(min(near)) + 1
+        back = myers(backwards, text[max(free, end - len(item) - budget) : end][::-1], masks)
+        distance = min(back, default=budget + 1)
+        if distance <= budget:
+            out.append((distance, end - back.index(distance) - 1, end))
+            free = end
+        at = end
+    return out
 
 
 class Matcher:
