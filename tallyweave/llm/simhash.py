@@ -22,21 +22,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import attach, durable, null_ids, whole_id
+from .shared import attach, durable, mixed, null_ids, whole_id
 
 TILE = 2048
 
 
+def _grams(text: str | None, shingle: int) -> list[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) <= shingle:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[k:] for k in range(shingle)))))
+
+
 def fingerprint(text: str | None, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """The 64-bit fingerprints of a text, one for each hash seed (a bit is set if over half the
     shingles' hashes have it), and the least hash of each seed."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    grams = _grams(text, shingle)
+    if not grams:
         return (0,) * len(seeds), (0,) * len(seeds)
-    if len(words) <= shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = list(map(b" ".join, zip(*(words[k:] for k in range(shingle)))))
     out, least = [], []
     for seed in seeds:
         digests = [xxhash.xxh64_digest(g, seed) for g in grams]
@@ -114,10 +117,10 @@ def tile_stars(a: np.ndarray, b: np.ndarray | None, a_ids: np.ndarray, b_ids: np
 
 
 def links(reps: DataFrame, radius: int, words: int, slices: int = 4, width: int = 1, by_least: bool = False) -> DataFrame:
-    """Stars (u, v) over reps(rep, fp, least), whose fingerprints are all different.
+    """Stars (u, v) over reps(rep, fp) or, by_least, reps(rep, fp, least).
 
-    by_least: cells are the least shingle hashes instead, one for each seed. Texts of similarity s share
-    one of them but for a chance of (1 - s) ** seeds; this spares most pairs where the radius is wide."""
+    by_least: cells are the least shingle hashes instead. Texts of similarity s share
+    one of n of them but for a chance of (1 - s) ** n; this spares most pairs where the radius is wide."""
     if by_least:
         placed = reps.select("rep", "fp", F.posexplode("least").alias("k", "hash")).withColumn("cell", F.array(F.col("k").cast("bigint"), "hash"))
         counted = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -161,12 +164,11 @@ def _groups(
     seeds: tuple[int, ...] = (42,),
     slices: int = 4,
     width: int = 1,
-    by_least: bool = False,
     text_col: str = "text",
 ) -> DataFrame:
     found = durable(fingerprints(docs, shingle, seeds, text_col))
-    reps = durable(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("least").alias("least")))
-    roots = components(links(reps, radius, len(seeds), slices, width, by_least))
+    reps = durable(found.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    roots = components(links(reps, radius, len(seeds), slices, width))
     named = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return attach(found.select("doc_id", "fp"), durable(named), "fp").select("doc_id", "fp", "component_id")
 
@@ -176,14 +178,146 @@ def near_groups(docs: DataFrame, **settings) -> DataFrame:
     return null_ids(_groups(docs, **settings), "doc_id", "component_id")
 
 
-def surplus(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id of all but the first document of each group."""
-    return _groups(docs, **settings).filter("doc_id <> component_id").select("doc_id")
+def shingle_set(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's different shingles, in order."""
+    digests = b"".join(xxhash.xxh64_digest(g, seed) for g in set(_grams(text, shingle)))
+    return np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
+
+
+def set_hash(held: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(held.tobytes()) - (1 << 63)
+
+
+def sketch(text: str | None, shingle: int, seeds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Of a text's set of shingles the fingerprints, two least hashes a seed, its size and its hash."""
+    grams = list(set(_grams(text, shingle)))
+    fp, least, held = np.zeros(len(seeds), np.uint64), np.zeros(2 * len(seeds), np.uint64), np.empty(0, np.uint64)
+    for k, seed in enumerate(seeds if grams else ()):
+        raw = np.frombuffer(b"".join(xxhash.xxh64_digest(g, seed) for g in grams), np.uint8).reshape(-1, 8)
+        hashes = raw.reshape(-1).view(">u8").astype(np.uint64)
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(raw), 1 << 16):
+            counts += np.unpackbits(raw[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+        fp[k] = int.from_bytes(np.packbits(counts * 2 > len(grams)).tobytes(), "big")
+        least[2 * k], least[2 * k + 1] = hashes.min(), mixed(hashes).min()
+        held = np.unique(hashes) if k == 0 else held
+    return fp.view(np.int64), least.view(np.int64), len(held), set_hash(held)
+
+
+def verified_stars(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], n_left: int, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Stars (member, least member) of the links whose sets have the Jaccard similarity. The first n_left
+    are met with the others, or with each other if they are all; pairs already connected are spared."""
+    sizes = np.array([len(x) for x in sets])
+    right = slice(0, None) if n_left == len(ids) else slice(n_left, None)
+    a, b = fps[:n_left], fps[right]
+    far = sum(np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :]).astype(np.uint16) for k in range(fps.shape[1]))
+    small, large = np.minimum(sizes[:n_left, None], sizes[right][None, :]), np.maximum(sizes[:n_left, None], sizes[right][None, :])
+    near = (far <= radius) & (small >= similarity * large - 1e-9)
+    if n_left == len(ids):
+        near = np.triu(near, 1)
+    parent = list(range(len(ids)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    shift = right.start
+    for i, j in np.argwhere(near).tolist():
+        u, v = root(i), root(j + shift)
+        if u != v:
+            x, y = sets[i], sets[j + shift]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if common >= similarity * (len(x) + len(y) - common) - 1e-9:
+                parent[v] = u
+    least: dict[int, int] = {}
+    for n in range(len(ids)):
+        r = root(n)
+        least[r] = min(least.get(r, int(ids[n])), int(ids[n]))
+    return [(int(ids[n]), least[root(n)]) for n in range(len(ids)) if int(ids[n]) != least[root(n)]]
+
+
+#: At most so many texts and, but for a single larger text, about so many shingles to a tile of sets.
+SET_ROWS, SET_SHINGLES = 512, 1 << 14
+
+
+def verified_links(members: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
+    """Stars (u, v) over members(rep, fp, least, size, grams): pairs that share a least hash and whose sets
+    have the similarity."""
+    placed = members.select("rep", "fp", "size", "grams", F.posexplode("least").alias("k", "hash")).withColumn("cell", F.array(F.col("k").cast("bigint"), "hash"))
+    # Counted without the sets.
+    slim = members.select("size", F.posexplode("least").alias("k", "hash")).withColumn("cell", F.array(F.col("k").cast("bigint"), "hash"))
+    counted = slim.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).filter("n > 1")
+    cells = counted.select("cell", F.greatest(F.ceil(F.col("n") / SET_ROWS), F.ceil(F.col("total") / SET_SHINGLES)).cast("int").alias("n_tiles"))
+    dealt = placed.join(cells, "cell").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("n_tiles")).cast("int"))
+    held = dealt.groupBy("cell", "tile").agg(F.collect_list(F.struct("rep", "fp", "size", "grams")).alias("held"))
+    pick = lambda name: F.transform("held", lambda x: x[name])
+    tiles = durable(held.select("cell", "tile", pick("rep").alias("ids"), F.flatten(pick("fp")).alias("fps"), pick("size").alias("sizes"), F.flatten(pick("grams")).alias("grams")))
+    parts = ("ids", "fps", "sizes", "grams")
+    left = tiles.select("cell", F.col("tile").alias("a_tile"), *[F.col(c).alias(f"a_{c}") for c in parts])
+    right = tiles.select("cell", F.col("tile").alias("b_tile"), *[F.col(c).alias(f"b_{c}") for c in parts])
+    pairs = left.join(right.hint("shuffle_merge"), "cell").filter("a_tile <= b_tile")
+    same = F.col("a_tile") == F.col("b_tile")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                sides = [(row.a_ids, row.a_fps, row.a_sizes, row.a_grams)] + ([] if row.same else [(row.b_ids, row.b_fps, row.b_sizes, row.b_grams)])
+                if row.same and len(row.a_ids) == 1:
+                    continue
+                ids = np.concatenate([x[0] for x in sides])
+                fps = np.concatenate([x[1] for x in sides]).view(np.uint64).reshape(-1, words)
+                sets = [y for x in sides for y in np.split(np.asarray(x[3]), np.cumsum(x[2])[:-1])]
+                out += verified_stars(ids, fps, sets, len(row.a_ids), radius, similarity)
+            yield pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    columns = ["same", *[f"a_{c}" for c in parts], *[F.when(~F.col("same"), F.col(f"b_{c}")).alias(f"b_{c}") for c in parts]]
+    return pairs.withColumn("same", same).select(*columns).mapInPandas(compare, "u bigint, v bigint")
+
+
+def _similar_groups(docs: DataFrame, similarity: float, shingle: int, radius: int, seeds: tuple[int, ...], text_col: str = "text") -> DataFrame:
+    """doc_id and component_id by links of texts whose sets of shingles have the Jaccard similarity.
 
+    Candidates share one of two least hashes a seed, which two texts of similarity s miss with a chance of
+    (1 - s) ** (2 * seeds), and lie within a wide radius; every link is verified on the sets."""
+    texts = docs.select(whole_id(), F.col(text_col).alias("text"))
 
-#: Near copies by five-word shingles at a similarity of 0.8 or more: two such texts' fingerprints of 256
-#: bits differ in 39 bits on average (the angle of a cosine of 2s / (1 + s)), with a deviation of 6.
-SIMILAR = {"shingle": 5, "radius": 48, "seeds": (42, 43, 44, 45), "by_least": True}
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [sketch(t, shingle, seeds) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"]} | {name: [x[k] for x in found] for k, name in enumerate(("fp", "least", "size", "same"))})
+
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch["text"]]
+            yield pd.DataFrame({"rep": batch["doc_id"], "same": [set_hash(x) for x in sets], "grams": [x.view(np.int64) for x in sets]})
+
+    found = durable(texts.mapInPandas(sketched, "doc_id bigint, fp array<bigint>, least array<bigint>, size int, same bigint"))
+    # Equal sets are one node, so that a large group of copies is met once.
+    reps = durable(found.groupBy("same").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("fp", "least", "size")]).filter("size > 0"))
+    near = links(reps, radius, len(seeds), by_least=True)
+    nodes = durable(near.select(F.explode(F.array("u", "v")).alias("rep")).distinct())
+    wanted = nodes.withColumn("wanted", F.lit(True)).withColumnRenamed("rep", "doc_id")
+    sets = attach(texts, wanted, "doc_id").filter("wanted").select("doc_id", "text").mapInPandas(gathered, "rep bigint, same bigint, grams array<bigint>")
+    members = durable(reps.join(sets, ["rep", "same"]).dropDuplicates(["rep", "same"]))
+    roots = components(verified_links(members, len(seeds), radius, similarity))
+    firsts = found.groupBy("same").agg(F.min("doc_id").alias("rep"))
+    named = firsts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("component_id"))
+    return attach(found.select("doc_id", "same"), durable(named), "same").select("doc_id", "component_id")
+
+
+def surplus(docs: DataFrame, similarity: float | None = None, **settings) -> DataFrame:
+    """doc_id of all but the first document of each group; by verified similarity if one is given."""
+    groups = _groups(docs, **settings) if similarity is None else _similar_groups(docs, similarity, **settings)
+    return groups.filter("doc_id <> component_id").select("doc_id")
+
+
+#: Near copies by sets of five-word shingles at a Jaccard similarity of 0.8 or more. Two such sets'
+#: fingerprints of 256 bits differ in 39 bits on average (the angle of a cosine of 2s / (1 + s)), with a
+#: deviation of 6, so the radius spares comparisons and decides nothing.
+SIMILAR = {"similarity": 0.8, "shingle": 5, "radius": 80, "seeds": (42, 43, 44, 45)}
 
 
 def hex_fingerprint(fp: Column) -> Column:

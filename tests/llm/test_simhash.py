@@ -82,3 +82,23 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert m.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_similarity_is_verified(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(15):
+        words = [word() for _ in range(120)]
+        for changes in (0, 1, 2, 3, 5, 7, 9):
+            copy = list(words)
+            for k in range(changes):
+                copy[6 + 12 * k] = word()
+            texts.append(" ".join(copy))
+    noise = "same old words again here " * 400
+    texts += [noise + " ".join(word() for _ in range(60)) for _ in range(5)] + [texts[0]] * 2 + [None, "", "one two"]
+    sets = [set(m.shingle_set(t, 5).tolist()) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    roots = union(range(len(texts)), near)
+    dropped = {r["doc_id"] for r in m.surplus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **m.SIMILAR).collect()}
+    assert dropped == {i for i in roots if roots[i] != i}
