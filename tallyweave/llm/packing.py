@@ -1,8 +1,10 @@
-"""Best-fit packing: hierarchical residual packing of token pieces into fixed-length sequences.
+"""Best-fit packing of token pieces into fixed-length sequences, over the whole table at once.
 
-Each partition packs its pieces best-fit (longest first) and emits the bins that are nearly full;
-the underfull bins go on as items to a round with fewer partitions, up to the root. A bin carries its
-members, so no round needs a join.
+Each partition, a leaf, cuts its texts into pieces and counts them by length; the counts are summed over
+nodes of leaves up to the root. Pieces of one length stand for each other, so the root packs the classes of
+lengths best-fit (longest first), which is what packing the pieces one by one would give, and whose
+work is bounded by the capacity, not by the table. Down the same tree each leaf learns the rank of its first piece
+of each length, which gives every piece its sequence and offset. No bin is closed before all pieces are known.
 
 Defined cases: a null or empty text is the end token alone; a text longer than the capacity is cut
 into capacity-long pieces, the last one shorter; repeated rows are packed as often as they occur;
@@ -18,14 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import durable, null_ids, whole_id
+from .shared import attach, durable, null_ids, whole_id
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-MEMBER = PIECE + ", offset bigint"
-BIN = f"closed boolean, sequence_id bigint, filled int, members array<struct<{MEMBER}>>"
+PLACED = PIECE + ", sequence_id bigint, offset bigint"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -97,10 +98,12 @@ def chunk_ids(path: str) -> ChunkIds:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, its partition (leaf) and its rank among the
+    leaf's pieces of the same length."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, end = chunk_ids(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        leaf, met = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -108,10 +111,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, tex
                 total = len(ids) // 4
                 for n, start in enumerate(range(0, total, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
-                    out.append((doc_id, n, start, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    length = len(part) // 4
+                    out.append((doc_id, n, start, length, zlib.crc32(part), leaf, met[length]))
+                    met[length] += 1
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "leaf", "nth"])
 
-    return docs.select(whole_id(), F.col(text_col).alias("text")).mapInPandas(cut, PIECE)
+    return docs.select(whole_id(), F.col(text_col).alias("text")).mapInPandas(cut, PIECE + ", leaf int, nth bigint")
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -141,30 +146,51 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _packer(level: int, capacity: int, nearly_full: int, carry: int, last: bool):
-    """mapInPandas body: items (filled, members) of a partition -> bins, closed or to be carried on.
+def place_classes(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Best fit over classes of equally long pieces, as best_fit packs them one by one: entries
+    (length, first rank, first sequence, offset), and the number of sequences.
 
-    At most `carry` underfull bins, the emptiest, go on; the others are closed as they are, so the
-    work of the rounds above is bounded."""
+    The pieces of a length are ranked; from an entry's first rank on, each next one goes into the next
+    sequence. Bins with the same filling are one group, so the work depends on the lengths that occur
+    and not on the pieces."""
+    entries: list[tuple[int, int, int, int]] = []
+    groups: dict[int, list[tuple[int, int]]] = {}  # by room: (first sequence, how many)
+    rooms, total = 0, 0
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = [(int(filled), members) for batch in batches for filled, members in zip(batch["filled"], batch["members"])]
-        items.sort(key=lambda x: (-x[0], x[1][0]["doc_id"], x[1][0]["piece"]))
-        packed = best_fit([x[0] for x in items], capacity)
-        fill = [sum(items[i][0] for i in b) for b in packed]
-        keep = set() if last else {b for b in sorted(range(len(packed)), key=fill.__getitem__)[:carry] if fill[b] < nearly_full}
-        base = (level << 56) | (TaskContext.get().partitionId() << 28)
-        for at in range(0, len(packed), 2000):
-            rows = []
-            for b in range(at, min(at + 2000, len(packed))):
-                members, offset = [], 0
-                for m in (m for i in packed[b] for m in items[i][1]):
-                    members.append(m | {"offset": offset})
-                    offset += m["length"]
-                rows.append((b not in keep, base + b, fill[b], members))
-            yield pd.DataFrame(rows, columns=["closed", "sequence_id", "filled", "members"])
+    def hold(room: int, first: int, n: int) -> None:
+        nonlocal rooms
+        if room and n:
+            groups.setdefault(room, []).append((first, n))
+            rooms |= 1 << room
 
-    return run
+    for need in sorted(counts, reverse=True):
+        rank, left = 0, counts[need]
+        while left:
+            fit = rooms >> need
+            if fit:
+                room = need + (fit & -fit).bit_length() - 1
+                first, n = groups[room].pop()
+                if not groups[room]:
+                    rooms &= ~(1 << room)
+            else:
+                room, first = capacity, total
+                n = -(-left // (capacity // need))
+                total += n
+            # Each bin of the group is filled up before the next: whole ones, then at most one in part.
+            each = room // need
+            whole = min(n, left // each)
+            for k in range(each if whole else 0):
+                entries.append((need, rank + k * whole, first, capacity - room + k * need))
+            hold(room - each * need, first, whole)
+            rank, left = rank + each * whole, left - each * whole
+            if whole < n:
+                for k in range(left):
+                    entries.append((need, rank + k, first + whole, capacity - room + k * need))
+                part = 1 if left else 0
+                hold(room - left * need, first + whole, part)
+                hold(room, first + whole + part, n - whole - part)
+                left = 0
+    return entries, total
 
 
 def pack(
@@ -172,28 +198,30 @@ def pack(
     tokenizer_path: str,
     capacity: int = 4096,
     end_id: int = 1,
-    nearly_full: float = 0.995,
-    carry: int = 20_000,
     fan_in: int = 16,
     text_col: str = "text",
 ) -> DataFrame:
     """Pack docs(doc_id, text): one row per piece with its place (sequence_id, offset)."""
-    items = pieces(docs, tokenizer_path, capacity, end_id, text_col).select(
-        F.col("length").cast("int").alias("filled"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("bigint").alias("offset"))).alias("members")
-    )
-    wide, level, done = None, 0, []
-    while True:
-        width = items.rdd.getNumPartitions() if wide is None else wide
-        last = width <= 1
-        rule = _packer(level, capacity, int(capacity * nearly_full), carry, last)
-        bins = durable(items.mapInPandas(rule, BIN))
-        done.append(bins.filter("closed"))
-        if last:
-            break
-        level, wide = level + 1, -(-width // fan_in)
-        items = bins.filter("NOT closed").select("filled", "members").coalesce(wide)
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    placed = out.select("sequence_id", F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
-    return null_ids(placed)
+    held = durable(pieces(docs, tokenizer_path, capacity, end_id, text_col))
+    leaves = held.groupBy("leaf", "length").agg(F.count(F.lit(1)).alias("n"))
+    # A leaf's first rank: the pieces of the length in the nodes before its own, and in its own node before it.
+    leaves = durable(leaves.withColumn("node", F.floor(F.col("leaf") / fan_in)))
+    nodes = leaves.groupBy("node", "length").agg(F.sum("n").alias("n"))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    above = nodes.select("node", "length", F.coalesce(F.sum("n").over(before("length", "node")), F.lit(0)).alias("above"))
+    own = leaves.withColumn("own", F.coalesce(F.sum("n").over(before("length", "node", "leaf")), F.lit(0)))
+    firsts = durable(own.join(above, ["node", "length"]).select("leaf", "length", (F.col("above") + F.col("own")).alias("first")))
+    counts = {r["length"]: r["n"] for r in nodes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    entries, _ = place_classes(counts, capacity)
+    table = np.array(sorted(entries), np.int64).reshape(-1, 4)
+    sent = docs.sparkSession.sparkContext.broadcast(((table[:, 0] << 44) + table[:, 1], table))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, rows = sent.value
+        for batch in batches:
+            rank = batch["first"].to_numpy(np.int64) + batch["nth"].to_numpy(np.int64)
+            found = rows[np.searchsorted(keys, (batch["length"].to_numpy(np.int64) << 44) + rank, side="right") - 1]
+            yield batch.drop(columns=["nth", "first"]).assign(sequence_id=found[:, 2] + rank - found[:, 1], offset=found[:, 3])
+
+    ranked = attach(held, firsts, ["leaf", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "nth", "first")
+    return null_ids(ranked.mapInPandas(place, PLACED))

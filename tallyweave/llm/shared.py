@@ -66,7 +66,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def attach(docs: DataFrame, side: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+def attach(docs: DataFrame, side: DataFrame, key: str | list[str], weight: str | None = None) -> DataFrame:
     """docs left-joined to side (one row per key at most; already durable).
 
     The side is broadcast if its rows and the sum of `weight` are within the bounds above, so that

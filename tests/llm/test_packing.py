@@ -51,3 +51,33 @@ def test_pack(spark):
         assert at <= 64
     assert len(by) <= -(-total // 64) * 1.02 + 1
     assert m.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_classes_are_packed_like_pieces():
+    rng = random.Random(4)
+    for _ in range(300):
+        capacity = rng.randrange(1, 60)
+        lengths = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(0, 150))]
+        entries, total = m.place_classes({x: lengths.count(x) for x in set(lengths)}, capacity)
+        assert total == len(m.best_fit(lengths, capacity))
+        held = {}
+        for length in set(lengths):
+            own = sorted(e for e in entries if e[0] == length)
+            for rank in range(lengths.count(length)):
+                _, first, sequence, offset = max(e for e in own if e[1] <= rank)
+                held.setdefault(sequence + rank - first, []).append((offset, length))
+        assert set(held) == set(range(total))
+        for parts in held.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= capacity
+
+
+def test_long_and_short_texts_apart(spark):
+    # Texts a little over half the capacity in the first partitions, short ones in the last.
+    rows = [(n, "cat " * (35 if n < 300 else 3)) for n in range(300 + 300 * 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id")
+    got = m.pack(docs, PATH, capacity=64, fan_in=3).select("sequence_id", "length").collect()
+    assert len({r["sequence_id"] for r in got}) == -(-sum(r["length"] for r in got) // 64)
