@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import decontaminate, langid, line_dedup, packing, simhash
-from tallyweave.llm.shared import scratch_path, small_batches, table, without
+from tallyweave.llm.shared import numbered, scratch_path, small_batches, table, text_mark, without
 
 #: No SQL: the first, third and last stage need trained models, shingle hashes and a tokenizer.
 ORACLE_SQL = None
@@ -37,15 +37,20 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: first of groups by the narrow radius, then of near copies."""
     small_batches(spark)
-    docs = without(docs, simhash.surplus(docs.select("doc_id", "text")))
-    return without(docs, simhash.surplus(docs.select("doc_id", "text"), **simhash.SIMILAR))
+    columns, ids = docs.columns, F.col("row_number").alias("doc_id")
+    docs = numbered(docs)  # rows without an id, or with one that others have, are rows of their own
+    for settings in ({}, simhash.SIMILAR):
+        gone = simhash.surplus(docs.select(ids, "text"), **settings)
+        docs = without(docs, gone.select(F.col("doc_id").alias("row_number")), "row_number")
+    return docs.select(columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     small_batches(spark)
-    found = decontaminate.leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return without(docs, found.select("doc_id"))
+    marked = docs.withColumn("mark", text_mark())  # a leak lies in the text, whatever its id
+    found = decontaminate.leaks(marked.select(F.col("mark").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(marked, found.select(F.col("doc_id").alias("mark")), "mark").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

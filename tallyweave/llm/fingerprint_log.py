@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import attach, chunks, durable, mixed, null_ids, range_hashes, remove_path, scratch_path, table, whole_id, winnow, word_hashes
+from .shared import attach, chunks, durable, mixed, null_ids, range_hashes, remove_path, scratch_path, table, text_mark, whole_id, winnow, word_hashes
 
 #: k-grams of 15 words: any 35 words in a row hold 21 of them, the least of which is a fingerprint.
 GRAM = 15
@@ -149,12 +149,12 @@ def _sieve(hits: DataFrame, log2_bits: int) -> bytes:
 
 def _windows(docs: DataFrame, sieve, length: int, gram: int) -> DataFrame:
     """Windows whose fingerprint the sieve lets through: fp and wh (together 128 bits), doc_id, s, and mark,
-    a hash of the whole text, so that equal texts have equal places."""
+    the hash of the whole text, so that equal texts have equal places."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = _Sieve(np.frombuffer(sieve.value, np.uint8))
         for batch in batches:
-            for ids, texts in chunks(batch["doc_id"], batch["text"]):
+            for ids, texts in chunks(zip(batch["doc_id"], batch["mark"]), batch["text"]):
                 units, first = word_hashes(texts)
                 starts, fps, _, _ = winnow(units, first, gram, length - gram + 1)
                 pick = held.holds(fps)
@@ -163,13 +163,14 @@ def _windows(docs: DataFrame, sieve, length: int, gram: int) -> DataFrame:
                     continue
                 wh = range_hashes(units, at, at + length, "window")
                 owners = np.searchsorted(first, at, side="right") - 1
+                doc_id, mark = np.array(ids, np.int64).reshape(-1, 2)[owners].T
                 yield pd.DataFrame(
                     {
                         "fp": fps.view(np.int64),
                         "wh": wh.view(np.int64),
-                        "doc_id": np.array(ids, np.int64)[owners],
+                        "doc_id": doc_id,
                         "s": (at - first[owners]).astype(np.int32),
-                        "mark": np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)[owners],
+                        "mark": mark,
                     }
                 )
 
@@ -177,28 +178,28 @@ def _windows(docs: DataFrame, sieve, length: int, gram: int) -> DataFrame:
 
 
 def _covered(spans: DataFrame, length: int) -> DataFrame:
-    """Window starts of each document merged into spans [from, to) of words: one row a document."""
+    """Window starts of each document merged into spans [from, to) of words: one row for each doc_id and mark."""
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, starts in zip(batch["doc_id"], batch["starts"]):
+            for doc_id, mark, starts in zip(batch["doc_id"], batch["mark"], batch["starts"]):
                 s = np.unique(np.asarray(starts))
                 cut = np.flatnonzero(np.diff(s) > length)
                 begin = s[np.concatenate([[0], cut + 1])]
                 end = s[np.concatenate([cut, [len(s) - 1]])] + length
-                out.append((doc_id, np.stack([begin, end], axis=1).reshape(-1).astype(np.int32)))
-            yield pd.DataFrame(out, columns=["doc_id", "spans"])
+                out.append((doc_id, mark, np.stack([begin, end], axis=1).reshape(-1).astype(np.int32)))
+            yield pd.DataFrame(out, columns=["doc_id", "mark", "spans"])
 
     # One document's windows are at most its own words.
-    return spans.groupBy("doc_id").agg(F.collect_list("s").alias("starts")).mapInPandas(merge, "doc_id bigint, spans array<int>")
+    return spans.groupBy("doc_id", "mark").agg(F.collect_list("s").alias("starts")).mapInPandas(merge, "doc_id bigint, mark bigint, spans array<int>")
 
 
 def dedup(
     batches: list[DataFrame], length: int = 35, gram: int = GRAM, log2_bits: int = 26, fan_in: int = 8, keep_text: bool = False, text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of all batches' documents."""
-    batches = [b.select(whole_id(), F.col(text_col).alias("text")) for b in batches]
+    batches = [b.select(whole_id(), text_mark(text_col), F.col(text_col).alias("text")) for b in batches]
     spark = batches[0].sparkSession
     log = FingerprintLog(spark, scratch_path(spark, "fingerprint-log"), length, gram, fan_in)
     hits = None
@@ -213,9 +214,9 @@ def dedup(
     for batch in batches[1:]:
         docs = docs.unionByName(batch)
     # Copies of whole texts: every window of theirs starts in another document too.
-    marks = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("mark"))
-    many = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = marks.join(many, "mark").groupBy("doc_id").agg(F.lit(True).alias("copied"))
+    texts = docs.select("doc_id", "mark", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    many = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = texts.join(many, "digest").groupBy("doc_id", "mark").agg(F.lit(True).alias("copied"))
     # As files they take a fifth of the room that rows take: but for wh the columns repeat.
     path = scratch_path(spark, "candidate-windows")
     _windows(docs, sieve, length, gram).write.option("compression", "zstd").parquet(path)
@@ -223,9 +224,9 @@ def dedup(
     place = F.xxhash64("mark", "s")
     seen = windows.groupBy("fp", "wh").agg(F.min(place).alias("least"), F.max(place).alias("most"))
     repeated = durable(seen.filter("least <> most").select("fp", "wh"))  # apart, so that a frequent window's rows can be split in the join
-    real = windows.join(repeated.hint("shuffle_merge"), ["fp", "wh"]).select("doc_id", "s")
+    real = windows.join(repeated.hint("shuffle_merge"), ["fp", "wh"]).select("doc_id", "mark", "s")
     spans = _covered(real, length)
-    side = durable(spans.join(copies, "doc_id", "full_outer").select("doc_id", "spans", "copied", F.coalesce(F.size("spans"), F.lit(0)).alias("n_ends")))
+    side = durable(spans.join(copies, ["doc_id", "mark"], "full_outer").select("doc_id", "mark", "spans", "copied", F.coalesce(F.size("spans"), F.lit(0)).alias("n_ends")))
     remove_path(spark, path)
 
     def keep(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,7 +251,7 @@ def dedup(
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text)
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
-    joined = attach(docs, side, "doc_id", "n_ends").select("doc_id", "text", "spans", "copied")
+    joined = attach(docs, side, ["doc_id", "mark"], "n_ends").select("doc_id", "text", "spans", "copied")
     return null_ids(joined.mapInPandas(keep, schema))
 
 

@@ -9,7 +9,7 @@ stands for, and runs are compared by a hash of all their lines. Of equal runs th
 
 Defined cases: a null text stays null with no lines; an empty text has no units; a text with fewer lines
 than a run is left alone; a run repeated inside a document counts from its second place on; rows with
-the same doc_id and text are one place; a null doc_id comes before all others; an empty table gives no rows; extra columns pass through
+the same doc_id and text are one place, those with other texts are not; a null doc_id comes before all others; an empty table gives no rows; extra columns pass through
 `deduplicate`, whatever their names.
 """
 
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach, chunks, durable, range_hashes, whole_id, winnow
+from .shared import attach, chunks, durable, range_hashes, text_mark, whole_id, winnow
 
 _BLANK = b" \t\n\x0b\x0c\r"
 
@@ -42,34 +42,34 @@ def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(docs: DataFrame, gram: int, window: int) -> DataFrame:
-    """fp, wh, doc_id, s for every run of lines: its fingerprint, a hash of all its lines, its place."""
+    """fp, wh, doc_id, mark, s for every run of lines: its fingerprint, a hash of all its lines, its place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         length = gram + window - 1
         for batch in batches:
-            for ids, texts in chunks(batch["doc_id"], batch["text"]):
+            for ids, texts in chunks(zip(batch["doc_id"], batch["mark"]), batch["text"]):
                 hashes, first = _lines(texts)
                 at, fps, _, _ = winnow(hashes, first, gram, window)
                 owners = np.searchsorted(first, at, side="right") - 1
                 wh = range_hashes(hashes, at, at + length, "window") if len(at) else np.empty(0, np.uint64)
-                yield pd.DataFrame(
-                    {"fp": fps.view(np.int64), "wh": wh.view(np.int64), "doc_id": np.array(ids, np.int64)[owners], "s": (at - first[owners]).astype(np.int32)}
-                )
+                doc_id, mark = np.array(ids, np.int64).reshape(-1, 2)[owners].T
+                yield pd.DataFrame({"fp": fps.view(np.int64), "wh": wh.view(np.int64), "doc_id": doc_id, "mark": mark, "s": (at - first[owners]).astype(np.int32)})
 
-    return docs.mapInPandas(run, "fp bigint, wh bigint, doc_id bigint, s int")
+    return docs.mapInPandas(run, "fp bigint, wh bigint, doc_id bigint, mark bigint, s int")
 
 
 def later_runs(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
-    """doc_id and starts: the first lines (counted over units) of the runs that occur earlier."""
+    """doc_id, mark and starts: the first lines (counted over units) of the runs that occur earlier.
+
+    docs: doc_id, mark, text. The mark tells rows with one doc_id (or none) and different texts apart."""
     runs = durable(_runs(docs, gram, window))
-    many = runs.groupBy("fp").agg(F.min(F.xxhash64("doc_id", "s")).alias("least"), F.max(F.xxhash64("doc_id", "s")).alias("most"))
+    place = F.xxhash64("doc_id", "mark", "s")
+    many = runs.groupBy("fp").agg(F.min(place).alias("least"), F.max(place).alias("most"))
     many = many.filter("least <> most").select("fp")
-    near = runs.join(many, "fp")
-    earliest = near.groupBy("fp", "wh").agg(F.min("doc_id").alias("first_doc"))
-    near = near.join(earliest, ["fp", "wh"])
-    first = near.filter("doc_id = first_doc").groupBy("fp", "wh").agg(F.min("s").alias("first_s"))
-    later = near.join(first, ["fp", "wh"]).filter("doc_id <> first_doc OR s <> first_s")
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("starts"))
+    near = runs.join(many, "fp").withColumn("place", F.struct("doc_id", "mark", "s"))
+    earliest = near.groupBy("fp", "wh").agg(F.min("place").alias("first"))
+    later = near.join(earliest, ["fp", "wh"]).filter("place <> first")
+    return later.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("s")).alias("starts"))
 
 
 def cut(text: str | None, starts, length: int) -> tuple[str | None, int, int]:
@@ -85,16 +85,17 @@ def cut(text: str | None, starts, length: int) -> tuple[str | None, int, int]:
 
 def deduplicate(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`row`, all columns of docs as a struct, and `lines`: struct<text, n_lines, n_removed>."""
-    texts = docs.select(whole_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    key = whole_id(id_col).alias("doc_id"), text_mark(text_col)
+    texts = docs.select(*key, F.col(text_col).alias("text"))
     side = durable(later_runs(texts, gram, window).withColumn("n_starts", F.size("starts")))
     length = gram + window - 1
-    keyed = docs.select(whole_id(id_col).alias("doc_id"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(*key, F.struct(*docs.columns).alias("row"))
 
     @F.pandas_udf("text string, n_lines bigint, n_removed bigint")
     def cut_all(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([cut(t, s, length) for t, s in zip(text, starts)], columns=["text", "n_lines", "n_removed"])
 
-    return attach(keyed, side, "doc_id", "n_starts").select("row", cut_all(F.col("row")[text_col], F.col("starts")).alias("lines"))
+    return attach(keyed, side, ["doc_id", "mark"], "n_starts").select("row", cut_all(F.col("row")[text_col], F.col("starts")).alias("lines"))
 
 
 def report(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:

@@ -23,6 +23,11 @@ def whole_id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("bigint"), F.lit(NULL_ID)).alias(column)
 
 
+def text_mark(column: str = "text") -> Column:
+    """A hash of the text: with doc_id the key of a row, so that rows without an id, or with one id, are told apart."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit(""))).alias("mark")
+
+
 def null_ids(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(c), F.lit(NULL_ID)) for c in columns or ("doc_id",)})
 
@@ -78,8 +83,20 @@ def attach(docs: DataFrame, side: DataFrame, key: str | list[str], weight: str |
     return docs.join(F.broadcast(side) if small else side.hint("shuffle_merge"), key, "left")
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with row_number, a bigint that is unique and follows doc_id (nulls first); the rows are written, so it stays."""
+    order = [whole_id(id_col), F.xxhash64(*docs.columns), F.monotonically_increasing_id()]
+    sorted_rows = docs.select("*", F.struct(*[c.alias(f"k{n}") for n, c in enumerate(order)]).alias("row_order"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [f"row_order.k{n}" for n in range(3)]
+    path = scratch_path(docs.sparkSession, "numbered")
+    spread = sorted_rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("row_order")
+    spread.withColumn("row_number", F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs but those whose key is in ids(key); the ids are broadcast within the bound, else shuffled."""
+    """docs but those whose key, never null, is in ids(key); the ids are broadcast within the bound, else shuffled."""
     ids = durable(ids.select(key).distinct())
     small = ids.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), key, "left_anti").select(*docs.columns)

@@ -37,3 +37,15 @@ def test_against_brute_force(spark, gram, window):
 
 def test_empty_table(spark):
     assert m.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_without_or_with_one_id(spark):
+    shared = "one\ntwo\nthree"
+    texts = ["a\n" + shared, "b\nc\n" + shared + "\nd\ne", "only line", "p\nq\nr\ns\nt\nu", shared + "\nz"]
+    for doc_id in (None, 5):
+        docs = spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string")
+        got = {r["row"]["text"]: r["lines"] for r in m.deduplicate(docs).collect()}
+        holding = [t for t in texts if shared in t]
+        kept = [t for t in holding if not got[t]["n_removed"]]
+        assert len(kept) == 1 and all(got[t]["n_removed"] == 3 and got[t]["text"] == t.replace(shared + "\n", "").replace("\n" + shared, "") for t in holding if t not in kept)
+        assert all(got[t]["n_removed"] == 0 and got[t]["text"] == t for t in texts if shared not in t)

@@ -43,6 +43,21 @@ def test_run(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == set(seen["benchmark decontamination"])
 
 
+def test_rows_without_or_with_one_id(spark, tmp_path):
+    rng = random.Random(6)
+    line = lambda: " ".join(rng.choice(WORDS["en"].split()) + "".join(rng.choice("abcdefg") for _ in range(3)) for _ in range(60)) + "."
+    item = " ".join(line().split()[:25])
+    texts = [line() for _ in range(4)]
+    leak = line() + " " + item + " " + line()
+    rows = [(None, t, "en", "s", len(t)) for t in [*texts, texts[0], leak]] + [(3, t, "en", "s", len(t)) for t in (texts[1], line())]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    alone = corpus_pipeline.near_deduplication(spark, docs, str(tmp_path))
+    assert sorted(r["text"] for r in alone.collect()) == sorted([*texts, leak, rows[-1][1]])
+    clean = corpus_pipeline.decontamination(spark, alone, str(tmp_path))
+    assert sorted(r["text"] for r in clean.collect()) == sorted([*texts, rows[-1][1]]) and clean.columns == docs.columns
+
+
 def test_entry_names():
     import __spark_entry__ as entry
 

@@ -58,3 +58,13 @@ def test_compaction_keeps_repeats(spark, tmp_path):
     rows = log.read(run).collect()
     assert {r["fp"] for r in rows} == before and any(r["repeated"] for r in rows) and not all(r["repeated"] for r in rows)
     assert log.append(docs.filter("doc_id = 1")).count() > 0
+
+
+def test_rows_without_or_with_one_id(spark):
+    rng = random.Random(7)
+    text = lambda: " ".join(rng.choice("abcdefghijkl") + rng.choice("abcdefghijkl") for _ in range(30))
+    shared, twice = text(), text()
+    rows = [(None, t) for t in (text(), shared + " " + text(), twice, twice, text() + " " + shared)] + [(9, text()), (9, "x " + shared), (9, text())]
+    got = f.dedup([spark.createDataFrame(rows, "doc_id long, text string")], length=9, gram=4, log2_bits=16).collect()
+    key = lambda r: (r[0] or -1, *r[1:])
+    assert sorted(map(tuple, got), key=key) == sorted([(d if d > 0 else None, *r) for d, *r in brute([(d or -1, t) for d, t in rows], 9)], key=key)
