@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import decontaminate, langid, line_dedup, packing, simhash
-from tallyweave.llm.shared import numbered, scratch_path, small_batches, table, text_mark, without
+from tallyweave.llm.shared import scratch_path, small_batches, table, text_mark, told_apart, without
 
 #: No SQL: the first, third and last stage need trained models, shingle hashes and a tokenizer.
 ORACLE_SQL = None
@@ -37,11 +37,11 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: first of groups by the narrow radius, then of near copies."""
     small_batches(spark)
-    columns, ids = docs.columns, F.col("row_number").alias("doc_id")
-    docs = numbered(docs)  # rows without an id, or with one that others have, are rows of their own
+    columns, ids = docs.columns, F.col("row_id").alias("doc_id")
+    docs = told_apart(docs)
     for settings in ({}, simhash.SIMILAR):
         gone = simhash.surplus(docs.select(ids, "text"), **settings)
-        docs = without(docs, gone.select(F.col("doc_id").alias("row_number")), "row_number")
+        docs = without(docs, gone.select(F.col("doc_id").alias("row_id")), "row_id")
     return docs.select(columns)
 
 

@@ -83,16 +83,20 @@ def attach(docs: DataFrame, side: DataFrame, key: str | list[str], weight: str |
     return docs.join(F.broadcast(side) if small else side.hint("shuffle_merge"), key, "left")
 
 
-def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with row_number, a bigint that is unique and follows doc_id (nulls first); the rows are written, so it stays."""
-    order = [whole_id(id_col), F.xxhash64(*docs.columns), F.monotonically_increasing_id()]
-    sorted_rows = docs.select("*", F.struct(*[c.alias(f"k{n}") for n, c in enumerate(order)]).alias("row_order"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [f"row_order.k{n}" for n in range(3)]
-    path = scratch_path(docs.sparkSession, "numbered")
-    spread = sorted_rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("row_order")
-    spread.withColumn("row_number", F.monotonically_increasing_id()).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+def told_apart(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with row_id, a bigint: doc_id where it is unique. Rows whose id is null or not unique have one
+    below all ids, and of those with equal texts too only one stays."""
+    keyed = docs.select("*", whole_id().alias("own_id"), text_mark(text_col))
+    shared = keyed.groupBy("own_id").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | (F.col("own_id") == NULL_ID)).select("own_id")
+    shared = durable(shared)
+    if not shared.head(1):
+        return keyed.withColumn("row_id", F.col("own_id")).drop("own_id", "mark")
+    pairs = durable(keyed.select("own_id", "mark").join(shared, "own_id").distinct())
+    side = durable(pairs.withColumn("nth", F.lit(NULL_ID) + 1 + F.monotonically_increasing_id()))
+    joined = attach(keyed, side, ["own_id", "mark"])
+    clear = joined.filter("nth IS NULL").withColumn("row_id", F.col("own_id"))
+    other = joined.filter("nth IS NOT NULL").withColumn("row_id", F.col("nth")).dropDuplicates(["row_id"])
+    return clear.unionByName(other).drop("own_id", "mark", "nth")
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -242,23 +242,18 @@ def verified_stars(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], n_l
 SET_ROWS, SET_SHINGLES = 512, 1 << 14
 
 
-def verified_links(members: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
-    """Stars (u, v) over members(rep, fp, least, size, grams): pairs that share a least hash and whose sets
-    have the similarity."""
-    placed = members.select("rep", "fp", "size", "grams", F.posexplode("least").alias("k", "hash")).withColumn("cell", F.array(F.col("k").cast("bigint"), "hash"))
-    # Counted without the sets.
-    slim = members.select("size", F.posexplode("least").alias("k", "hash")).withColumn("cell", F.array(F.col("k").cast("bigint"), "hash"))
-    counted = slim.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).filter("n > 1")
-    cells = counted.select("cell", F.greatest(F.ceil(F.col("n") / SET_ROWS), F.ceil(F.col("total") / SET_SHINGLES)).cast("int").alias("n_tiles"))
-    dealt = placed.join(cells, "cell").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("n_tiles")).cast("int"))
-    held = dealt.groupBy("cell", "tile").agg(F.collect_list(F.struct("rep", "fp", "size", "grams")).alias("held"))
+_PARTS = ("ids", "fps", "sizes", "grams")
+
+
+def _packed(dealt: DataFrame, *keys: str) -> DataFrame:
+    """dealt(rep, fp, size, grams) gathered by the keys, each part as one array."""
+    held = dealt.groupBy(*keys).agg(F.collect_list(F.struct("rep", "fp", "size", "grams")).alias("held"))
     pick = lambda name: F.transform("held", lambda x: x[name])
-    tiles = durable(held.select("cell", "tile", pick("rep").alias("ids"), F.flatten(pick("fp")).alias("fps"), pick("size").alias("sizes"), F.flatten(pick("grams")).alias("grams")))
-    parts = ("ids", "fps", "sizes", "grams")
-    left = tiles.select("cell", F.col("tile").alias("a_tile"), *[F.col(c).alias(f"a_{c}") for c in parts])
-    right = tiles.select("cell", F.col("tile").alias("b_tile"), *[F.col(c).alias(f"b_{c}") for c in parts])
-    pairs = left.join(right.hint("shuffle_merge"), "cell").filter("a_tile <= b_tile")
-    same = F.col("a_tile") == F.col("b_tile")
+    return held.select(*keys, pick("rep").alias("ids"), F.flatten(pick("fp")).alias("fps"), pick("size").alias("sizes"), F.flatten(pick("grams")).alias("grams"))
+
+
+def _compared(pairs: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
+    """Stars (u, v) of pairs(same, a_..., b_...); if same, a is met with itself."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -273,8 +268,27 @@ def verified_links(members: DataFrame, words: int, radius: int, similarity: floa
                 out += verified_stars(ids, fps, sets, len(row.a_ids), radius, similarity)
             yield pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
-    columns = ["same", *[f"a_{c}" for c in parts], *[F.when(~F.col("same"), F.col(f"b_{c}")).alias(f"b_{c}") for c in parts]]
-    return pairs.withColumn("same", same).select(*columns).mapInPandas(compare, "u bigint, v bigint")
+    columns = ["same", *[f"a_{c}" for c in _PARTS], *[F.when(~F.col("same"), F.col(f"b_{c}")).alias(f"b_{c}") for c in _PARTS]]
+    return pairs.select(*columns).mapInPandas(compare, "u bigint, v bigint")
+
+
+def verified_links(members: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
+    """Stars (u, v) over members(rep, fp, least, size, grams, root, small): of the pairs that share a least
+    hash, and of all pairs of a small group of candidates, those whose sets have the similarity."""
+    few = _packed(members.filter("small"), "root")
+    alone = few.select(F.lit(True).alias("same"), *[F.col(c).alias(f"a_{c}") for c in _PARTS], *[F.col(c).alias(f"b_{c}") for c in _PARTS])
+    members = members.filter("NOT small")
+    placed = members.select("rep", "fp", "size", "grams", F.posexplode("least").alias("k", "hash")).withColumn("cell", F.array(F.col("k").cast("bigint"), "hash"))
+    # Counted without the sets.
+    slim = members.select("size", F.posexplode("least").alias("k", "hash")).withColumn("cell", F.array(F.col("k").cast("bigint"), "hash"))
+    counted = slim.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).filter("n > 1")
+    cells = counted.select("cell", F.greatest(F.ceil(F.col("n") / SET_ROWS), F.ceil(F.col("total") / SET_SHINGLES)).cast("int").alias("n_tiles"))
+    dealt = placed.join(cells, "cell").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("n_tiles")).cast("int"))
+    tiles = durable(_packed(dealt, "cell", "tile"))
+    left = tiles.select("cell", F.col("tile").alias("a_tile"), *[F.col(c).alias(f"a_{c}") for c in _PARTS])
+    right = tiles.select("cell", F.col("tile").alias("b_tile"), *[F.col(c).alias(f"b_{c}") for c in _PARTS])
+    pairs = left.join(right.hint("shuffle_merge"), "cell").filter("a_tile <= b_tile").withColumn("same", F.col("a_tile") == F.col("b_tile"))
+    return _compared(alone, words, radius, similarity).unionByName(_compared(pairs, words, radius, similarity))
 
 
 def _similar_groups(docs: DataFrame, similarity: float, shingle: int, radius: int, seeds: tuple[int, ...], text_col: str = "text") -> DataFrame:
@@ -292,16 +306,20 @@ def _similar_groups(docs: DataFrame, similarity: float, shingle: int, radius: in
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch["text"]]
-            yield pd.DataFrame({"rep": batch["doc_id"], "same": [set_hash(x) for x in sets], "grams": [x.view(np.int64) for x in sets]})
+            own = np.array([set_hash(x) for x in sets], np.int64) == batch["same"].to_numpy(np.int64)
+            yield batch.drop(columns=["text", "same"]).assign(grams=[x.view(np.int64) for x in sets])[own]
 
     found = durable(texts.mapInPandas(sketched, "doc_id bigint, fp array<bigint>, least array<bigint>, size int, same bigint"))
     # Equal sets are one node, so that a large group of copies is met once.
     reps = durable(found.groupBy("same").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("fp", "least", "size")]).filter("size > 0"))
-    near = links(reps, radius, len(seeds), by_least=True)
-    nodes = durable(near.select(F.explode(F.array("u", "v")).alias("rep")).distinct())
-    wanted = nodes.withColumn("wanted", F.lit(True)).withColumnRenamed("rep", "doc_id")
-    sets = attach(texts, wanted, "doc_id").filter("wanted").select("doc_id", "text").mapInPandas(gathered, "rep bigint, same bigint, grams array<bigint>")
-    members = durable(reps.join(sets, ["rep", "same"]).dropDuplicates(["rep", "same"]))
+    near = components(links(reps, radius, len(seeds), by_least=True))
+    nodes = near.select(F.col("node").alias("rep"), "root").unionByName(near.select(F.col("root").alias("rep"), "root").distinct())
+    nodes = durable(reps.join(nodes, "rep"))
+    small = (F.count(F.lit(1)) <= 2) | (F.count(F.lit(1)) <= SET_ROWS) & (F.sum("size") <= SET_SHINGLES)
+    wanted = durable(nodes.join(nodes.groupBy("root").agg(small.alias("small")), "root").withColumnRenamed("rep", "doc_id"))
+    kept = "doc_id as rep", "fp", "least", "size", "root", "small", "same", "text"
+    schema = "rep bigint, fp array<bigint>, least array<bigint>, size int, root bigint, small boolean, grams array<bigint>"
+    members = durable(attach(texts, wanted, "doc_id").filter("same IS NOT NULL").selectExpr(*kept).mapInPandas(gathered, schema))
     roots = components(verified_links(members, len(seeds), radius, similarity))
     firsts = found.groupBy("same").agg(F.min("doc_id").alias("rep"))
     named = firsts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("component_id"))
