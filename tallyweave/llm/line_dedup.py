@@ -1,16 +1,17 @@
 """Line dedup by winnowing over line hashes.
 
 The units are a text's lines, trimmed of white space; blank lines are no units and always stay. Of each
-`window` neighbouring k-grams of line hashes the minimum is a fingerprint, so every run of
-`gram + window - 1` lines (three by default) holds one. Fingerprints that occur at one place only are
-left behind; around the others the matches are extended both ways, to every run that the fingerprint
-stands for, and runs are compared by a hash of all their lines. Of equal runs the first by
-(doc_id, line) stays, and the lines of all later ones are deleted.
+`window` neighbouring k-grams of line hashes the minima are chosen, so every run of `gram + window - 1`
+lines (three by default) holds a chosen one. Chosen positions whose fingerprint stands nowhere else are left
+behind. From the others the match is extended both ways, by 0 to `window - 1` lines to the left and the rest
+of the run to the right: places with the fingerprint and equal lines on both sides are the same run. Of equal
+runs the first by (doc_id, line) stays, and the lines of all later ones are deleted; longer repeats are
+covered by the runs around their chosen positions.
 
 Defined cases: a null text stays null with no lines; an empty text has no units; a text with fewer lines
 than a run is left alone; a run repeated inside a document counts from its second place on; rows with
-the same doc_id and text are one place, those with other texts are not; a null doc_id comes before all others; an empty table gives no rows; extra columns pass through
-`deduplicate`, whatever their names.
+the same doc_id and text are one place, those with other texts are not; a null doc_id comes before all
+others; an empty table gives no rows; extra columns pass through `deduplicate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach, chunks, durable, range_hashes, text_mark, whole_id, winnow
+from .shared import attach, chunks, durable, mixed, range_hashes, remove_path, repeats, scratch_path, text_mark, whole_id, winnow
 
 _BLANK = b" \t\n\x0b\x0c\r"
 
@@ -41,35 +42,46 @@ def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(hashes, np.uint64), np.array(first, np.int64)
 
 
-def _runs(docs: DataFrame, gram: int, window: int) -> DataFrame:
-    """fp, wh, doc_id, mark, s for every run of lines: its fingerprint, a hash of all its lines, its place."""
+def extended(hashes: np.ndarray, first: np.ndarray, at: np.ndarray, owners: np.ndarray, gram: int, window: int):
+    """For each chosen position and each reach to the left (0 to window - 1 lines) that gives a whole run inside
+    its document: (number of the position, start of the run, hash of the lines on both sides)."""
+    for reach in range(window):
+        start, end = at - reach, at + gram + window - 1 - reach
+        held = np.flatnonzero((start >= first[owners]) & (end <= first[owners + 1]))
+        left = range_hashes(hashes, start[held], at[held], "window")
+        right = range_hashes(hashes, at[held] + gram, end[held], "window")
+        yield held, start[held], mixed(left ^ mixed(right + np.uint64(reach)))
+
+
+def matches(docs: DataFrame, gram: int, window: int) -> DataFrame:
+    """fp, around, doc_id, mark, s: every chosen position of docs(doc_id, mark, text) with each of its extensions
+    (the fingerprint, a hash of the lines to both sides, and where the run starts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        length = gram + window - 1
         for batch in batches:
             for ids, texts in chunks(zip(batch["doc_id"], batch["mark"]), batch["text"]):
                 hashes, first = _lines(texts)
-                at, fps, _, _ = winnow(hashes, first, gram, window)
+                _, _, at, fps = winnow(hashes, first, gram, window)
                 owners = np.searchsorted(first, at, side="right") - 1
-                wh = range_hashes(hashes, at, at + length, "window") if len(at) else np.empty(0, np.uint64)
-                doc_id, mark = np.array(ids, np.int64).reshape(-1, 2)[owners].T
-                yield pd.DataFrame({"fp": fps.view(np.int64), "wh": wh.view(np.int64), "doc_id": doc_id, "mark": mark, "s": (at - first[owners]).astype(np.int32)})
+                keys = np.array(ids, np.int64).reshape(-1, 2)
+                for held, start, around in extended(hashes, first, at, owners, gram, window):
+                    doc_id, mark = keys[owners[held]].T
+                    yield pd.DataFrame({"fp": fps[held].view(np.int64), "around": around.view(np.int64), "doc_id": doc_id, "mark": mark, "s": start - first[owners[held]]})
 
-    return docs.mapInPandas(run, "fp bigint, wh bigint, doc_id bigint, mark bigint, s int")
+    return docs.mapInPandas(run, "fp bigint, around bigint, doc_id bigint, mark bigint, s bigint")
 
 
 def later_runs(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
     """doc_id, mark and starts: the first lines (counted over units) of the runs that occur earlier.
 
-    docs: doc_id, mark, text. The mark tells rows with one doc_id (or none) and different texts apart."""
-    runs = durable(_runs(docs, gram, window))
-    place = F.xxhash64("doc_id", "mark", "s")
-    many = runs.groupBy("fp").agg(F.min(place).alias("least"), F.max(place).alias("most"))
-    many = many.filter("least <> most").select("fp")
-    near = runs.join(many, "fp").withColumn("place", F.struct("doc_id", "mark", "s"))
-    earliest = near.groupBy("fp", "wh").agg(F.min("place").alias("first"))
-    later = near.join(earliest, ["fp", "wh"]).filter("place <> first")
-    return later.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("s")).alias("starts"))
+    docs: doc_id, mark, text. The mark tells rows with one doc_id (or none) and different texts apart.
+    Positions meet by fingerprint and equal sides in one sort over all partitions, which splits frequent lines."""
+    path = scratch_path(docs.sparkSession, "line-matches")  # sampled for the bounds of the sort, then read
+    matches(docs, gram, window).write.option("compression", "zstd").parquet(path)
+    later = durable(repeats(docs.sparkSession.read.parquet(path), ["fp", "around"], ["doc_id", "mark", "s"], path + "-later", later_only=True))
+    for done in (path, path + "-later"):
+        remove_path(docs.sparkSession, done)
+    return later.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.col("s").cast("int"))).alias("starts"))
 
 
 def cut(text: str | None, starts, length: int) -> tuple[str | None, int, int]:

@@ -3,10 +3,13 @@ and vectorised hashing of unit (word or line) sequences."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ BROADCAST_ELEMENTS = 2_000_000
 
 
 #: Stands for a null id inside the operators, so that id columns stay whole numbers; ids come out null again.
+#: The least bigint is reserved for this: as an id of its own it comes out null too.
 NULL_ID = -(1 << 63)
 
 
@@ -45,9 +49,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is named."""
+    """The folder that the driver and all executors share. Where none is named, a temporary one serves a
+    single machine; a cluster without one is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = getattr(spark, "_tallyweave_checkpoints", None)
         if named is None:
             named = tempfile.mkdtemp(prefix="tallyweave-checkpoints-")
@@ -106,6 +113,56 @@ def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), key, "left_anti").select(*docs.columns)
 
 
+def repeats(rows: DataFrame, keys: list[str], place: list[str], path: str, later_only: bool = False) -> DataFrame:
+    """The places of rows(keys, place) whose key stands at two places at least; later_only: without the
+    first place of each key. Rows that are equal in all columns are one place, reported once or more.
+
+    The rows are sorted over all partitions by key and place, so a frequent key is spread over as many
+    partitions as its rows fill, and each task walks its part once. Only the first rows of the first and the
+    last key of a partition depend on its neighbours: two rows a partition, settled afterwards.
+    All columns are whole numbers and not null. What the walk finds lies in files at `path`, for the caller to remove."""
+    width = len(keys)
+    columns = [*keys, *place]
+    ordered = rows.select(*[F.col(c).cast("bigint").alias(c) for c in columns])
+    ordered = ordered.repartitionByRange(*columns).sortWithinPartitions(*columns)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.empty((0, len(columns)), np.int64)
+        held, more, opening = none, False, True  # the first row of the key at hand, and whether it has other places
+
+        def out(found: np.ndarray, edge: bool, more: bool) -> pd.DataFrame:
+            return pd.DataFrame(found, columns=columns).assign(edge=edge, more=more)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            data = np.concatenate([held, batch[columns].to_numpy(np.int64)])
+            new = np.ones(len(data), bool)
+            new[1:] = (data[1:, :width] != data[:-1, :width]).any(axis=1)
+            starts = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            other = (data[:, width:] != data[starts][group][:, width:]).any(axis=1)
+            several = np.bincount(group[other], minlength=len(starts)) > 0
+            several[0] |= more
+            yield out(data[other], False, True)
+            closed = np.arange(len(starts) - 1)
+            if opening and len(closed):
+                yield out(data[starts[:1]], True, bool(several[0]))
+                closed, opening = closed[1:], False
+            if not later_only:
+                yield out(data[starts[closed[several[closed]]]], False, True)
+            held, more = data[starts[-1:]], bool(several[-1])
+        yield out(held, True, more)
+
+    schema = ", ".join(f"{c} bigint" for c in columns) + ", edge boolean, more boolean"
+    ordered.mapInPandas(walk, schema).write.option("compression", "zstd").parquet(path)
+    found = rows.sparkSession.read.schema(schema).parquet(path)
+    edges, at = found.filter("edge"), F.struct(*place)
+    ends = edges.groupBy(*keys).agg(F.min(at).alias("first_place"), F.max(at).alias("last_place"), F.max("more").alias("any_more"))
+    settled = (at != F.col("first_place")) if later_only else F.col("any_more") | (F.col("first_place") != F.col("last_place"))
+    return found.filter("NOT edge").select(*place).unionByName(edges.join(ends, keys).filter(settled).select(*place))
+
+
 # --- hashing of unit sequences, whole batches at a time (arithmetic modulo 2**64) ---------------
 
 _MULTIPLIERS = {"byte": 0x9E3779B97F4A7C15, "gram": 0xC2B2AE3D27D4EB4F, "window": 0x165667B19E3779F9}
