@@ -8,19 +8,24 @@ Texts and items are normalised alike: lower case, and each run of other characte
 digits becomes one space. The items are the stated query set; they are handled in blocks of at most
 `block_chars` characters, one pass over the documents each, so what is sent to the executors is bounded.
 
-Defined cases: a null or empty text holds no passage; null items and items under `min_chars` normalised
-characters are not searched (a phrase that short is no evidence); equal items are each reported;
-repeated rows are reported each; empty tables give no rows; extra columns are ignored.
+An item so short that its budget is no error is one piece, and an exact passage is asked for; `min_chars`
+can leave out short phrases, which are no evidence, but is off by default.
+
+Defined cases: a null or empty text holds no passage; items that are null or hold no letter or digit are not
+searched; equal items are each reported; repeated rows are reported each; a null doc_id or item_id comes
+out null; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .shared import null_ids, whole_id
 
@@ -181,18 +186,33 @@ def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
     yield block
 
 
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def _matcher(key: str, items: list[tuple[int, str]], rate: float) -> Matcher:
+    """The automaton of a block, made once for each Python worker, which serves many tasks."""
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(items, rate)
+    return _MATCHERS[key]
+
+
+@F.pandas_udf(StringType())
+def _normalised(texts: pd.Series) -> pd.Series:
+    return texts.map(normalised)
+
+
 def leaks(
-    docs: DataFrame, items: DataFrame, rate: float = 0.08, min_chars: int = 40, block_chars: int = 8_000_000, text_col: str = "text"
+    docs: DataFrame, items: DataFrame, rate: float = 0.08, min_chars: int = 1, block_chars: int = 8_000_000, text_col: str = "text"
 ) -> DataFrame:
     """doc_id, item_id, distance, start, end: each passage of docs(doc_id, text) near an item(item_id, text)."""
-    clean = F.udf(normalised, "string")
-    known = items.select(whole_id("item_id"), clean("text").alias("text")).filter(F.length("text") >= min_chars)
+    known = items.select(whole_id("item_id"), _normalised("text").alias("text")).filter(F.length("text") >= max(1, min_chars))
     spark, out = docs.sparkSession, None
     for block in _blocks(known, block_chars):
-        sent = spark.sparkContext.broadcast(block)
+        sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(sent.value, rate) if sent.value else None
+        def run(batches: Iterator[pd.DataFrame], sent=sent, key=key) -> Iterator[pd.DataFrame]:
+            matcher = _matcher(key, sent.value, rate) if sent.value else None
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch["doc_id"], batch["text"]):
