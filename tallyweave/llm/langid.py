@@ -2,36 +2,42 @@
 
 Each language has probabilities over the pieces of a fixed public vocabulary. A word's probability is
 the sum over all ways to cut it into pieces (forward algorithm), a text's the product over its words,
-each a run of letters in lower case. The piece probabilities are learnt by expectation maximisation
-(forward-backward) on word counts of labelled documents.
-
-The classifier is fitted on a bounded sample: of each language the `docs_per_language` labelled
-documents with the least hash, and of their words the `words_per_language` most frequent. Prediction
-covers every document.
-
-Defined cases: a null, empty or letterless text is `und` with score 0; without labelled documents all
-are; ties go to the language that sorts first; a letter that no piece covers costs the same in every
-language; very long words are scored whole; repeated rows each get their row; extra columns are ignored.
+each a letter and the letters and combining marks after it, in lower case. The piece probabilities are
+learnt by expectation maximisation (forward-backward) on word counts of labelled documents. Pieces with
+capitals are left out, which no such word can hold.
+
+The classifier is fitted on a bounded sample: of each language the labelled documents whose hash is below
+its share, `docs_per_language` on average, and of their words the most frequent, `words_per_language` at
+most (a count that only part of its words could enter with stays out). Prediction covers every document.
+
+Defined cases: a null, empty or letterless text is `und` with score 0 (digits, fractions, number letters
+and lone marks are no letters); without labelled documents all are; ties go to the language that sorts
+first; a letter that no piece covers costs the same in every language; very long words are learnt and scored
+whole; repeated rows each get their row; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import durable
+
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
-#: Probability of a letter that is not a piece, and the longest piece that is looked up.
-STRAY, LONGEST = 1e-7, 16
+#: Probability of a letter that is not a piece.
+STRAY = 1e-7
 #: A text's log-odds are divided by this power of its number of words: words are not independent.
 EVIDENCE = 0.5
 
@@ -42,11 +48,29 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     keep = (n for n in range(model.get_piece_size()) if not (model.is_control(n) or model.is_unknown(n) or model.is_byte(n)))
-    return [p for n in keep if len(p := model.id_to_piece(n)) <= LONGEST and p == p.lower()]
+    return [p for n in keep if (p := model.id_to_piece(n)) == p.lower()]
+
+
+def _ranges(category: str) -> str:
+    """The characters of a Unicode category (its first letter) as ranges of a character class."""
+    out, start = [], None
+    for n in range(sys.maxunicode + 2):
+        inside = n <= sys.maxunicode and unicodedata.category(chr(n))[0] == category
+        if inside and start is None:
+            start = n
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{n - 1:08x}")
+            start = None
+    return "".join(out)
+
+
+@lru_cache(maxsize=1)
+def _letters() -> re.Pattern:
+    return re.compile(f"[{_ranges('L')}][{_ranges('L')}{_ranges('M')}]*")
 
 
 def words(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+    return _letters().findall((text or "").lower())
 
 
 def with_prefixes(table: dict[str, tuple[float, ...]]) -> dict[str, tuple[float, ...] | None]:
@@ -61,21 +85,21 @@ def forward(word: str, table: dict[str, tuple[float, ...] | None], n_languages:
     size = len(marked)
     found: list[list] = [[] for _ in range(size + 1)]
     for begin in range(size):
-        for end in range(begin + 1, min(begin + LONGEST, size) + 1):
+        for end in range(begin + 1, size + 1):
             got = table.get(marked[begin:end], False)
             if got:
                 found[end].append((begin, got))
             elif got is False:
                 break
-    out = []
+    out, longest = [], max((end - arcs[0][0] for end, arcs in enumerate(found) if arcs), default=1)
     for k in range(n_languages):
         sums, scale, total = [1.0], 0.0, 1.0
         for arcs in found[1:]:
             total *= STRAY
             for begin, got in arcs:
                 total += sums[begin] * got[k]
-            if total < 1e-200:  # keep the live window in range
-                low = max(0, len(sums) - LONGEST)
+            if total < 1e-200:  # keep the live window in range; further back no piece reaches
+                low = max(0, len(sums) - longest)
                 sums[low:] = [x / total for x in sums[low:]]
                 scale += math.log(total)
                 total = 1.0
@@ -84,11 +108,33 @@ def forward(word: str, table: dict[str, tuple[float, ...] | None], n_languages:
     return out
 
 
-def _expected(word: str, weight: float, probs: dict[str, float], counts: dict[str, float]) -> None:
-    """Add the expected uses of each piece in a word (forward-backward) to counts."""
-    marked = "▁" + word[:48]
+def _add(x: float, y: float) -> float:
+    """log(exp(x) + exp(y))."""
+    high, low = (x, y) if x >= y else (y, x)
+    return high + math.log1p(math.exp(low - high))
+
+
+def _expected(word: str, weight: float, probs: dict[str, float], longest: int, counts: dict[str, float]) -> None:
+    """Add the expected uses of each piece in a word (forward-backward) to counts; long words by logarithms."""
+    marked = "▁" + word
     size = len(marked)
-    arcs = [(b, e, p, q) for e in range(1, size + 1) for b in range(max(0, e - LONGEST), e) if (q := probs.get(p := marked[b:e])) is not None]
+    arcs = [(b, e, p, q) for e in range(1, size + 1) for b in range(max(0, e - longest), e) if (q := probs.get(p := marked[b:e])) is not None]
+    if size > 30:
+        ahead, back, at, stray = [0.0] + [-math.inf] * size, [-math.inf] * size + [0.0], 0, math.log(STRAY)
+        for e in range(1, size + 1):
+            ahead[e] = ahead[e - 1] + stray
+            while at < len(arcs) and arcs[at][1] == e:
+                ahead[e] = _add(ahead[e], ahead[arcs[at][0]] + math.log(arcs[at][3]))
+                at += 1
+        for n in range(size, 0, -1):
+            back[n - 1] = _add(back[n - 1], back[n] + stray) if back[n - 1] > -math.inf else back[n] + stray
+            while at and arcs[at - 1][1] == n:
+                at -= 1
+                b, more = arcs[at][0], back[n] + math.log(arcs[at][3])
+                back[b] = _add(back[b], more) if back[b] > -math.inf else more
+        for b, e, p, q in arcs:
+            counts[p] = counts.get(p, 0.0) + weight * math.exp(ahead[b] + math.log(q) + back[e] - ahead[size])
+        return
     ahead = [1.0] + [0.0] * size
     at = 0
     for e in range(1, size + 1):
@@ -102,18 +148,17 @@ def _expected(word: str, weight: float, probs: dict[str, float], counts: dict[st
         while at and arcs[at - 1][1] == n:
             at -= 1
             back[arcs[at][0]] += back[n] * arcs[at][3]
-    if ahead[size] > 0:
-        for b, e, p, q in arcs:
-            counts[p] = counts.get(p, 0.0) + weight * ahead[b] * q * back[e] / ahead[size]
+    for b, e, p, q in arcs:
+        counts[p] = counts.get(p, 0.0) + weight * ahead[b] * q * back[e] / ahead[size]
 
 
 def fit_language(counts: list[tuple[str, int]], pieces: list[str], rounds: int) -> dict[str, float]:
     """Piece probabilities of one language from word counts."""
-    probs = {p: math.exp(-3.0) / 32 for p in pieces}
+    probs, longest = {p: math.exp(-3.0) / 32 for p in pieces}, max(map(len, pieces), default=1)
     for _ in range(rounds):
         found: dict[str, float] = {}
         for word, n in counts:
-            _expected(word, n, probs, found)
+            _expected(word, n, probs, longest, found)
         total = sum(found.values())
         # Pieces that no word uses keep a small share, so that each language can spell any word.
         floor = 0.1 / (total + 0.1 * len(pieces)) if total else 1.0 / len(pieces)
@@ -133,28 +178,46 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, vocabulary_path: str, docs_per_language: int = 400, words_per_language: int = 4000, rounds: int = 2) -> Model:
-    """Learn from docs(doc_id, text, lang) that are not held out and have a language."""
-    from pyspark.sql import Window
+    """Learn from docs(doc_id, text, lang) that are not held out and have a language.
 
+    Counts and thresholds are partial aggregates; no language's documents or words are gathered in one task."""
     labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    least = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("nth", F.row_number().over(least)).filter(F.col("nth") <= docs_per_language)
-    # At most docs_per_language ids of each language.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "lang")), "doc_id")
-
-    @F.udf("array<string>")
-    def split(text):
-        return words(text)
+    # A few languages; the share of each language's documents that is learnt from, in 2 ** 30ths.
+    shares = {lang: min(1 << 30, (docs_per_language << 30) // n) for lang, n in labelled.groupBy("lang").agg(F.count(F.lit(1))).collect()}
+    if not shares:
+        return Model([], {})
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
+    below = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+    sample = labelled.filter(draw < F.try_element_at(below, F.col("lang")))
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(words)
 
     spoken = sample.select("lang", F.explode(split("text")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    most = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    top = spoken.withColumn("nth", F.row_number().over(most)).filter(F.col("nth") <= words_per_language)
+    spoken = durable(spoken)
+    least: dict[str, int] = {}
+    sizes: dict[str, list[tuple[int, int]]] = {}
+    for lang, n, size in spoken.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("size")).collect():  # different counts: few
+        sizes.setdefault(lang, []).append((n, size))
+    for lang, held in sizes.items():
+        room = words_per_language
+        for n, size in sorted(held, reverse=True):
+            room -= size
+            if room < 0:
+                break
+            least[lang] = n
+    if not least:
+        return Model([], {})
+    from_n = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
+    top = spoken.filter(F.col("n") >= F.try_element_at(from_n, F.col("lang")))
     by_language: dict[str, list[tuple[str, int]]] = {}
-    for lang, word, n in sorted((r["lang"], r["word"], r["n"]) for r in top.select("lang", "word", "n").collect()):
+    for lang, word, n in sorted((r["lang"], r["word"], r["n"]) for r in top.collect()):
         by_language.setdefault(lang, []).append((word, n))
     pieces = vocabulary(vocabulary_path)
+    longest = max(map(len, pieces))
     # Only pieces that some sampled word holds can differ between languages; the others stay out.
-    used = {marked[b:e] for held in by_language.values() for w, _ in held for marked in ("▁" + w[:48],) for b in range(len(marked)) for e in range(b + 1, min(b + LONGEST, len(marked)) + 1)}
+    used = {marked[b:e] for held in by_language.values() for w, _ in held for marked in ("▁" + w,) for b in range(len(marked)) for e in range(b + 1, min(b + longest, len(marked)) + 1)}
     pieces = [p for p in pieces if p in used or len(p) == 1]
     languages = sorted(by_language)
     fitted = [fit_language(by_language[lang], pieces, rounds) for lang in languages]

@@ -47,3 +47,22 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "the and", None)], "doc_id long, text string, lang string")
     assert m.identify(docs, PIECES).first()["lang_pred"] == m.UNDETERMINED
     assert m.identify(docs.limit(0), PIECES).count() == 0
+
+
+def test_letters_by_unicode():
+    assert m.words("x² ½ Ⅷ 12 _ हिन्दी e\u0301t\u00e9 \u0301") == ["x", "हिन्दी", "e\u0301t\u00e9"]
+    scorer = m.Scorer(m.Model(["a", "b"], {"▁x": (0.1, 0.2)}))
+    assert [scorer.score(t) for t in ("² ½", "Ⅷ", "\u0301", "१२")] == [(m.UNDETERMINED, 0.0)] * 4
+    assert scorer.score("x")[0] == "b"
+
+
+def test_long_words_are_learnt_whole():
+    pieces = ["▁", "a", "b", "ab", "▁ab", "abab"]
+    probs = {p: 0.1 for p in pieces}
+    for word in ("ab" * 14, "ab" * 15):  # by products, by logarithms
+        plain: dict = {}
+        m._expected(word, 2.0, probs, 4, plain)
+        assert abs(sum(len(p) * n for p, n in plain.items()) - 2.0 * (len(word) + 1)) < 0.01
+    far: dict = {}
+    m._expected("ab" * 500, 1.0, probs, 4, far)
+    assert abs(sum(len(p) * n for p, n in far.items()) - 1001) < 1
