@@ -5,9 +5,17 @@ gives each block a cost for either label; the costs are the capacities to two te
 blocks, and blocks whose containers are close in the DOM, are tied by smoothness edges. The minimum cut
 (by maximum flow) labels all blocks of the page at once, and the content side is the text.
 
+Pages are read by the rules of HTML where they bear on text: end tags that may be left out, void elements,
+self-closed foreign ones, and raw text, which only script, style, title and textarea hold to the end of the
+page if unclosed. An element that is not shown (noscript, svg, button, ...) and has no end tag after it ends
+before the next block. Words of class, id and role are features among others: whole tokens that do not state a mere
+condition ("has-comments", "no-sidebar"), of the nearest container that has any and of those above it, and
+none of a container that holds the page's heading.
+
 Defined cases: null, empty or tagless html gives its own text or the empty string; cut-off pages are read
 to their end; a tag that is never closed ends with its container; very deep pages need no recursion;
-repeated rows each get their row; an empty table gives no rows; extra columns are ignored.
+repeated rows each get their row; a null page_id stays null; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +40,8 @@ _BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_UNSEEN = "script|style|noscript|template|title|textarea|select|button|svg|math|iframe|object|canvas|audio|video|datalist|head"
+_HIDDEN = frozenset("noscript template select button svg math iframe object canvas audio video datalist noembed noframes".split())
+_FOREIGN, _OPEN = frozenset(("svg", "math")), "?"
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOPS = frozenset("ul ol dl table div section article main aside nav header footer form body blockquote td".split())
 _BAD_WORDS = frozenset(
@@ -44,89 +53,172 @@ _BAD_WORDS = frozenset(
 )
 _GOOD_WORDS = frozenset("article main content post entry story text body page blog news chapter prose markdown".split())
 _COMMENT_WORDS = frozenset("comment comments reply replies respond disqus discussion feedback review reviews".split())
+_CONDITIONS = frozenset("has have no not with without is can allow hide show enable disable supports".split())
 
+_ATTRIBUTES = r"((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_UNSEEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*\Z",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|title|textarea)\b(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*){_ATTRIBUTES}>|<[!?/][^>]*>|<[a-zA-Z][^>]*>|<[a-zA-Z/!?][^>]*\Z",
     re.S | re.I,
 )
 _HINTS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_UNSHOWN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|\Z)|display\s*:\s*none", re.I)
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 FEATURES = (
-    "bias nav header footer aside form bad good article comments link_share short medium long heading list_item paragraph sentence body_only".split()
-)
+    "bias nav header footer aside form near_bad near_good above_bad above_good inside comments link_share short medium long heading list_item paragraph "
+    "sentence body_only"
+).split()
 
 
 class Block:
-    __slots__ = ("flags", "links", "parent", "tag", "text")
+    """A block of text: its element's tag, the number of its container, how much of it is links, and what its
+    containers say: `above` all of them, `near` the nearest one whose names say anything."""
+
+    __slots__ = ("above", "links", "near", "parent", "tag", "text")
+
+    def __init__(self, text: str, tag: str, node: int, parent: int, links: int):
+        self.text, self.tag, self.near, self.parent, self.links, self.above = text, tag, node, parent, links, frozenset()
+
+    @property
+    def flags(self) -> frozenset:
+        return self.above
 
-    def __init__(self, text: str, tag: str, flags: frozenset, parent: int, links: int):
-        self.text, self.tag, self.flags, self.parent, self.links = text, tag, flags, parent, links
+
+_NONE: frozenset = frozenset()
 
 
 @lru_cache(maxsize=4096)
-def _flags(tag: str, attributes: str) -> frozenset:
-    """What a container says about the blocks in it."""
-    out = {tag} if tag in ("nav", "header", "footer", "aside", "form", "article", "main") else set()
-    if attributes:
-        parts = {p for m in _HINTS.finditer(attributes) for p in _PART.findall((m[1] or m[2] or m[3] or "").lower())}
-        if parts & _COMMENT_WORDS:
-            out.add("comments")
-        if parts & _BAD_WORDS:
-            out.add("bad")
-        elif parts & _GOOD_WORDS:
-            out.add("good")
+def _named(attributes: str) -> frozenset:
+    """What the names of a container say: bad, good, comments."""
+    out = set()
+    if _UNSHOWN.search(attributes):
+        out.add("bad")
+    for m in _HINTS.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = _PART.findall(token)
+            if not parts or parts[0] in _CONDITIONS:
+                continue
+            if _COMMENT_WORDS.intersection(parts):
+                out.add("comments")
+            if _BAD_WORDS.intersection(parts):
+                out.add("bad")
+            elif _GOOD_WORDS.intersection(parts):
+                out.add("good")
     return frozenset(out)
 
 
+class _Nodes:
+    """The page's containers in order: parent, tag, names, and whether they hold a heading or an article."""
+
+    def __init__(self):
+        self.parent, self.tag, self.named, self.holds = [0], [""], [_NONE], [set()]
+
+    def add(self, parent: int, tag: str, attributes: str) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        # Classes of the whole page are conditions of its theme.
+        self.named.append(_named(attributes) if attributes and tag not in ("html", "body") else _NONE)
+        self.holds.append(set())
+        return len(self.parent) - 1
+
+    def mark(self, node: int, what: str) -> None:
+        while what not in self.holds[node]:
+            self.holds[node].add(what)
+            node = self.parent[node]
+
+    def said(self) -> tuple[list[frozenset], list[frozenset]]:
+        """For each node what all containers from it up say, and the nearest one that says anything."""
+        above, near = [_NONE], [_NONE]
+        for n in range(1, len(self.parent)):
+            up, tag, own, holds = self.parent[n], self.tag[n], self.named[n], self.holds[n]
+            if own and "h1" in holds:
+                own = own - {"bad", "comments"}
+            elif "bad" in own and "comments" not in own and "article" in holds:
+                own = own - {"bad"}
+            said = own | {tag} if tag in ("nav", "header", "footer", "aside", "form", "article", "main") else own
+            above.append(above[up] | said if said else above[up])
+            near.append(own or near[up])
+        return above, near
+
+
 def blocks(page: str | None) -> list[Block]:
     """The page's blocks of text that are not empty, in order."""
-    out: list[Block] = []
-    none = frozenset()
-    stack: list[tuple[str, frozenset, int]] = [("", none, 0)]  # tag, flags of it and all above, number
-    held: list[str] = []
-    state = {"links": 0}
-    number, in_link, at, page = 0, 0, 0, page or ""
+    page = page or ""
+    nodes, out, held = _Nodes(), [], []
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, whether it or one above is not shown
+    closing: dict[str, int] = {}  # where the last end tag of a hidden element begins
+    links, in_link, at, low = 0, 0, 0, None
 
     def flush() -> None:
+        nonlocal links
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             if text:
-                tag, flags, own = stack[-1]
-                above = stack[-2][2] if len(stack) > 1 else 0
-                out.append(Block(text, tag, flags, above if tag in ("p", "li") or tag[:1] == "h" and tag[1:].isdigit() else own, min(state["links"], len(text))))
+                tag, node, _ = stack[-1]
+                inner = tag in ("p", "li") or tag[:1] == "h" and tag[1:].isdigit()
+                out.append(Block(text, tag, node, nodes.parent[node] if inner else node, min(links, len(text))))
             held.clear()
-        state["links"] = 0
+        links = 0
 
     def text(part: str) -> None:
-        held.append(part)
-        if in_link:
-            state["links"] += len(part)
+        nonlocal links
+        if not stack[-1][2]:
+            held.append(part)
+            if in_link:
+                links += len(part)
+
+    def pop(tag: str) -> None:
+        for n in range(len(stack) - 1, 0, -1):
+            if stack[n][0] == tag:
+                del stack[n:]
+                return
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        end, tag, attributes = m[3], (m[4] or "").lower(), m[5]
         if not tag:
             if m[0].startswith("<![CDATA["):
                 text(html.escape(m[0][9:].removesuffix("]]>")))
-            elif m[1] and m[1].lower() != "title" or not m[1]:
-                held.append("" if m[0].startswith("<!--") else " ")
+            elif not m[0].startswith("<!--"):
+                text(" ")
+            continue
+        hidden = stack[-1][2]
+        if tag in _HIDDEN:
+            if end:
+                pop(tag)
+                continue
+            if tag not in _FOREIGN and tag != "object" and any(x[0] == tag for x in stack):
+                pop(tag)  # these do not nest
+                hidden = stack[-1][2]
+            if tag not in closing:
+                low = page.lower() if low is None else low
+                closing[tag] = low.rfind(f"</{tag}")
+            text(" ")
+            if not attributes.rstrip().endswith("/"):
+                # without an end tag it is taken to end before the next block
+                stack.append((tag if closing[tag] >= at else _OPEN, stack[-1][1], True))
         elif tag == "br":
-            held.append(" ")
+            text(" ")
         elif tag == "a":
-            in_link = 0 if m[2] else 1
+            in_link = 0 if end else 1
         elif tag in _BLOCKS:
-            flush()
-            in_link = 0
-            if m[2]:
-                for n in range(len(stack) - 1, 0, -1):
-                    if stack[n][0] == tag:
-                        del stack[n:]
-                        break
+            while stack[-1][0] == _OPEN or not end and stack[-1][0] in _FOREIGN:  # a block breaks out of foreign content
+                stack.pop()
+            hidden = stack[-1][2]
+            if not hidden:
+                flush()
+                in_link = 0
+            if end:
+                if hidden:  # an end tag of something outside ends what is hidden inside
+                    inner = next((n for n in range(len(stack) - 1, 0, -1) if stack[n][0] == tag), 0)
+                    if inner and not stack[inner][2]:
+                        del stack[inner + 1 :]
+                        flush()
+                pop(tag)
             elif tag not in _VOID:
                 if tag != "p" or stack[-1][0] == "p":
                     while len(stack) > 1 and stack[-1][0] == "p":
@@ -137,18 +229,26 @@ def blocks(page: str | None) -> list[Block]:
                         break
                     if stack[n][0] in _STOPS:
                         break
-                number += 1
-                stack.append((tag, stack[-1][1] | _flags(tag, m[4]), number))
+                up = stack[-1][1]
+                node = nodes.add(up, tag, attributes)
+                if tag == "h1" or tag == "main":
+                    nodes.mark(up, "h1")
+                elif tag == "article":
+                    nodes.mark(up, "article")
+                stack.append((tag, node, hidden))
     if at < len(page):
         text(page[at:])
     flush()
+    above, near = nodes.said()
+    for b in out:
+        b.above, b.near = above[b.near], near[b.near]
     return out
 
 
 def features(found: list[Block]) -> np.ndarray:
     out = np.zeros((len(found), len(FEATURES)))
     for row, b in zip(out, found):
-        size, flags = len(b.text), b.flags
+        size, flags = len(b.text), b.above
         inside = "article" in flags or "main" in flags
         row[:] = (
             1,
@@ -157,6 +257,8 @@ def features(found: list[Block]) -> np.ndarray:
             "footer" in flags,
             "aside" in flags,
             "form" in flags,
+            "bad" in b.near,
+            "good" in b.near,
             "bad" in flags,
             "good" in flags,
             inside,
@@ -198,7 +300,7 @@ def _made_page(rng: random.Random) -> tuple[str, list[str]]:
         parts.append(wrap("header", ["site-header", "masthead"], f"<p>{line(1, 6)}</p>" + listed(2)))
     if rng.random() < 0.5:
         parts.append(f'<div class="{rng.choice(["ad", "banner", "cookie-notice", "sponsored", "newsletter"])}">{line(2, 20)}</div>')
-    parts.append(wrap("article", ["post", "article", "content", "entry-content"], body) if rng.random() < 0.9 else body)
+    parts.append(wrap("article", ["post", "article", "content", "entry-content", "post has-comments", "story with-sidebar"], body) if rng.random() < 0.9 else body)
     if rng.random() < 0.5:
         parts.append(wrap("aside", ["sidebar", "widget", "related"], f"<h3>{line(1, 4)}</h3>" + listed(4) + f"<p>{line(2, 14)}</p>"))
     if rng.random() < 0.3:
@@ -206,7 +308,10 @@ def _made_page(rng: random.Random) -> tuple[str, list[str]]:
     if rng.random() < 0.3:
         parts.append(f'<section id="comments"><h3>{line(1, 3)}</h3>' + "".join(f"<div><p>{line(3, 40)}</p></div>" for _ in range(3)) + "</section>")
     parts.append(wrap("footer", ["footer", "site-footer"], f"<p>&copy; {line(2, 12)}</p>" + (listed(3) if rng.random() < 0.5 else "")))
-    return "<html><body>" + "".join(parts) + "</body></html>", content
+    inner = "".join(parts)
+    if rng.random() < 0.3:  # names of a theme around everything
+        inner = f'<div class="{rng.choice(["layout", "wrapper sidebar-right", "site header-fixed", "page no-sidebar", "main-content no-menu"])}">{inner}</div>'
+    return rng.choice(["<html><head><title>t</title></head><body>", "<html><head><title>t</title><body>", "<body class='comments-open'>"]) + inner + "</body></html>", content
 
 
 @lru_cache(maxsize=4)
@@ -230,7 +335,7 @@ def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list
     """Labels that minimise the sum of the costs against unary (positive: content) and of cut edges.
 
     A node whose own cost outweighs all its edges keeps its side in any minimum; such nodes are settled
-    first, and maximum flow (breadth-first augmenting paths) settles what is left."""
+    first, and a maximum flow settles what is left."""
     n = len(unary)
     cost, near = list(unary), [dict() for _ in range(n)]
     for a, b, w in edges:
@@ -249,35 +354,66 @@ def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list
             near[a] = {}
     left = [a for a in range(n) if label[a] is None]
     if left:
-        source, sink = n, n + 1
-        room: list[dict[int, float]] = [dict() for _ in range(n + 2)]
-        for a in left:
-            room[a] = dict(near[a])
-            if cost[a] > 0:
-                room[source][a], room[a][source] = cost[a], 0.0
-            else:
-                room[a][sink], room[sink][a] = -cost[a], 0.0
+        for a, inside in zip(left, _source_side(left, cost, near)):
+            label[a] = inside
+    return [bool(x) for x in label]
+
+
+def _source_side(left: list[int], cost: list[float], near: list[dict[int, float]]) -> list[bool]:
+    """Which nodes a maximum flow (Dinic: shortest paths, blocking flows) leaves joined to the source."""
+    place = {a: n for n, a in enumerate(left)}
+    source, sink = len(left), len(left) + 1
+    heads: list[list[int]] = [[] for _ in range(len(left) + 2)]
+    to: list[int] = []
+    room: list[float] = []
+
+    def arc(a: int, b: int, there: float, back: float) -> None:
+        heads[a].append(len(to))
+        heads[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((there, back))
+
+    for n, a in enumerate(left):
+        arc(*((source, n) if cost[a] > 0 else (n, sink)), abs(cost[a]), 0.0)
+        for b, w in near[a].items():
+            if a < b:
+                arc(n, place[b], w, w)
+    tiny = 1e-12
+    while True:
+        level = [-1] * len(heads)
+        level[source], todo = 0, deque([source])
+        while todo:
+            a = todo.popleft()
+            for e in heads[a]:
+                if room[e] > tiny and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    todo.append(to[e])
+        if level[sink] < 0:
+            return [x >= 0 for x in level[: len(left)]]
+        tried, path, a = [0] * len(heads), [], source
         while True:
-            before, todo = {source: source}, deque([source])
-            while todo and sink not in before:
-                a = todo.popleft()
-                for b, w in room[a].items():
-                    if w > 1e-12 and b not in before:
-                        before[b] = a
-                        todo.append(b)
-            if sink not in before:
+            if a == sink:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                cut = next(n for n, e in enumerate(path) if room[e] <= tiny)
+                a = to[path[cut] ^ 1]
+                del path[cut:]
+                continue
+            while tried[a] < len(heads[a]):
+                e = heads[a][tried[a]]
+                if room[e] > tiny and level[to[e]] == level[a] + 1:
+                    break
+                tried[a] += 1
+            if tried[a] < len(heads[a]):
+                path.append(heads[a][tried[a]])
+                a = to[path[-1]]
+            elif path:
+                a = to[path.pop() ^ 1]
+                tried[a] += 1
+            else:
                 break
-            path, b = [], sink
-            while b != source:
-                path.append((before[b], b))
-                b = before[b]
-            flow = min(room[a][b] for a, b in path)
-            for a, b in path:
-                room[a][b] -= flow
-                room[b][a] = room[b].get(a, 0.0) + flow
-        for a in left:
-            label[a] = a in before
-    return [bool(x) for x in label]
 
 
 def labels(found: list[Block], weights: np.ndarray, adjacency: float = 0.5, proximity: float = 0.5, bound: float = 8.0) -> list[bool]:

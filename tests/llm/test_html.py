@@ -1,7 +1,9 @@
 import itertools
+import os
 import random
 
 import numpy as np
+import pytest
 
 from tallyweave.llm import html_extract as m
 
@@ -53,3 +55,58 @@ def test_extract(spark):
     got = m.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert [r["n_chars"] for r in got] == [len(r["text"]) for r in got] and got[1]["text"] == ""
     assert m.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+WORDS = "This paragraph of the article has enough words in it to be told from a menu, and it ends well."
+
+
+@pytest.mark.parametrize(
+    "before,after",
+    [
+        ("<html><head><title>x</title><body><article><h1>Heading</h1>", "</article></body></html>"),
+        ("<body><svg/><article><h1>Heading</h1>", "</article>"),
+        ("<body><noscript>enable it<article><h1>Heading</h1>", "</article>"),
+        ("<body><canvas/><article><h1>Heading</h1>", "</article>"),
+        ("<body class='single comments-open sidebar-right'><div class='post has-comments'><h1>Heading</h1>", "</div>"),
+        ("<body><div class='main-content no-sidebar'><h1>Heading</h1>", "</div>"),
+        ("<body><div class='wrapper sidebar-left'><nav><a href=/>Home</a></nav><main><h1>Heading</h1>", "</main></div>"),
+        ("<body><select><option>One<option>Two</select><article><h1>Heading</h1>", "</article><button>Go"),
+        ("<body><article><svg><path d='M0'/><title>icon</title></svg><h1>Heading</h1>", "</article><iframe src='x'>"),
+        ('<body><article><a title="it\'s>x</a><h1>Heading</h1>', "</article>"),
+    ],
+)
+def test_legal_and_common_pages(before, after):
+    got = m.main_text(f"{before}<p>{WORDS}</p><p>{WORDS}<svg/> {WORDS}</p>{after}", W).split("\n\n")
+    assert got[-3:] == ["Heading", WORDS, f"{WORDS} {WORDS}"]
+
+
+def test_hidden_text_is_not_content():
+    page = f"<article><h1>Heading</h1><p>{WORDS} <button>Like</button><noscript><p>no scripts</p></noscript></p><template><p>{WORDS}</p></template><div hidden><p>{WORDS}</p></div></article>"
+    assert m.main_text(page, W) == f"Heading\n\n{WORDS}"
+
+
+def test_large_undecided_pages_end():
+    rng = random.Random(5)
+    n = 4000
+    unary = [rng.uniform(-0.6, 0.6) for _ in range(n)]
+    edges = [(k - 1, k, 0.5) for k in range(1, n)] + [(k - 7, k, 0.5) for k in range(7, n)]
+    assert len(m.minimum_cut(unary, edges)) == n
+
+
+def test_articles_of_the_pages_table():
+    import html
+    import re
+
+    import duckdb
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    hit = wrong = missed = 0
+    for (page,) in duckdb.sql(f"SELECT html FROM '{path}' WHERE html LIKE '%<article>%'").fetchall():
+        article = page[page.index("<article>") : page.index("</article>") if "</article>" in page else len(page)]
+        parts = re.split(r"</?(?:p|h1|h2|h3|li|ul|blockquote|article|div|section)\b[^>]*>", article)
+        want = {t for p in parts if (t := re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", p.replace("<b>", "").replace("</b>", "")))).strip())}
+        got = set(m.main_text(page, W).split("\n\n"))
+        hit, wrong, missed = hit + len(got & want), wrong + len(got - want), missed + len(want - got)
+    assert hit and hit / (hit + wrong) > 0.98 and hit / (hit + missed) > 0.98
