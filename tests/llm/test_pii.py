@@ -79,6 +79,7 @@ def laid(texts):
 def test_scores_are_the_taggers(decoder):
     texts = [t for t, _ in made(3, 40)]
     want, _ = m.trained().emissions(np.stack([m._classes(t) for t in texts]))
+    want[:, :, 0] -= 0.4
     assert np.abs(want.transpose(1, 0, 2).reshape(-1, m.LABELS) - decoder.scores(*laid(texts), lanes=7)).max() < 1e-3
 
 
@@ -129,10 +130,10 @@ def test_apart_is_every_pair():
 
 
 def test_training_learns():
-    model = m.train(960, 4, 32)
     parts = made(98, 100)
-    e, _ = model.emissions(np.stack([m._classes(t) for t, _ in parts]))
-    assert (e.argmax(axis=2).T == np.stack([g for _, g in parts])).mean() > 0.85
+    decoder = m.Decoder(m.train(1600, 4, 32))
+    classes, first = laid([t for t, _ in parts])
+    assert (decoder.labels(decoder.scores(classes, first), first) == np.concatenate([g for _, g in parts])).mean() > 0.9
 
 
 def test_scan(spark):
@@ -158,7 +159,7 @@ def test_whole_result_by_brute_force(spark, decoder):
             if tags[at] & 1:
                 more.append((m.MODEL_KINDS[tags[at] // 2], at, end))
             at = end
-        more = [x for x in more if m.plausible(x[0], text[x[1] : x[2]]) and not any(s < x[2] and x[1] < e for _, s, e in base)]
+        more = [(m.checked(x[0], text[x[1] : x[2]]), *x[1:]) for x in more if m.checked(x[0], text[x[1] : x[2]]) and not any(s < x[2] and x[1] < e for _, s, e in base)]
         scores = decoder.scores(*laid([text]))
         more = [x for x in more if np.mean([scores[t, tags[t]] - scores[t, 0] for t in range(x[1], x[2])]) >= 0]
         kinds = base + [x for x in more if x[0] != "secret"]
