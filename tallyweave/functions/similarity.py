@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of the table as the bits of one integer."""
-    if len(a) > len(b):
-        a, b = b, a
-    where: dict[str, int] = {}
+def _where(a: str) -> dict[str, int]:
+    """For each character the bits of its places."""
+    out: dict[str, int] = {}
     for n, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << n
-    full = (1 << len(a)) - 1
+        out[c] = out.get(c, 0) | 1 << n
+    return out
+
+
+def _subsequence(where: dict[str, int], size: int, b: str) -> int:
+    """Length of the longest common subsequence of b and the string of `size` with these places."""
+    full = (1 << size) - 1
     row = full
     for c in b:
         hit = row & where.get(c, 0)
         row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    return size - row.bit_count()
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the table as the bits of one integer."""
+    if len(a) > len(b):
+        a, b = b, a
+    return _subsequence(_where(a), len(a), b)
 
 
 def ratio(a: str, b: str) -> float:
@@ -43,14 +53,32 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(ratio(full_left, full_right), 2 * len(common) / (len(common) + len(full_left)), 2 * len(common) / (len(common) + len(full_right)))
 
 
+def _edge(where: dict[str, int], n: int, long: str, best: float) -> float:
+    """The best ratio with the windows shorter than n at the beginning of long: one pass gives all of them."""
+    full = (1 << n) - 1
+    row = full
+    for e, c in enumerate(long[: n - 1], 1):
+        hit = row & where.get(c, 0)
+        row = (row + hit | row - hit) & full
+        if 2 * e / (n + e) > best:  # else even a full hit is no better
+            best = max(best, 2 * (n - row.bit_count()) / (n + e))
+    return best
+
+
 def _best_window(short: str, long: str) -> float:
-    """The best ratio of short with windows of its length, and shorter ones at both ends of long."""
-    n, best = len(short), 0.0
-    whole = [(s, s + n) for s in range(len(long) - n + 1)]
-    edges = [(0, e) for e in range(n - 1, 0, -1)] + [(s, len(long)) for s in range(len(long) - n + 1, len(long))]
-    for s, e in whole + edges:
-        if 2 * (e - s) / (n + e - s) > best:  # else even a full hit is no better
-            best = max(best, ratio(short, long[s:e]))
+    """The best ratio of short with windows of its length, and shorter ones at both ends of long.
+
+    A window moved by one place loses one character and gains one, so its subsequence grows by one at most:
+    the windows that cannot pass the best one so far are left out."""
+    n, where, most, at = len(short), _where(short), 0, 0
+    while at <= len(long) - n and most < n:
+        size = _subsequence(where, n, long[at : at + n])
+        most = max(most, size)
+        at += most - size + 1
+    best = most / n
+    if best < 1.0:
+        best = _edge(where, n, long, best)
+        best = _edge(_where(short[::-1]), n, long[::-1], best)
     return best
 
 
@@ -66,20 +94,21 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 def jaro_winkler(a: str, b: str) -> float:
+    """Places of b as bits: the first free equal one in reach is the lowest bit of a mask."""
     if not a or not b:
         return 1.0 if a == b else 0.0
     reach = max(0, max(len(a), len(b)) // 2 - 1)
-    taken, hits = [False] * len(b), []
+    where, free, hits = _where(b), (1 << len(b)) - 1, []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                hits.append(c)
-                break
+        near = where.get(c, 0) & free & ((1 << i + reach + 1) - 1)
+        near = near >> i - reach << i - reach if i > reach else near
+        if near:
+            free &= ~(near & -near)
+            hits.append(c)
     m = len(hits)
     if not m:
         return 0.0
-    swapped = sum(c != d for c, d in zip(hits, (d for d, t in zip(b, taken) if t))) // 2
+    swapped = sum(c != d for c, d in zip(hits, (d for j, d in enumerate(b) if not free >> j & 1))) // 2
     jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
     if jaro <= 0.7:
         return jaro

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio_col, token_set_col
 from ..functions.text import ADDRESS_COMMON, salient, tokens
+from .pairs import spread
 
 #: A key with more target postings than this is dropped whole; so many candidates stay for a query.
 POSTING_CAP, TOP_K = 150, 32
@@ -66,7 +67,7 @@ def candidate_pairs(queries: DataFrame, targets: DataFrame, cap: int = POSTING_C
 def scored_pairs(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
     """pairs with `prelim`; only the three strings that the score needs are joined on."""
     narrow = lambda df, p, key: df.select(F.col("row_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in ("core", "core_sorted", "address")])
-    joined = pairs.join(narrow(queries, "q", "query_id"), "query_id").join(narrow(targets, "t", "row_id"), "row_id")
+    joined = spread(pairs.join(narrow(targets, "t", "row_id"), "row_id"), "query_id").join(narrow(queries, "q", "query_id"), "query_id")
     parts = joined.select(
         "query_id",
         "row_id",

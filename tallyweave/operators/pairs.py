@@ -26,7 +26,13 @@ CARRIED = (
 def joined(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
     """pairs(query_id, row_id, ...) with both prepared records, as columns l_* and r_*."""
     side = lambda df, p, key: df.select(F.col("row_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in CARRIED])
-    return pairs.join(side(queries, "l", "query_id"), "query_id").join(side(targets, "r", "row_id"), "row_id")
+    return spread(pairs.join(side(targets, "r", "row_id"), "row_id"), "query_id").join(side(queries, "l", "query_id"), "query_id")
+
+
+def spread(pairs: DataFrame, key: str) -> DataFrame:
+    """pairs dealt by the key of the join that follows into all shuffle partitions: string kernels cost far more
+    than the bytes that adaptive coalescing goes by."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _flag(condition: Column) -> Column:

@@ -125,8 +125,9 @@ def pair_features_core(spark, sf_dir):
 
 
 def pair_features_full(spark, sf_dir):
+    """The candidates are written first, two numbers a pair; string kernels then run in a plan of their own."""
     queries, targets, _, top = _top(spark, sf_dir)
-    return pairs.features(top.select("query_id", "row_id"), queries, targets)
+    return pairs.features(sources.durable(top.select("query_id", "row_id")), queries, targets)
 
 
 def labelled_pairs(spark, sf_dir):
@@ -241,15 +242,16 @@ def choose_prefix(spark, sf_dir):
 # --- outputs -----------------------------------------------------------------------------------------
 
 
-def _assembled(spark, sf_dir, name, keep=None):
+def _assembled(spark, sf_dir, *names):
+    keeps = {"matched_entity_ids": metrics.at_least(F.col("p"), THRESHOLD), "candidate_entity_ids": F.lit(True)}
     queries, targets, _, top = _top(spark, sf_dir)
     ranked = top.join(targets.select("row_id", F.col("entity_id").alias("target_entity_id")), "row_id")
     listed = queries.select(F.col("row_id").alias("query_id"), "entity_id", F.col("row_id").alias("ordinal"))
-    return sources.result_rows(listed, ranked, name, keep)
+    return sources.result_lists(listed, ranked, {name: keeps[name] for name in names})
 
 
 def assembled_matches(spark, sf_dir):
-    return _assembled(spark, sf_dir, "matched_entity_ids", metrics.at_least(F.col("p"), THRESHOLD))
+    return _assembled(spark, sf_dir, "matched_entity_ids")
 
 
 def assembled_candidates(spark, sf_dir):
@@ -260,10 +262,11 @@ def _audited(spark, sf_dir):
     """The assembled outputs with faults put in by ordinal: lost rows, wrong order, repeats, strangers."""
     at = lambda n: F.pmod(F.col("ordinal"), F.lit(3 * n)) == 0
     expected = views.records(spark, sf_dir).filter("role = 0").select(F.col("row_id").alias("ordinal"), "entity_id")
-    matching = assembled_matches(spark, sf_dir).filter(~at(31))
+    both = sources.durable(_assembled(spark, sf_dir, "matched_entity_ids", "candidate_entity_ids"))  # two outputs of one ranking
+    matching = both.drop("candidate_entity_ids").filter(~at(31))
     matching = matching.withColumn("source1_entity_id", F.when(at(17), F.lit("S1-none")).otherwise(F.col("source1_entity_id")))
     matching = matching.withColumn("matched_entity_ids", F.when(at(13), F.lit("S2-1,S2-1,S2-none")).otherwise(F.col("matched_entity_ids")))
-    candidates = assembled_candidates(spark, sf_dir)
+    candidates = both.drop("matched_entity_ids")
     candidates = candidates.withColumn("candidate_entity_ids", F.when(at(19), F.lit("X-1")).otherwise(F.col("candidate_entity_ids")))
     targets = views.records(spark, sf_dir).filter("role > 0").select("entity_id")
     return audit.aligned(expected, matching, candidates), targets
@@ -381,6 +384,48 @@ def _plain_sql() -> str:
     return f"WITH {sql.SCORED} SELECT t.query_id, t.row_id, {columns} FROM top t JOIN prepared l ON l.row_id = t.query_id JOIN prepared r ON r.row_id = t.row_id"
 
 
+_SORT = lambda x: f"array_to_string(list_sort({x}), ' ')"
+
+#: Preliminary scores of all candidate pairs.
+_PRELIM = f"""{sql.PAIRS},
+prelim_strings AS (
+  SELECT query_id, p.row_id, l.core AS lc, r.core AS rc, {_SORT('l.core_set')} AS ls, {_SORT('r.core_set')} AS rs, l.address AS la, r.address AS ra
+  FROM pairs p JOIN prepared l ON l.row_id = p.query_id JOIN prepared r ON r.row_id = p.row_id
+),
+{sql.ratios('(SELECT ls AS a, rs AS b FROM prelim_strings)', 'names')}, {sql.set_ratios('(SELECT la AS a, ra AS b FROM prelim_strings)', 'places')},
+prelim_parts AS (
+  SELECT s.*, CASE WHEN lc <> '' AND rc <> '' THEN coalesce(n.r, CASE WHEN ls = rs THEN 1.0 ELSE 0.0 END) ELSE 0.0 END AS n, p.r AS a
+  FROM prelim_strings s LEFT JOIN names n ON n.a = ls AND n.b = rs LEFT JOIN places p ON p.a = la AND p.b = ra
+),
+prelim AS (SELECT query_id, row_id, CASE WHEN la <> '' AND ra <> '' THEN 0.55 * n + 0.35 * a + 0.1 * least(n, a) ELSE 0.75 * n END::DOUBLE AS prelim FROM prelim_parts)"""
+
+
+def _full_sql() -> str:
+    """All 47 features of the top pairs, as floats."""
+    plain = _plain_sql()
+    strings = {f: (f"l.{f}", f"r.{f}") for f in pairs.FIELDS} | {f"{f}_sorted": (_SORT(f"l.{f}_set"), _SORT(f"r.{f}_set")) for f in pairs.FIELDS}
+    wide = ", ".join(f"{x} AS l_{c}, {y} AS r_{c}" for c, (x, y) in strings.items())
+    every = lambda names: "(" + " UNION ".join(f"SELECT l_{c} AS a, r_{c} AS b FROM wide" for c in names) + ")"
+    joins, out = [], {}
+    for f in pairs.FIELDS:
+        for measure, source, column in (("ratio", "ratio", f), ("token_sort", "ratio", f"{f}_sorted"), ("token_set", "sets", f), ("partial", "parts", f)):
+            joins.append(f"LEFT JOIN {source} {f}_{measure} ON {f}_{measure}.a = w.l_{column} AND {f}_{measure}.b = w.r_{column}")
+            out[f"{f}_{measure}"] = f"CASE WHEN l_{f} = '' OR r_{f} = '' THEN 0.0 ELSE coalesce({f}_{measure}.r, 0.0) END"
+        out[f"{f}_jaro"] = f"CASE WHEN l_{f} = '' OR r_{f} = '' THEN 0.0 ELSE jaro_winkler_similarity(l_{f}, r_{f}) END"
+    out["unicode_name_ratio"] = out["name_ratio"]
+    out["name_fuzzy_tokens"] = "fuzzy.r"
+    out["name_address_min"] = f"least({out['core_token_sort']}, {out['address_token_set']})"
+    out["name_address_product"] = f"({out['core_token_sort']}) * ({out['address_token_set']})"
+    measured = ", ".join(f"({out[c]})::FLOAT AS {c}" if c in out else f"plain.{c}::FLOAT AS {c}" for c in pairs.FEATURES)
+    with_plain = plain.replace("round((", "((").replace(")::DOUBLE, 6) AS", ")::DOUBLE) AS")
+    head, tail = with_plain.split(" SELECT t.query_id", 1)
+    return f"""{head},
+plain AS (SELECT t.query_id{tail}),
+wide AS (SELECT t.query_id, t.row_id, row_number() OVER () AS key, l.core_set AS x, r.core_set AS y, {wide} FROM top t JOIN prepared l ON l.row_id = t.query_id JOIN prepared r ON r.row_id = t.row_id),
+{sql.ratios(every(strings), 'ratio')}, {sql.set_ratios(every(pairs.FIELDS), 'sets')}, {sql.partials(every(pairs.FIELDS), 'parts')}, {sql.fuzzy('wide', 'fuzzy')}
+SELECT w.query_id, w.row_id, {measured} FROM wide w JOIN plain USING (query_id, row_id) JOIN fuzzy USING (key) {' '.join(joins)}"""
+
+
 _RATIO = lambda name: f"SELECT p_partkey, round(CASE WHEN length(a) + length(b) = 0 THEN 1 ELSE 2 * lcs / (length(a) + length(b)) END::DOUBLE, 6) AS {name} FROM lcs"
 
 _THREE = """
@@ -447,6 +492,14 @@ ORACLES: dict[str, str] = {
     "jaro_winkler": f"WITH {_PART} SELECT p_partkey, round(jaro_winkler_similarity(a, b), 6) AS jaro_winkler FROM part_pairs",
     "token_overlap": f"WITH {_PART}, sets AS (SELECT p_partkey, {_SET('a')} AS x, {_SET('b')} AS y FROM part_pairs) SELECT p_partkey, round({sql._overlap('x', 'y')[0]}, 6) AS jaccard, round({sql._overlap('x', 'y')[1]}, 6) AS containment FROM sets",
     "pair_features_core": _plain_sql(),
+    "pair_features_full": _full_sql(),
+    "preliminary_similarity": f"WITH {_PRELIM} SELECT query_id, row_id, round(prelim, 6) AS prelim FROM prelim",
+    "topk_candidates": f"""WITH {_PRELIM} SELECT query_id, row_id, round(prelim, 6) AS prelim, rank::INT AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY prelim DESC, row_id DESC) AS rank FROM prelim) WHERE rank <= 32""",
+    "token_set_ratio": f"WITH {_PART}, {sql.set_ratios('part_pairs', 'z')} SELECT p_partkey, round(r, 6) AS ratio FROM part_pairs p JOIN z ON z.a = p.a AND z.b = p.b",
+    "partial_ratio": f"WITH {_PART}, {sql.partials('part_pairs', 'z')} SELECT p_partkey, round(r, 6) AS ratio FROM part_pairs p JOIN z ON z.a = p.a AND z.b = p.b",
+    "fuzzy_tokens": f"""WITH {_PART}, sets AS (SELECT p_partkey AS key, list_distinct({sql.tokens('a')}) AS x, list_distinct({sql.tokens('b')}) AS y FROM part_pairs), {sql.fuzzy('sets', 'z')}
+        SELECT key AS p_partkey, round(r, 6) AS fuzzy FROM z""",
     "labelled_pairs": f"WITH {sql.SCORED} SELECT query_id, row_id, match::INT AS label FROM marked",
     "query_f05": f"WITH {sql.SCORED}, {sql.per_query(_T)} SELECT query_id, n_true, n_predicted, n_hits, n_found, round(f05, 6) AS f05 FROM per_query",
     "macro_f05": f"WITH {sql.SCORED}, {sql.per_query(_T)} SELECT round(avg(f05), 6) AS macro_f05 FROM per_query",

@@ -140,3 +140,72 @@ steps AS (
   )
 ),
 lcs AS (SELECT {key}, a, b, length(a) - bit_count(row) AS lcs FROM steps WHERE n = length(b))"""
+
+
+# --- string measures over distinct pairs of strings, the shorter one under 127 characters ------------
+
+
+def masked(strings: str, name: str) -> str:
+    """CTE name(a, b, s, l, masks): the shorter and the longer string, and for each character of the longer one
+    the bits of its places in the shorter one."""
+    mask = "list_sum(list_transform(range(length(s)), lambda i: CASE WHEN substr(s, i + 1, 1) = c THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END))::HUGEINT"
+    return f"""
+{name}_s AS (SELECT DISTINCT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM {strings} WHERE a <> '' AND b <> ''),
+{name} AS (SELECT a, b, s, l, list_transform(range(length(l)), lambda j: substr(l, j + 1, 1)) AS chars,
+  list_transform(list_transform(range(length(l)), lambda j: substr(l, j + 1, 1)), lambda c: {mask}) AS masks FROM {name}_s)"""
+
+
+def lcs_of(masks: str, size: str) -> str:
+    """Length of the longest common subsequence of a string of that size and the characters with these masks."""
+    full = f"((1::HUGEINT << ({size})::INT) - 1)"
+    step = f"lambda row, hit: ((row + (row & hit)) | (row - (row & hit))) & {full}"
+    return f"(({size}) - bit_count(list_reduce(list_prepend({full}, {masks}), {step})))"
+
+
+def ratios(strings: str, name: str) -> str:
+    """CTE name(a, b, r) of strings(a, b)."""
+    return f"""{masked(strings, name + '_m')},
+{name} AS (SELECT a, b, 2 * {lcs_of('masks', 'length(s)')} / (length(s) + length(l))::DOUBLE AS r FROM {name}_m)"""
+
+
+def set_ratios(strings: str, name: str) -> str:
+    """CTE name(a, b, r): the token set ratio."""
+    joined = lambda x: f"array_to_string(list_sort({x}), ' ')"
+    without = lambda x, y: f"list_filter({x}, lambda t: NOT list_contains({y}, t))"
+    return f"""
+{name}_t AS (SELECT DISTINCT a AS p, b AS q, list_distinct({tokens('a')}) AS x, list_distinct({tokens('b')}) AS y FROM {strings}),
+{name}_u AS (SELECT *, {joined('list_intersect(x, y)')} AS common, {joined(without('x', 'y'))} AS left_only, {joined(without('y', 'x'))} AS right_only FROM {name}_t),
+{name}_v AS (SELECT *, CASE WHEN common = '' THEN left_only ELSE common || ' ' || left_only END AS a, CASE WHEN common = '' THEN right_only ELSE common || ' ' || right_only END AS b FROM {name}_u),
+{ratios(f"{name}_v", name + '_r')},
+{name} AS (
+  SELECT p AS a, q AS b, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN common <> '' AND (left_only = '' OR right_only = '') THEN 1.0
+    WHEN common = '' THEN coalesce(r, 0.0)
+    ELSE greatest(coalesce(r, 0.0), 2 * length(common) / (length(common) + length(v.a))::DOUBLE, 2 * length(common) / (length(common) + length(v.b))::DOUBLE) END AS r
+  FROM {name}_v v LEFT JOIN {name}_r z ON v.a = z.a AND v.b = z.b
+)"""
+
+
+def partials(strings: str, name: str) -> str:
+    """CTE name(a, b, r): the best ratio with a window of the longer string; equal lengths are tried both ways."""
+    windows = """list_concat(list_concat(
+    list_transform(range(length(l) - length(s) + 1), lambda i: {'f': i + 1, 't': i + length(s)}),
+    list_transform(range(1, length(s)), lambda e: {'f': 1::BIGINT, 't': e})),
+    list_transform(range(length(l) - length(s) + 1, length(l)), lambda i: {'f': i + 1, 't': length(l)}))"""
+    return f"""
+{name}_p AS (SELECT DISTINCT a, b FROM {strings} UNION SELECT DISTINCT b, a FROM {strings} WHERE length(a) = length(b)),
+{masked(name + '_p', name + '_m')},
+{name}_b AS (SELECT a, b, s, l, masks FROM {name}_m UNION ALL
+  SELECT b, a, s, l, masks FROM {name}_m WHERE length(a) = length(b) AND a <> b),
+{name}_w AS (SELECT a, b, s, masks, unnest({windows}) AS w FROM {name}_b),
+{name} AS (SELECT a, b, max(2 * {lcs_of('list_slice(masks, w.f, w.t)', 'length(s)')} / (length(s) + w.t - w.f + 1)::DOUBLE) AS r FROM {name}_w GROUP BY a, b)"""
+
+
+def fuzzy(sets: str, name: str) -> str:
+    """CTE name(key, r) of sets(key, x, y): the mean over the smaller token set of each token's best ratio."""
+    return f"""
+{name}_k AS (SELECT key, CASE WHEN len(x) <= len(y) THEN x ELSE y END AS short, CASE WHEN len(x) <= len(y) THEN y ELSE x END AS long FROM {sets}),
+{name}_t AS (SELECT key, short, long, unnest(short) AS a FROM {name}_k),
+{name}_c AS (SELECT key, a, unnest(long) AS b FROM {name}_t),
+{ratios(f"(SELECT DISTINCT a, b FROM {name}_c)", name + '_r')},
+{name}_e AS (SELECT c.key, c.a, max(r) AS best FROM {name}_c c JOIN {name}_r z ON c.a = z.a AND c.b = z.b GROUP BY c.key, c.a),
+{name} AS (SELECT k.key, coalesce(sum(best), 0.0) / greatest(1, any_value(len(short))) AS r FROM {name}_k k LEFT JOIN {name}_e e ON k.key = e.key GROUP BY k.key)"""

@@ -6,6 +6,7 @@ import csv
 import hashlib
 import json
 import os
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -47,6 +48,8 @@ def durable(frame: DataFrame) -> DataFrame:
     """frame computed once, its rows in the shared checkpoint folder; a temporary one only where none is named."""
     context = frame.sparkSession.sparkContext
     if not frame.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyweave-checkpoints-"))
     return frame.checkpoint(eager=True)
 
@@ -82,10 +85,15 @@ def result_rows(queries: DataFrame, ranked: DataFrame, list_name: str, keep=None
     """ordinal, source1_entity_id and the comma-joined target ids in rank order; every query has a row.
 
     queries(query_id, entity_id, ordinal); ranked(query_id, rank, target_entity_id): at most k a query."""
-    lists = (ranked if keep is None else ranked.filter(keep)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "target_entity_id"))).alias("held"))
-    joined = F.array_join(F.transform("held", lambda x: x["target_entity_id"]), ",")
-    out = queries.join(lists, "query_id", "left")
-    return out.select("ordinal", F.col("entity_id").alias("source1_entity_id"), F.coalesce(joined, F.lit("")).alias(list_name))
+    return result_lists(queries, ranked, {list_name: F.lit(True) if keep is None else keep})
+
+
+def result_lists(queries: DataFrame, ranked: DataFrame, lists: dict) -> DataFrame:
+    """As result_rows with several lists, by name the condition of each, in one aggregate."""
+    entry = F.struct("rank", "target_entity_id")
+    held = ranked.groupBy("query_id").agg(*[F.array_sort(F.collect_list(F.when(keep, entry))).alias(name) for name, keep in lists.items()])
+    joined = lambda name: F.coalesce(F.array_join(F.transform(name, lambda x: x["target_entity_id"]), ","), F.lit("")).alias(name)
+    return queries.join(held, "query_id", "left").select("ordinal", F.col("entity_id").alias("source1_entity_id"), *[joined(name) for name in lists])
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:

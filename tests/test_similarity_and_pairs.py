@@ -65,3 +65,47 @@ def test_features_are_finite_and_ignore_ids(spark):
 def test_missing_address_is_not_an_exact_match(spark):
     got = features(spark, ("a", "Acme", "", "x"), ("b", "Acme", "", "y"))
     assert got["address_equal"] == 0 and got["left_address_missing"] == got["right_address_missing"] == 1 and got["country_equal"] == 0
+
+
+def test_windows_and_matches_against_plain_loops():
+    import random
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = row[:]
+            for j, y in enumerate(b, 1):
+                row[j] = old[j - 1] + 1 if x == y else max(row[j - 1], old[j])
+        return row[-1]
+
+    def partial(a, b):
+        if not a or not b:
+            return 1.0 if a == b else 0.0
+        best = 0.0
+        for s, l in [(a, b)] * (len(a) <= len(b)) + [(b, a)] * (len(b) <= len(a)):
+            spans = [(k, k + len(s)) for k in range(len(l) - len(s) + 1)] + [(0, e) for e in range(1, len(s))] + [(k, len(l)) for k in range(len(l) - len(s) + 1, len(l))]
+            best = max([best] + [2 * lcs(s, l[x:y]) / (len(s) + y - x) for x, y in spans])
+        return best
+
+    def jaro(a, b):
+        if not a or not b:
+            return 1.0 if a == b else 0.0
+        reach, taken, hits = max(0, max(len(a), len(b)) // 2 - 1), set(), []
+        for i, c in enumerate(a):
+            at = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in taken and b[j] == c), None)
+            if at is not None:
+                taken.add(at)
+                hits.append(c)
+        if not hits:
+            return 0.0
+        m = len(hits)
+        swapped = sum(x != b[j] for x, j in zip(hits, sorted(taken))) // 2
+        out = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
+        same = next((n for n, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
+        return out + 0.1 * same * (1 - out) if out > 0.7 else out
+
+    rng = random.Random(8)
+    for _ in range(600):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(0, 13))) for _ in range(2))
+        assert abs(S.partial_ratio(a, b) - partial(a, b)) < 1e-12, (a, b)
+        assert abs(S.jaro_winkler(a, b) - jaro(a, b)) < 1e-12, (a, b)
