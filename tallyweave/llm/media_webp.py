@@ -1,15 +1,15 @@
 """Media columns: lossless WebP (VP8L, RFC 9649) in numpy.
 
 `decode` reads any lossless stream: prefix codes, meta prefix images, back-references, colour cache,
-and the predictor, cross-colour, subtract-green and palette transforms. `encode` writes a plain form
-whose four channel codes have equally long words, which both directions treat as whole arrays; with
-`transforms`, `cache_bits` and `matches` it writes the other features too.
+and the predictor, cross-colour, subtract-green and palette transforms. `encode` writes all of them.
 
 `store` / `load` keep any bytes as pixels, four bytes a pixel. An image is 16 pixels wide and at most
-16,384 high; longer payloads go into several images, one after another.
+16,384 high; longer payloads go into several images, one after another. For each image `store` compares the
+entropy of its channels as they are and after each transform, takes the cheapest, and writes what is left by
+Huffman codes with back-references and a colour cache (`compact`, whole arrays at a time).
 
 Defined cases: a null or empty text is stored as 64 zero bytes; equal texts give equal values; repeated
-rows are kept; an empty table gives no rows; extra columns are ignored.
+rows are kept; a null doc_id stays null; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,17 +44,35 @@ def _neighbours() -> list[tuple[int, int]]:
 NEIGHBOURS = _neighbours()
 
 
+@lru_cache(maxsize=1)
+def _mirror() -> np.ndarray:
+    """Numbers of 16 bits with their bits in opposite order."""
+    x = np.arange(1 << 16, dtype=np.uint32)
+    for k in (1, 2, 4, 8):
+        mask = np.uint32(sum(((1 << k) - 1) << n for n in range(0, 16, 2 * k)))
+        x = (x >> np.uint32(k)) & mask | (x & mask) << np.uint32(k)
+    return x
+
+
+def _words(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol its word, first bit lowest, and the number of bits; a lone symbol takes no bits."""
+    words, sizes = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.int64)
+    used = np.flatnonzero(lengths)
+    if len(used) > 1:
+        used = used[np.argsort(lengths[used], kind="stable")]
+        n = lengths[used]
+        share = np.int64(1) << (15 - n)
+        words[used] = _mirror()[(np.cumsum(share) - share) >> (15 - n)] >> (16 - n)
+        sizes[used] = n
+    return words, sizes
+
+
 def _canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     """Symbol -> (word with its first bit lowest, number of bits); a lone symbol takes no bits."""
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
-    if len(used) == 1:
-        return {used[0][1]: (0, 0)}
-    out, code, before = {}, 0, 0
-    for n, s in used:
-        code <<= n - before
-        out[s] = (int(format(code, f"0{n}b")[::-1], 2), n)
-        code, before = code + 1, n
-    return out
+    held = np.asarray(lengths, np.int64)
+    words, sizes = _words(held)
+    used = np.flatnonzero(held)
+    return dict(zip(used.tolist(), zip(words[used].tolist(), sizes[used].tolist())))
 
 
 def _prefixed(value: int) -> tuple[int, int, int]:
@@ -139,6 +157,18 @@ def _crossed(px: int, element: int, sign: int) -> int:
     return (px & 0xFF00FF00) | new_red << 16 | new_blue
 
 
+def _crossed_all(px: np.ndarray, side: list, width: int, height: int, size: int, sign: int) -> np.ndarray:
+    """`_crossed` for all pixels at once."""
+    across, at = -(-width >> size), np.arange(width * height)
+    element = np.array(side, np.uint32)[(at // width >> size) * across + (at % width >> size)]
+    to_red, to_blue, red_to_blue = ((element >> k & 255).astype(np.uint8).view(np.int8).astype(np.int64) for k in (0, 8, 16))
+    green, red, blue = ((px >> 8 & 255).astype(np.uint8).view(np.int8).astype(np.int64), (px >> 16 & 255).astype(np.int64), (px & 255).astype(np.int64))
+    new_red = (red + sign * ((to_red * green) >> 5)) & 255
+    from_red = (new_red if sign > 0 else red).astype(np.uint8).view(np.int8).astype(np.int64)
+    new_blue = (blue + sign * ((to_blue * green) >> 5) + sign * ((red_to_blue * from_red) >> 5)) & 255
+    return (px & np.uint32(0xFF00FF00)) | (new_red << 16 | new_blue).astype(np.uint32)
+
+
 def _green(px: int, sign: int) -> int:
     g = px >> 8 & 255
     return (px & 0xFF00FF00) | ((px >> 16 & 255) + sign * g & 255) << 16 | ((px & 255) + sign * g & 255)
@@ -153,7 +183,7 @@ def _bundle_bits(size: int) -> int:
 
 class _Reader:
     def __init__(self, data: bytes):
-        self.data, self.at = data + bytes(24), 0
+        self.data, self.at = data + bytes(64), 0
 
     def peek(self) -> int:
         byte = self.at >> 3
@@ -179,17 +209,20 @@ class _Code:
             raise ValueError("a prefix code is not complete")
         self.table = None
 
-    def look(self) -> list[tuple[int, int]]:
+    def look(self) -> list[int]:
+        """For the next bits the symbol, in sixteenths, and the length of its word."""
         if self.table is None:
-            self.table = [(0, 0)] * (1 << self.widest)
-            for symbol, (word, n) in _canonical(self.lengths.tolist()).items():
-                self.table[word :: 1 << n] = [(symbol, n)] * (1 << (self.widest - n))
+            # in order of the words, each as often as its bits leave room, then by mirrored index
+            used = self.used[np.argsort(self.lengths[self.used], kind="stable")]
+            n = self.lengths[used] if self.widest else np.zeros(1, np.int64)
+            entries = np.repeat(used << 4 | n, 1 << (self.widest - n))
+            self.table = entries[_mirror()[: 1 << self.widest] if self.widest == 16 else _mirror()[np.arange(1 << self.widest) << (16 - self.widest)]].tolist()
         return self.table
 
     def read(self, reader: _Reader) -> int:
-        symbol, n = self.look()[reader.peek() & ((1 << self.widest) - 1)]
-        reader.at += n
-        return symbol
+        found = self.look()[reader.peek() & ((1 << self.widest) - 1)]
+        reader.at += found & 15
+        return found >> 4
 
     def even(self, below: int = 256) -> np.ndarray | None:
         """The symbols in order of their words if all words have `widest` bits and all are under `below`."""
@@ -226,17 +259,30 @@ def _read_code(r: _Reader, alphabet: int) -> _Code:
         bits = np.unpackbits(raw, bitorder="little")[r.at & 7 :][:alphabet]
         r.at += alphabet
         return _code(kinds[bits].tobytes())
-    at, before = 0, 8
+    at, before, table, mask = 0, 8, code.look(), (1 << code.widest) - 1
+    byte, have = (r.at >> 3) + 32, 256 - (r.at & 7)
+    held = int.from_bytes(r.data[byte - 32 : byte], "little") >> (r.at & 7)
     while at < alphabet and left:
+        if have < 16:
+            held |= int.from_bytes(r.data[byte : byte + 32], "little") << have
+            byte, have = byte + 32, have + 256
         left -= 1
-        symbol = code.read(r)
+        found = table[held & mask]
+        symbol, n = found >> 4, found & 15
+        held >>= n
+        have -= n
         if symbol < 16:
             lengths[at] = symbol
             before, at = symbol or before, at + 1
-        else:
-            value, count = (before, 3 + r.bits(2)) if symbol == 16 else (0, 3 + r.bits(3) if symbol == 17 else 11 + r.bits(7))
+            continue
+        more, extra, value = ((3, 2, before), (3, 3, 0), (11, 7, 0))[symbol - 16]
+        count = more + (held & ((1 << extra) - 1))
+        held >>= extra
+        have -= extra
+        if value:
             lengths[at : at + count] = [value] * count
-            at += count
+        at += count
+    r.at = 8 * byte - have
     return _code(bytes(lengths[:alphabet]))
 
 
@@ -260,25 +306,19 @@ def _read_pixels(r: _Reader, width: int, height: int, top: bool) -> np.ndarray:
     total = width * height
     if groups == 1 and not cache and all((even := [c.even() for c in codes[0][:4]])[k] is not None for k in range(4)):
         return _read_even(r, codes[0], even, total)
+    if tiles is None:
+        return _read_tokens(r, codes[0], width, total, cache, cache_bits)
     px: list[int] = []
     while len(px) < total:
         at = len(px)
-        group = codes[tiles[(at // width >> tile) * across + (at % width >> tile)] if tiles else 0]
+        group = codes[tiles[(at // width >> tile) * across + (at % width >> tile)]]
         g = group[0].read(r)
         if g < 256:
             red, blue, alpha = (group[k].read(r) for k in (1, 2, 3))
             new = [alpha << 24 | red << 16 | g << 8 | blue]
         elif g < 280:
             length = _amount(r, g - 256)
-            back = _amount(r, group[4].read(r))
-            if back > 120:
-                back -= 120
-            else:
-                x, y = NEIGHBOURS[back - 1]
-                back = max(1, x + y * width)
-            if back > at or at + length > total:
-                raise ValueError("a back-reference leaves the image")
-            new = (px[at - back :] * (length // back + 1))[:length]
+            new = _copied(px, length, _amount(r, group[4].read(r)), width, total)
         else:
             new = [cache[g - 280]]
         px += new
@@ -287,6 +327,70 @@ def _read_pixels(r: _Reader, width: int, height: int, top: bool) -> np.ndarray:
     return np.array(px, np.uint32)
 
 
+def _copied(px: list[int], length: int, back: int, width: int, total: int) -> list[int]:
+    """The pixels of a back-reference; small distances are those of the map of neighbours."""
+    at = len(px)
+    if back > 120:
+        back -= 120
+    else:
+        x, y = NEIGHBOURS[back - 1]
+        back = max(1, x + y * width)
+    if back > at or at + length > total:
+        raise ValueError("a back-reference leaves the image")
+    return (px[at - back :] * (length // back + 1))[:length] if length > back else px[at - back : at - back + length]
+
+
+def _read_tokens(r: _Reader, codes: list[_Code], width: int, total: int, cache: list[int], cache_bits: int) -> np.ndarray:
+    """The pixels of one code group, from a buffer of bits that holds whole pixels."""
+    (green, red, blue, alpha), distance = (c.look() for c in codes[:4]), codes[4]
+    masks = [(1 << c.widest) - 1 for c in codes[:4]]
+    in_green, in_red, in_blue, in_alpha = masks
+    begin = r.at >> 5  # words of 32 bits; two symbols take 30 at most
+    words = np.frombuffer(r.data, "<u4", len(r.data) // 4).tolist() + [0] * 4
+    skip = r.at & 31
+    held, have, at = words[begin] >> skip, 32 - skip, begin + 1
+    px, late, shift = [], 0, 32 - cache_bits  # late: the first pixel that is not in the cache yet
+    while len(px) < total:
+        if have < 32:
+            held |= words[at] << have
+            at += 1
+            have += 32
+        g = green[held & in_green]
+        n = g & 15
+        held >>= n
+        have -= n
+        if g < 4096:
+            x = red[held & in_red]
+            n = x & 15
+            held >>= n
+            have -= n
+            if have < 32:
+                held |= words[at] << have
+                at += 1
+                have += 32
+            y = blue[held & in_blue]
+            n = y & 15
+            held >>= n
+            z = alpha[held & in_alpha]
+            n += z & 15
+            held >>= z & 15
+            have -= n
+            px.append(z >> 4 << 24 | x >> 4 << 16 | g >> 4 << 8 | y >> 4)
+        elif g < 4480:
+            r.at = 32 * at - have
+            length = _amount(r, (g >> 4) - 256)
+            px += _copied(px, length, _amount(r, distance.read(r)), width, total)
+            at, skip = r.at >> 5, r.at & 31
+            held, have, at = words[at] >> skip, 32 - skip, at + 1
+        else:
+            for p in px[late:]:
+                cache[(0x1E35A7BD * p & 0xFFFFFFFF) >> shift] = p
+            late = len(px)
+            px.append(cache[(g >> 4) - 280])
+    r.at = 32 * at - have
+    return np.array(px, np.uint32)
+
+
 def _read_even(r: _Reader, codes: list[_Code], symbols: list[np.ndarray], total: int) -> np.ndarray:
     """All pixels at once: each takes the same number of bits."""
     widths = [c.widest for c in codes[:4]]
@@ -355,11 +459,19 @@ def _undo(kind: int, px: np.ndarray, width: int, height: int, size: int, side: l
         x = np.arange(width)
         index = green[:, x >> size] >> ((x & ((1 << size) - 1)) * bits).astype(np.uint32) & ((1 << bits) - 1)
         return known[index].reshape(-1)
+    if kind == CROSS_COLOUR:
+        return _crossed_all(px, side, width, height, size, 1)
+    if set((p >> 8 & 15 for p in side)) <= {2}:  # all from the pixel above: sums down the columns
+        rows = px.view(np.uint8).reshape(height, width, 4).copy()
+        rows[0, :, 3] += 255
+        rows[0] = np.cumsum(rows[0], axis=0, dtype=np.uint8)
+        rows[0, 1:, 3] -= (255 * np.arange(1, width)).astype(np.uint8)
+        return np.cumsum(rows, axis=0, dtype=np.uint8).reshape(-1).view("<u4")
     out, across = px.tolist(), -(-width >> size)
     for y in range(height):
         for x in range(width):
             at, element = y * width + x, side[(y >> size) * across + (x >> size)]
-            out[at] = _add(out[at], _guess(out, at, x, y, width, element >> 8 & 15)) if kind == PREDICTOR else _crossed(out[at], element, 1)
+            out[at] = _add(out[at], _guess(out, at, x, y, width, element >> 8 & 15))
     return np.array(out, np.uint32)
 
 
@@ -382,20 +494,28 @@ def decode(data: bytes) -> list[tuple[int, int, np.ndarray]]:
 # --- writing -------------------------------------------------------------------------------------
 
 
+def _spread(value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bits of all values (of so many bits each, 64 at most), the lowest first."""
+    ends = np.cumsum(size)
+    owner = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(owner)) - (ends - size)[owner]
+    return (value[owner] >> place.astype(np.uint64) & np.uint64(1)).astype(np.uint8)
+
+
 class _Writer:
     def __init__(self):
         self.parts: list[np.ndarray] = []
-        self.value = self.count = 0
+        self.values: list[int] = []
+        self.sizes: list[int] = []
 
     def put(self, value: int, bits: int) -> None:
-        self.value |= value << self.count
-        self.count += bits
+        self.values.append(value)
+        self.sizes.append(bits)
 
     def flush(self) -> None:
-        if self.count:
-            raw = np.frombuffer(self.value.to_bytes((self.count + 7) // 8, "little"), np.uint8)
-            self.parts.append(np.unpackbits(raw, bitorder="little")[: self.count])
-        self.value = self.count = 0
+        if self.values:
+            self.parts.append(_spread(np.array(self.values, np.uint64), np.array(self.sizes, np.int64)))
+            self.values, self.sizes = [], []
 
     def array(self, bits: np.ndarray) -> None:
         self.flush()
@@ -467,21 +587,35 @@ def _write_even(w: _Writer, px: np.ndarray) -> None:
 
 
 def _huffman(counts: list[int]) -> list[int]:
-    """Code lengths of at most 15 bits; counts are halved until the lengths fit."""
-    import heapq
-
+    """Code lengths of at most 15 bits; counts are halved until the lengths fit. Leaves in order of their counts
+    and the nodes made of them are two queues, of whose heads the two lightest are joined."""
+    lengths = [0] * len(counts)
     while True:
-        heap = [(c, n, [n]) for n, c in enumerate(counts) if c]
-        lengths = [0] * len(counts)
-        if len(heap) == 1:
-            lengths[heap[0][1]] = 1
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                lengths[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(lengths) <= 15:
+        leaves = sorted((c, n) for n, c in enumerate(counts) if c)
+        if len(leaves) <= 1:
+            for _, n in leaves:
+                lengths[n] = 1
+            return lengths
+        size = len(leaves)
+        weight = [c for c, _ in leaves] + [0] * (size - 1)
+        parent = [0] * (2 * size - 1)
+        leaf, node = 0, size
+        for new in range(size, 2 * size - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < size and (node >= new or weight[leaf] <= weight[node]):
+                    pick, leaf = leaf, leaf + 1
+                else:
+                    pick, node = node, node + 1
+                total += weight[pick]
+                parent[pick] = new
+            weight[new] = total
+        depth = [0] * (2 * size - 1)
+        for n in range(2 * size - 3, -1, -1):
+            depth[n] = depth[parent[n]] + 1
+        if max(depth) <= 15:
+            for (_, n), d in zip(leaves, depth):
+                lengths[n] = d
             return lengths
         counts = [-(-c // 2) for c in counts]
 
@@ -596,6 +730,234 @@ def encode(px: np.ndarray, width: int, transforms: tuple = (), cache_bits: int =
     return w.file()
 
 
+# --- the compact form: whole arrays at a time ---------------------------------------------------------
+
+#: The longest word of the codes written here, which keeps the reader's tables small.
+LONGEST = 12
+
+
+def _code_lengths(counts: np.ndarray) -> list[int]:
+    """Huffman lengths of at most LONGEST bits."""
+    counts = counts.tolist()
+    while max(lengths := _huffman(counts)) > LONGEST:
+        counts = [-(-c // 4) for c in counts]
+    return lengths if any(lengths) else [1] + [0] * (len(counts) - 1)
+
+
+def _put_lengths(w: _Writer, lengths: list[int]) -> None:
+    """A prefix code whose lengths are coded in turn, runs of zeros and repeats by the codes 16 to 18."""
+    used = [s for s, n in enumerate(lengths) if n]
+    if len(used) <= 2 and used[-1] < 256:
+        _write_lengths(w, lengths)
+        return
+    held = np.array(lengths)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(held)) + 1])
+    symbols, before = [], 8
+    for value, run in zip(held[cut].tolist(), np.diff(np.append(cut, len(held))).tolist()):
+        if not value:
+            while run >= 3:
+                n = min(run, 138)
+                symbols.append((18, n - 11, 7) if n >= 11 else (17, n - 3, 3))
+                run -= n
+        else:
+            if value != before:
+                symbols.append((value, 0, 0))
+                run -= 1
+            while run >= 3:
+                n = min(run, 6)
+                symbols.append((16, n - 3, 2))
+                run -= n
+            before = value
+        symbols += [(value, 0, 0)] * run
+    counts = [0] * 19
+    for s, _, _ in symbols:
+        counts[s] += 1
+    while max(outer := _huffman(counts)) > 7:
+        counts = [-(-c // 2) for c in counts]
+    last = max(n for n, kind in enumerate(CODE_LENGTH_ORDER) if outer[kind])
+    w.put(0, 1)
+    w.put(max(0, last - 3), 4)
+    for kind in CODE_LENGTH_ORDER[: max(4, last + 1)]:
+        w.put(outer[kind], 3)
+    w.put(0, 1)
+    words = _canonical(outer)
+    for s, value, extra in symbols:
+        word, n = words[s]
+        w.put(word | value << n, n + extra)
+
+
+def _copies(px: np.ndarray, least: int = 3) -> list[tuple[int, int, int]]:
+    """Back-references (start, length, distance), from left to right: stretches that agree with the last place
+    where the same `least` pixels stood."""
+    n = len(px) - least + 1
+    if n < 2:
+        return []
+    key = px[:n].astype(np.uint64)
+    for k in range(1, least):
+        key = key * np.uint64(0x9E3779B97F4A7C15) ^ px[k : n + k].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    order = np.argsort(key, kind="stable")
+    again = key[order[1:]] == key[order[:-1]]
+    back = np.zeros(n, np.int64)
+    back[order[1:][again]] = (order[1:] - order[:-1])[again]
+    at = np.flatnonzero(back)
+    # The keys may collide: a copy has to be one.
+    at = at[np.all([px[at + k] == px[at + k - back[at]] for k in range(least)], axis=0)] if len(at) else at
+    if not len(at):
+        return []
+    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(back[at]) != 0))
+    first, last = at[np.concatenate([[0], cut + 1])].tolist(), at[np.concatenate([cut, [len(at) - 1]])].tolist()
+    out, free = [], 0
+    for begin, end in zip(first, last):
+        distance, begin, stop = int(back[begin]), max(begin, free), end + least
+        while stop - begin >= least:
+            length = min(stop - begin, 4096)
+            out.append((begin, length, distance))
+            begin = free = begin + length
+    return out
+
+
+def _cached(px: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's slot in the colour cache, and whether the cache holds it when it comes."""
+    slot = (px * np.uint32(0x1E35A7BD)) >> np.uint32(32 - bits)
+    order = np.argsort(slot, kind="stable")
+    same = (slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])
+    hit = np.zeros(len(px), bool)
+    hit[order[1:][same]] = True
+    return slot.astype(np.int64), hit
+
+
+def _put_pixels(w: _Writer, px: np.ndarray, width: int, top: bool) -> None:
+    """Pixels by Huffman codes; the main image (top) with back-references and a colour cache."""
+    copies = _copies(px) if top else []
+    alone = np.ones(len(px), bool)
+    for begin, length, _ in copies:
+        alone[begin : begin + length] = False
+    bits = min(10, max(1, int(alone.sum()).bit_length() - 3)) if top else 0
+    slot, hit = _cached(px, bits) if bits else (None, np.zeros(len(px), bool))
+    hit &= alone
+    if not hit.any():
+        bits = 0
+    w.put(bool(bits), 1)
+    if bits:
+        w.put(bits, 4)
+    if top:
+        w.put(0, 1)
+    plain = np.flatnonzero(alone & ~hit)
+    channels = [(px[plain] >> np.uint32(k) & np.uint32(255)).astype(np.int64) for k in (8, 16, 0, 24)]
+    short = {max(1, x + y * width): n + 1 for n, (x, y) in reversed(list(enumerate(NEIGHBOURS)))} if copies else {}
+    lengths = [_prefixed(length) for _, length, _ in copies]
+    distances = [_prefixed(short.get(back, back + 120)) for _, _, back in copies]
+    counts = [np.bincount(c, minlength=256) for c in channels]
+    more = np.bincount(slot[hit], minlength=1 << bits) if bits else np.empty(0, np.int64)
+    counts[0] = np.concatenate([counts[0], np.bincount([s for s, _, _ in lengths], minlength=24) if copies else np.zeros(24, np.int64), more])
+    counts.append(np.bincount([s for s, _, _ in distances], minlength=40) if copies else np.zeros(40, np.int64))
+    pooled = _code_lengths(counts[1] + counts[2] + counts[3])  # red, blue and alpha are alike in bytes of text
+    codes = []
+    for k, held in enumerate(counts):
+        if 1 < k < 4:
+            w.array(spelt)
+            codes.append(codes[1])
+            continue
+        found = pooled if k == 1 else _code_lengths(held)
+        own = _Writer()
+        _put_lengths(own, found)
+        own.flush()
+        spelt = np.concatenate(own.parts)
+        w.array(spelt)
+        codes.append(_words(np.array(found)))
+    # One entry a token: what it writes (64 bits at most) and how many bits that is.
+    value, size = np.zeros(len(px), np.uint64), np.zeros(len(px), np.int64)
+    for (words, sizes), symbols in zip(codes, channels):
+        value[plain] |= words[symbols] << size[plain].astype(np.uint64)
+        size[plain] += sizes[symbols]
+    if bits:
+        value[hit], size[hit] = codes[0][0][280 + slot[hit]], codes[0][1][280 + slot[hit]]
+    for (begin, _, _), (s, n, v), (t, m, u) in zip(copies, lengths, distances):
+        whole = at = 0
+        for part, count in ((int(codes[0][0][256 + s]), int(codes[0][1][256 + s])), (v, n), (int(codes[4][0][t]), int(codes[4][1][t])), (u, m)):
+            whole |= part << at
+            at += count
+        value[begin], size[begin] = whole, at
+    # A token may write nothing, where each of its codes has one symbol.
+    keep = np.flatnonzero(size)
+    value, size = value[keep], size[keep]
+    w.array(_spread(value, size))
+
+
+_CHANNELS = np.arange(0, 1024, 256, dtype=np.int64)
+
+
+def _bits_of(px: np.ndarray) -> float:
+    """Bits that the four channels take by their entropy, with a share for each symbol of the codes."""
+    counts = np.bincount((px.view(np.uint8).reshape(-1, 4) + _CHANNELS).reshape(-1), minlength=1024)
+    counts = counts[counts > 0]
+    return float((counts * (np.log2(len(px)) - np.log2(counts))).sum()) + 6.0 * len(counts)
+
+
+def _slopes(px: np.ndarray) -> int:
+    """The cross-colour element of an image: slopes of red and blue over green, in 32nds."""
+    held = px.view(np.int8).reshape(-1, 4).astype(np.float32)  # blue, green, red, alpha
+    held -= held.mean(axis=0)
+    spread = held.T @ held
+    slope = lambda y: int(np.clip(round(32 * float(spread[1, y]) / max(1e-9, float(spread[1, 1]))), -127, 127)) & 255
+    return slope(2) | slope(0) << 8
+
+
+def compact(px: np.ndarray, width: int) -> bytes:
+    """One WebP file of argb pixels by the transform that leaves the least entropy, if any."""
+    px = np.ascontiguousarray(px, np.uint32)
+    height = len(px) // width
+    costs = {(): _bits_of(px)}
+    forms = {(): px}
+    above = px.copy()
+    above[width:] = _less(px[width:], px[:-width])
+    above[1:width] = _less(px[1:width], px[: width - 1])
+    above[0] = _less(px[:1], np.array([0xFF000000], np.uint32))[0]
+    parts = px.view(np.uint8).reshape(-1, 4).copy()
+    parts[:, 0] -= parts[:, 1]
+    parts[:, 2] -= parts[:, 1]
+    element = _slopes(px)
+    forms |= {(PREDICTOR,): above, (SUBTRACT_GREEN,): parts.reshape(-1).view("<u4")}
+    if element:
+        forms[(CROSS_COLOUR,)] = _crossed_all(px, [element], width, height, 14, -1)
+    costs |= {kind: _bits_of(np.ascontiguousarray(form)) + 40 for kind, form in forms.items() if kind}
+    few = len(set(px[:1024].tolist())) <= 256
+    colours = np.unique(px) if few else px
+    if few and len(colours) <= 256:
+        steps = np.concatenate([colours[:1], _less(colours[1:], colours[:-1])])
+        index = np.searchsorted(colours, px)
+        counts = np.bincount(index)
+        costs[(PALETTE,)] = float((counts * (np.log2(len(px)) - np.log2(counts))).sum()) + 6.0 * len(colours) + _bits_of(steps) + 48
+    kinds = min(costs, key=lambda k: (costs[k], k))
+    w = _Writer()
+    w.put(0x2F | (width - 1) << 8 | (height - 1) << 22 | 1 << 36, 40)
+    held, wide = forms.get(kinds, px), width
+    for kind in kinds:
+        w.put(1 | kind << 1, 3)
+        if kind == PALETTE:
+            w.put(len(colours) - 1, 8)
+            _put_pixels(w, steps, len(colours), False)
+            size = _bundle_bits(len(colours))
+            wide = -(-width >> size)
+            shift = np.tile((8 >> size) * (np.arange(width) & ((1 << size) - 1)), height)
+            green = np.zeros(wide * height, np.int64)
+            np.bitwise_or.at(green, np.repeat(np.arange(height), width) * wide + np.tile(np.arange(width) >> size, height), index << shift)
+            held = (np.uint32(0xFF000000) | green.astype(np.uint32) << np.uint32(8)).astype(np.uint32)
+        elif kind in (PREDICTOR, CROSS_COLOUR):
+            # tiles of 512 pixels, all alike: from above, or the one element
+            w.put(7, 3)
+            count = (-(-wide >> 9)) * (-(-height >> 9))
+            _put_pixels(w, np.full(count, 2 << 8 if kind == PREDICTOR else element, np.uint32), -(-wide >> 9), False)
+    w.put(0, 1)
+    _put_pixels(w, held, wide, True)
+    return w.file()
+
+
+def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a - b, channel by channel."""
+    return (a.view(np.uint8) - b.view(np.uint8)).view("<u4")
+
+
 # --- columns ---------------------------------------------------------------------------------------
 
 
@@ -607,7 +969,7 @@ def padded(data: bytes) -> bytes:
 def store(payload: bytes) -> bytes:
     """The payload (a multiple of 64 bytes) as WebP files."""
     px, most = np.frombuffer(payload, "<u4"), WIDTH * MAX_HEIGHT
-    return b"".join(encode(px[at : at + most], WIDTH) for at in range(0, len(px), most))
+    return b"".join(compact(px[at : at + most], WIDTH) for at in range(0, len(px), most))
 
 
 def load(media: bytes) -> bytes:

@@ -51,3 +51,77 @@ def test_columns(spark):
     got = {r["doc_id"]: r for r in m.media_columns(spark.createDataFrame(rows, "doc_id long, text string, media string")).collect()}
     assert got[2][1:] == got[3][1:] and got[1][1:] == got[4][1:] and got[1]["n_bytes"] == 3 and got[2]["payload_bytes"] == 64
     assert m.media_columns(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_file_of_another_writer():
+    import base64
+
+    data = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")  # one transparent pixel, as browsers are probed with
+    ((width, height, px),) = m.decode(data)
+    assert (width, height, px.tolist()) == (1, 1, [0])
+
+
+def features_of(payload):
+    """What a stored payload uses, and whether it comes back."""
+    seen, undo, copied, hits = [], m._undo, m._copied, []
+
+    class Counted(list):
+        def __getitem__(self, k):
+            hits.append(k)
+            return list.__getitem__(self, k)
+
+    read = m._read_tokens
+    try:
+        m._undo = lambda kind, *rest: seen.append(kind) or undo(kind, *rest)
+        m._copied = lambda *args: seen.append("copy") or copied(*args)
+        m._read_tokens = lambda r, codes, width, total, cache, bits: (seen.append("codes") or 0) or read(r, codes, width, total, Counted(cache), bits)
+        assert m.load(m.store(payload)) == payload
+    finally:
+        m._undo, m._copied, m._read_tokens = undo, copied, read
+    return set(seen) | ({"cache"} if hits else set())
+
+
+def test_store_uses_every_part_of_the_format():
+    rng = np.random.default_rng(4)
+    prose = " ".join(rng.choice("the of and house river water under through long small".split(), 3000)).encode()
+    used = features_of(m.padded(prose))
+    assert {"codes", "copy"} <= used
+    colours = rng.integers(0, 2**32, 600, dtype=np.uint32)
+    assert "cache" in features_of(np.concatenate([colours, np.repeat(colours[:40], 3)[rng.permutation(120)]]).astype("<u4").tobytes())
+    assert m.PALETTE in features_of(rng.choice(colours[:9], 640).astype("<u4").tobytes())
+    rows = np.cumsum(np.concatenate([rng.integers(0, 256, (1, 64)), rng.integers(0, 3, (400, 64))]), axis=0).astype(np.uint8)
+    assert m.PREDICTOR in features_of(rows.tobytes())
+    green = rng.integers(0, 256, 16 * 300)
+    alike = np.stack([green + rng.integers(0, 4, len(green)), green, green + 7, np.full(len(green), 9)], axis=1).astype(np.uint8)
+    assert m.SUBTRACT_GREEN in features_of(alike.tobytes())
+    signed = green.astype(np.uint8).view(np.int8).astype(np.int64)
+    sloped = np.stack([(signed * 11 >> 5) + rng.integers(0, 3, len(green)), green, (signed * -19 >> 5) + 40, np.full(len(green), 9)], axis=1).astype(np.uint8)
+    assert m.CROSS_COLOUR in features_of(sloped.tobytes())
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_stored_payloads_of_all_kinds(seed):
+    rng = np.random.default_rng(seed)
+    for n in (16, 32, 48, 160, 1600, 4096):
+        kinds = (rng.integers(0, 256, 4 * n), rng.integers(0, 2, 4 * n), np.repeat(rng.integers(0, 256, n), 4), np.tile(rng.integers(0, 256, n), 4), np.zeros(4 * n), np.arange(4 * n) % 251)
+        for data in kinds:
+            payload = m.padded(data.astype(np.uint8).tobytes())
+            assert m.load(m.store(payload)) == payload
+
+
+def test_every_column_by_brute_force(spark):
+    import hashlib
+    import zlib
+
+    texts = ["abc", "", None, "naïve ß " * 50, "x" * 64, "word " * 5000]
+    got = {r["doc_id"]: r for r in m.media_columns(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep_media=True).collect()}
+    for n, text in enumerate(texts):
+        data = (text or "").encode()
+        whole = data + bytes(max(64, (len(data) + 63) // 64 * 64) - len(data))
+        row, media = got[n], bytes(got[n]["media"])
+        columns = [[whole[k] for k in range(at, len(whole), 16)] for at in range(16)]
+        bands = [sum(b >> 4 == k for b in whole) * 255 // len(whole) for k in range(16)]
+        assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"]) == (len(data), len(whole), hashlib.sha256(whole).hexdigest())
+        assert (row["tail_crc32"], row["media_bytes"], row["media_sha256"]) == (zlib.crc32(whole[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        assert row["feature"] == bytes(int(sum(c) / len(c)) for c in columns).hex() + bytes(bands).hex()
+        assert m.load(media) == whole
