@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import attach, chunks, durable, mixed, null_ids, range_hashes, remove_path, scratch_path, table, text_mark, whole_id, winnow, word_hashes
+from .shared import attach, chunks, durable, mixed, null_ids, range_hashes, remove_path, repeats, scratch_path, table, text_mark, whole_id, winnow, word_hashes
 
 #: k-grams of 15 words: any 35 words in a row hold 21 of them, the least of which is a fingerprint.
 GRAM = 15
@@ -214,20 +214,18 @@ def dedup(
     for batch in batches[1:]:
         docs = docs.unionByName(batch)
     # Copies of whole texts: every window of theirs starts in another document too.
-    texts = docs.select("doc_id", "mark", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-    many = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = texts.join(many, "digest").groupBy("doc_id", "mark").agg(F.lit(True).alias("copied"))
-    # As files they take a fifth of the room that rows take: but for wh the columns repeat.
+    halves = [F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), at, 15), 16, 10).cast("bigint") for at in (1, 17)]
+    texts = docs.select(halves[0].alias("one"), halves[1].alias("two"), "doc_id", "mark", F.monotonically_increasing_id().alias("row"))
     path = scratch_path(spark, "candidate-windows")
+    copies = repeats(texts, ["one", "two"], ["doc_id", "mark", "row"], path + "-copies").groupBy("doc_id", "mark").agg(F.lit(True).alias("copied"))
+    # As files they take a fifth of the room that rows take: but for wh the columns repeat.
     _windows(docs, sieve, length, gram).write.option("compression", "zstd").parquet(path)
-    windows = spark.read.parquet(path)
-    place = F.xxhash64("mark", "s")
-    seen = windows.groupBy("fp", "wh").agg(F.min(place).alias("least"), F.max(place).alias("most"))
-    repeated = durable(seen.filter("least <> most").select("fp", "wh"))  # apart, so that a frequent window's rows can be split in the join
-    real = windows.join(repeated.hint("shuffle_merge"), ["fp", "wh"]).select("doc_id", "mark", "s")
-    spans = _covered(real, length)
+    # One sort over all partitions tells which windows stand elsewhere; a frequent one is spread over many tasks.
+    real = repeats(spark.read.parquet(path), ["fp", "wh"], ["doc_id", "mark", "s"], path + "-repeated")
+    spans = _covered(real.withColumn("s", F.col("s").cast("int")), length)
     side = durable(spans.join(copies, ["doc_id", "mark"], "full_outer").select("doc_id", "mark", "spans", "copied", F.coalesce(F.size("spans"), F.lit(0)).alias("n_ends")))
-    remove_path(spark, path)
+    for done in ("", "-copies", "-repeated"):
+        remove_path(spark, path + done)
 
     def keep(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in rows:

@@ -131,7 +131,8 @@ def repeats(rows: DataFrame, keys: list[str], place: list[str], path: str, later
         held, more, opening = none, False, True  # the first row of the key at hand, and whether it has other places
 
         def out(found: np.ndarray, edge: bool, more: bool) -> pd.DataFrame:
-            return pd.DataFrame(found, columns=columns).assign(edge=edge, more=more)
+            held = pd.DataFrame(found, columns=columns).assign(edge=edge, more=more)
+            return held if edge else held.assign(**dict.fromkeys(keys, 0))  # keys matter no more, and take room
 
         for batch in batches:
             if not len(batch):
