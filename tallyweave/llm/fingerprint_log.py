@@ -265,6 +265,7 @@ def in_batches(docs: DataFrame, count: int, key: str = "doc_id") -> list[DataFra
     return out + [docs.filter(column >= F.lit(cuts[-1]))]
 
 
-def dedup_documents(spark: SparkSession, sf_dir: str, n_batches: int = 2) -> DataFrame:
+def dedup_documents(spark: SparkSession, sf_dir: str, n_batches: int = 3, fan_in: int = 2) -> DataFrame:
+    """The documents as three batches; the third run makes more than `fan_in`, so the log is compacted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup(in_batches(docs, n_batches))
+    return dedup(in_batches(docs, n_batches), fan_in=fan_in)
