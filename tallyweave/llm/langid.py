@@ -51,11 +51,11 @@ def vocabulary(path: str) -> list[str]:
     return [p for n in keep if (p := model.id_to_piece(n)) == p.lower()]
 
 
-def _ranges(category: str) -> str:
-    """The characters of a Unicode category (its first letter) as ranges of a character class."""
+def _ranges(category: str, last: int) -> str:
+    """The characters up to `last` of a Unicode category (its first letter) as ranges of a character class."""
     out, start = [], None
-    for n in range(sys.maxunicode + 2):
-        inside = n <= sys.maxunicode and unicodedata.category(chr(n))[0] == category
+    for n in range(last + 2):
+        inside = n <= last and unicodedata.category(chr(n))[0] == category
         if inside and start is None:
             start = n
         elif not inside and start is not None:
@@ -64,13 +64,18 @@ def _ranges(category: str) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=1)
-def _letters() -> re.Pattern:
-    return re.compile(f"[{_ranges('L')}][{_ranges('L')}{_ranges('M')}]*")
+@lru_cache(maxsize=2)
+def _letters(last: int) -> re.Pattern:
+    return re.compile(f"[{_ranges('L', last)}][{_ranges('L', last)}{_ranges('M', last)}]*")
+
+
+_FAR = re.compile("[\U00010000-\U0010ffff]")
 
 
 def words(text: str | None) -> list[str]:
-    return _letters().findall((text or "").lower())
+    text = (text or "").lower()
+    # Without far characters, which are rare, the class is a table; otherwise it is a list of ranges too.
+    return _letters(sys.maxunicode if _FAR.search(text) else 0xFFFF).findall(text)
 
 
 def with_prefixes(table: dict[str, tuple[float, ...]]) -> dict[str, tuple[float, ...] | None]:
@@ -79,8 +84,8 @@ def with_prefixes(table: dict[str, tuple[float, ...]]) -> dict[str, tuple[float,
     return out | table
 
 
-def forward(word: str, table: dict[str, tuple[float, ...] | None], n_languages: int) -> list[float]:
-    """Log-probability of a word in each language, summed over all segmentations."""
+def forward(word: str, table: dict[str, tuple[float, ...] | None], n_languages: int, longest: int = 64) -> list[float]:
+    """Log-probability of a word in each language, summed over all segmentations; no piece is longer than `longest`."""
     marked = "▁" + word
     size = len(marked)
     found: list[list] = [[] for _ in range(size + 1)]
@@ -91,7 +96,7 @@ def forward(word: str, table: dict[str, tuple[float, ...] | None], n_languages:
                 found[end].append((begin, got))
             elif got is False:
                 break
-    out, longest = [], max((end - arcs[0][0] for end, arcs in enumerate(found) if arcs), default=1)
+    out = []
     for k in range(n_languages):
         sums, scale, total = [1.0], 0.0, 1.0
         for arcs in found[1:]:
@@ -230,7 +235,7 @@ class Scorer:
 
     def __init__(self, model: Model, limit: int = 100_000):
         self.model, self.limit = model, limit
-        self.table = with_prefixes(model.table)
+        self.table, self.longest = with_prefixes(model.table), max(map(len, model.table), default=1)
         self._start({}, np.zeros((0, len(model.languages))))
 
     def _start(self, old: dict[str, int], old_rows: np.ndarray) -> None:
@@ -249,7 +254,7 @@ class Scorer:
             at = self.old.get(word)
             if len(new) == len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[len(new)] = forward(word, self.table, n) if at is None else self.old_rows[at]
+            self.rows[len(new)] = forward(word, self.table, n, self.longest) if at is None else self.old_rows[at]
             new[word] = len(new)
         at = np.fromiter(map(new.__getitem__, counts), np.int64, len(counts))
         totals = np.fromiter(counts.values(), float, len(counts)) @ self.rows[at]
