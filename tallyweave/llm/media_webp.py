@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -69,10 +70,14 @@ def _words(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     """Symbol -> (word with its first bit lowest, number of bits); a lone symbol takes no bits."""
-    held = np.asarray(lengths, np.int64)
-    words, sizes = _words(held)
-    used = np.flatnonzero(held)
-    return dict(zip(used.tolist(), zip(words[used].tolist(), sizes[used].tolist())))
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) == 1:
+        return {used[0][1]: (0, 0)}
+    out, word = {}, 0
+    for n, s in used:
+        out[s] = (int(f"{word >> 15 - n:0{n}b}"[::-1], 2), n)
+        word += 1 << 15 - n
+    return out
 
 
 def _prefixed(value: int) -> tuple[int, int, int]:
@@ -159,12 +164,15 @@ def _crossed(px: int, element: int, sign: int) -> int:
 
 def _crossed_all(px: np.ndarray, side: list, width: int, height: int, size: int, sign: int) -> np.ndarray:
     """`_crossed` for all pixels at once."""
-    across, at = -(-width >> size), np.arange(width * height)
-    element = np.array(side, np.uint32)[(at // width >> size) * across + (at % width >> size)]
-    to_red, to_blue, red_to_blue = ((element >> k & 255).astype(np.uint8).view(np.int8).astype(np.int64) for k in (0, 8, 16))
-    green, red, blue = ((px >> 8 & 255).astype(np.uint8).view(np.int8).astype(np.int64), (px >> 16 & 255).astype(np.int64), (px & 255).astype(np.int64))
+    element = np.array(side, np.uint32)
+    if len(side) > 1:
+        across, at = -(-width >> size), np.arange(width * height)
+        element = element[(at // width >> size) * across + (at % width >> size)]
+    to_red, to_blue, red_to_blue = ((element >> k & 255).astype(np.uint8).view(np.int8).astype(np.int32) for k in (0, 8, 16))
+    channels = px.view(np.uint8).reshape(-1, 4)
+    green, red, blue = channels[:, 1].view(np.int8).astype(np.int32), channels[:, 2].astype(np.int32), channels[:, 0].astype(np.int32)
     new_red = (red + sign * ((to_red * green) >> 5)) & 255
-    from_red = (new_red if sign > 0 else red).astype(np.uint8).view(np.int8).astype(np.int64)
+    from_red = (new_red if sign > 0 else red).astype(np.uint8).view(np.int8).astype(np.int32)
     new_blue = (blue + sign * ((to_blue * green) >> 5) + sign * ((red_to_blue * from_red) >> 5)) & 255
     return (px & np.uint32(0xFF00FF00)) | (new_red << 16 | new_blue).astype(np.uint32)
 
@@ -189,6 +197,10 @@ class _Reader:
         byte = self.at >> 3
         return int.from_bytes(self.data[byte : byte + 9], "little") >> (self.at & 7)
 
+    def ahead(self, n: int) -> int:
+        """The next n bits, which stay."""
+        return int.from_bytes(self.data[self.at >> 3 : self.at + n + 7 >> 3], "little") >> (self.at & 7) & ((1 << n) - 1)
+
     def bits(self, n: int) -> int:
         value = self.peek() & ((1 << n) - 1)
         self.at += n
@@ -207,17 +219,23 @@ class _Code:
         self.widest = int(sizes.max()) if len(self.used) > 1 else 0
         if self.widest and (1 << (self.widest - sizes)).sum() != 1 << self.widest:
             raise ValueError("a prefix code is not complete")
-        self.table = None
+        self.table = self.entries = None
 
     def look(self) -> list[int]:
         """For the next bits the symbol, in sixteenths, and the length of its word."""
         if self.table is None:
+            self.table = self.looked().tolist()
+        return self.table
+
+    def looked(self) -> np.ndarray:
+        """The same as an array."""
+        if self.entries is None:
             # in order of the words, each as often as its bits leave room, then by mirrored index
             used = self.used[np.argsort(self.lengths[self.used], kind="stable")]
             n = self.lengths[used] if self.widest else np.zeros(1, np.int64)
             entries = np.repeat(used << 4 | n, 1 << (self.widest - n))
-            self.table = entries[_mirror()[: 1 << self.widest] if self.widest == 16 else _mirror()[np.arange(1 << self.widest) << (16 - self.widest)]].tolist()
-        return self.table
+            self.entries = entries[_mirror()[: 1 << self.widest] if self.widest == 16 else _mirror()[np.arange(1 << self.widest) << (16 - self.widest)]]
+        return self.entries
 
     def read(self, reader: _Reader) -> int:
         found = self.look()[reader.peek() & ((1 << self.widest) - 1)]
@@ -286,6 +304,21 @@ def _read_code(r: _Reader, alphabet: int) -> _Code:
     return _code(bytes(lengths[:alphabet]))
 
 
+def _read_codes(r: _Reader, slots: int) -> list[_Code]:
+    """The five codes of a group; a code that is spelt like the one before it is not read again."""
+    codes, spelt = [_read_code(r, 280 + slots)], None
+    for _ in range(3):
+        if spelt is None or r.ahead(size) != spelt:
+            begin = r.at
+            codes.append(_read_code(r, 256))
+            size, r.at = r.at - begin, begin
+            spelt = r.ahead(size)
+        else:
+            codes.append(codes[-1])
+        r.at += size
+    return [*codes, _read_code(r, 40)]
+
+
 def _amount(r: _Reader, symbol: int) -> int:
     if symbol < 4:
         return symbol + 1
@@ -302,7 +335,7 @@ def _read_pixels(r: _Reader, width: int, height: int, top: bool) -> np.ndarray:
         tiles = (_read_pixels(r, across, -(-height >> tile), False) >> 8 & 0xFFFF).tolist()
         groups = max(tiles) + 1
     cache = [0] * (1 << cache_bits) if cache_bits else []
-    codes = [[_read_code(r, n) for n in (280 + len(cache), 256, 256, 256, 40)] for _ in range(groups)]
+    codes = [_read_codes(r, len(cache)) for _ in range(groups)]
     total = width * height
     if groups == 1 and not cache and all((even := [c.even() for c in codes[0][:4]])[k] is not None for k in range(4)):
         return _read_even(r, codes[0], even, total)
@@ -340,55 +373,88 @@ def _copied(px: list[int], length: int, back: int, width: int, total: int) -> li
     return (px[at - back :] * (length // back + 1))[:length] if length > back else px[at - back : at - back + length]
 
 
+#: So many bits of the stream are looked up at once; a token takes under 64.
+STRETCH = 1 << 14
+
+
+def _amounts(symbols: np.ndarray, at: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`_amount` of many symbols whose extra bits begin at `at`, and where those end."""
+    extra = np.where(symbols < 4, 0, symbols - 2 >> 1)
+    more = seen.take(at, mode="clip") & (1 << extra) - 1
+    return np.where(symbols < 4, symbols, (2 + (symbols & 1) << extra) + more) + 1, at + extra
+
+
 def _read_tokens(r: _Reader, codes: list[_Code], width: int, total: int, cache: list[int], cache_bits: int) -> np.ndarray:
-    """The pixels of one code group, from a buffer of bits that holds whole pixels."""
-    (green, red, blue, alpha), distance = (c.look() for c in codes[:4]), codes[4]
-    masks = [(1 << c.widest) - 1 for c in codes[:4]]
-    in_green, in_red, in_blue, in_alpha = masks
-    begin = r.at >> 5  # words of 32 bits; two symbols take 30 at most
-    words = np.frombuffer(r.data, "<u4", len(r.data) // 4).tolist() + [0] * 4
-    skip = r.at & 31
-    held, have, at = words[begin] >> skip, 32 - skip, begin + 1
-    px, late, shift = [], 0, 32 - cache_bits  # late: the first pixel that is not in the cache yet
-    while len(px) < total:
-        if have < 32:
-            held |= words[at] << have
-            at += 1
-            have += 32
-        g = green[held & in_green]
-        n = g & 15
-        held >>= n
-        have -= n
-        if g < 4096:
-            x = red[held & in_red]
-            n = x & 15
-            held >>= n
-            have -= n
-            if have < 32:
-                held |= words[at] << have
-                at += 1
-                have += 32
-            y = blue[held & in_blue]
-            n = y & 15
-            held >>= n
-            z = alpha[held & in_alpha]
-            n += z & 15
-            held >>= z & 15
-            have -= n
-            px.append(z >> 4 << 24 | x >> 4 << 16 | g >> 4 << 8 | y >> 4)
-        elif g < 4480:
-            r.at = 32 * at - have
-            length = _amount(r, (g >> 4) - 256)
-            px += _copied(px, length, _amount(r, distance.read(r)), width, total)
-            at, skip = r.at >> 5, r.at & 31
-            held, have, at = words[at] >> skip, 32 - skip, at + 1
+    """The pixels of one code group. For each bit of a stretch it is looked up where a token that begins there
+    ends; only the walk from one token to the next is a loop."""
+    spans, values, backs, have = [], [], [], 0
+    while have < total:
+        base, first = r.at >> 3, r.at & 7
+        limit = min(STRETCH, 64 * (total - have) + 8, 8 * (len(r.data) - base) - 128)
+        if limit <= first:
+            raise ValueError("the stream ends within the image")
+        raw = np.frombuffer(r.data, np.uint8, (limit + 7 >> 3) + 12, base).astype(np.int64)
+        four = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+        seen = (four[:, None] >> np.arange(8)).reshape(-1)
+        place = np.arange(len(seen))
+        found = {c: c.looked().take(seen & (1 << c.widest) - 1) for c in codes[:4]}
+        after = {c: place + (entries & 15) for c, entries in found.items()}
+        green, red, blue, alpha, distance = codes
+        entries = found[green]
+        in_red = after[green]
+        in_blue = after[red].take(in_red, mode="clip")
+        in_alpha = after[blue].take(in_blue, mode="clip")
+        jump = np.where(entries < 4096, after[alpha].take(in_alpha, mode="clip"), in_red)
+        copy = np.flatnonzero((entries >= 4096) & (entries < 4480))
+        length, at = _amounts((entries[copy] >> 4) - 256, in_red[copy], seen)
+        far_off = distance.looked()[seen.take(at, mode="clip") & (1 << distance.widest) - 1]
+        back, jump[copy] = _amounts(far_off >> 4, at + (far_off & 15), seen)
+        walk, pos, onward = [], first, memoryview(jump)
+        if onward[pos] == pos:  # no token takes any bits, so all are alike
+            walk = [pos] * (total - have)
         else:
-            for p in px[late:]:
-                cache[(0x1E35A7BD * p & 0xFFFFFFFF) >> shift] = p
-            late = len(px)
-            px.append(cache[(g >> 4) - 280])
-    r.at = 32 * at - have
-    return np.array(px, np.uint32)
+            while pos < limit:
+                walk.append(pos)
+                pos = onward[pos]
+        walk = np.array(walk)
+        kind = entries[walk] >> 4
+        copied = (kind >= 256) & (kind < 280)
+        which = np.searchsorted(copy, walk[copied])
+        span, far = np.ones(len(walk), np.int64), np.zeros(len(walk), np.int64)
+        span[copied], far[copied] = length[which], back[which]
+        ends = np.cumsum(span)
+        used = min(len(walk), int(np.searchsorted(ends, total - have)) + 1)
+        walk, kind = walk[:used], kind[:used]
+        argb = (
+            found[alpha].take(in_alpha[walk], mode="clip") >> 4 << 24
+            | found[red].take(in_red[walk], mode="clip") >> 4 << 16
+            | kind << 8
+            | found[blue].take(in_blue[walk], mode="clip") >> 4
+        )
+        spans.append(span[:used])
+        backs.append(far[:used])
+        values.append(np.where(kind < 256, argb, np.where(kind < 280, -1, 279 - kind)))  # a slot as -1 - slot
+        have += int(ends[used - 1])
+        r.at = 8 * base + int(jump[walk[-1]])
+    return _placed(np.concatenate(spans), np.concatenate(values), np.concatenate(backs), width, total, cache, cache_bits)
+
+
+def _placed(span: np.ndarray, value: np.ndarray, back: np.ndarray, width: int, total: int, cache: list[int], cache_bits: int) -> np.ndarray:
+    """The pixels of tokens: a colour, a slot of the cache (-1 - slot), or `span` pixels from the distance code `back` on."""
+    special = np.flatnonzero((value < 0) | (back > 0))
+    values, px, done = value.tolist(), [], 0
+    late, shift = 0, 32 - cache_bits  # late: the first pixel that is not in the cache yet
+    for n, length, far in zip(special.tolist(), span[special].tolist(), back[special].tolist()):
+        px += values[done:n]
+        done = n + 1
+        if far:
+            px += _copied(px, length, far, width, total)
+            continue
+        for p in px[late:]:
+            cache[(0x1E35A7BD * p & 0xFFFFFFFF) >> shift] = p
+        late = len(px)
+        px.append(cache[-1 - values[n]])
+    return np.array(px + values[done:], np.uint32)
 
 
 def _read_even(r: _Reader, codes: list[_Code], symbols: list[np.ndarray], total: int) -> np.ndarray:
@@ -496,31 +562,47 @@ def decode(data: bytes) -> list[tuple[int, int, np.ndarray]]:
 
 def _spread(value: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bits of all values (of so many bits each, 64 at most), the lowest first."""
+    keep = np.flatnonzero(size)
+    if not len(keep):
+        return np.empty(0, np.uint8)
+    value, size = value[keep], size[keep]
     ends = np.cumsum(size)
-    owner = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(owner)) - (ends - size)[owner]
-    return (value[owner] >> place.astype(np.uint64) & np.uint64(1)).astype(np.uint8)
+    word, shift = ends - size >> 6, (ends - size & 63).astype(np.uint64)
+    first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])  # each word but the last has a value that begins in it
+    last = np.append(first[1:], len(word)) - 1  # and only the last one of them goes on in the next word
+    held = np.zeros(int(word[-1]) + 2, np.uint64)
+    held[word[first]] = np.bitwise_or.reduceat(value << shift, first)
+    held[word[last] + 1] |= value[last] >> np.uint64(1) >> np.uint64(63) - shift[last]
+    return np.unpackbits(held.view(np.uint8), count=int(ends[-1]), bitorder="little")
 
 
 class _Writer:
     def __init__(self):
         self.parts: list[np.ndarray] = []
-        self.values: list[int] = []
-        self.sizes: list[int] = []
+        self.value = self.size = 0  # bits that are not in parts yet
 
     def put(self, value: int, bits: int) -> None:
-        self.values.append(value)
-        self.sizes.append(bits)
+        self.value |= value << self.size
+        self.size += bits
+        if self.size > 8192:
+            self.flush()
 
     def flush(self) -> None:
-        if self.values:
-            self.parts.append(_spread(np.array(self.values, np.uint64), np.array(self.sizes, np.int64)))
-            self.values, self.sizes = [], []
+        if self.size:
+            raw = np.frombuffer(self.value.to_bytes(self.size + 7 >> 3, "little"), np.uint8)
+            self.parts.append(np.unpackbits(raw, count=self.size, bitorder="little"))
+            self.value = self.size = 0
 
     def array(self, bits: np.ndarray) -> None:
         self.flush()
         self.parts.append(bits)
 
+    def add(self, other: _Writer) -> None:
+        """All that another one holds."""
+        for part in other.parts:
+            self.array(part)
+        self.put(other.value, other.size)
+
     def file(self) -> bytes:
         self.flush()
         body = np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
@@ -591,13 +673,13 @@ def _huffman(counts: list[int]) -> list[int]:
     and the nodes made of them are two queues, of whose heads the two lightest are joined."""
     lengths = [0] * len(counts)
     while True:
-        leaves = sorted((c, n) for n, c in enumerate(counts) if c)
+        leaves = sorted([c << 12 | n for n, c in enumerate(counts) if c])  # fewer than 4,096 symbols
         if len(leaves) <= 1:
-            for _, n in leaves:
-                lengths[n] = 1
+            for leaf in leaves:
+                lengths[leaf & 4095] = 1
             return lengths
         size = len(leaves)
-        weight = [c for c, _ in leaves] + [0] * (size - 1)
+        weight = [leaf >> 12 for leaf in leaves] + [0] * (size - 1)
         parent = [0] * (2 * size - 1)
         leaf, node = 0, size
         for new in range(size, 2 * size - 1):
@@ -614,8 +696,8 @@ def _huffman(counts: list[int]) -> list[int]:
         for n in range(2 * size - 3, -1, -1):
             depth[n] = depth[parent[n]] + 1
         if max(depth) <= 15:
-            for (_, n), d in zip(leaves, depth):
-                lengths[n] = d
+            for leaf, d in zip(leaves, depth):
+                lengths[leaf & 4095] = d
             return lengths
         counts = [-(-c // 2) for c in counts]
 
@@ -634,7 +716,7 @@ def _write_general(w: _Writer, px: list[int], width: int, top: bool, cache_bits:
             down = -(-(len(px) // width) >> tile)
             _write_general(w, [(x + y & 1) << 8 for y in range(down) for x in range(across)], across, False, 0, False, 0)
     group_of = (lambda at: ((at // width >> tile) + (at % width >> tile)) & 1) if groups == 2 else (lambda at: 0)
-    short = {max(1, x + y * width): n + 1 for n, (x, y) in reversed(list(enumerate(NEIGHBOURS)))}
+    short = _short(width)
     cache = [0] * (1 << cache_bits) if cache_bits else []
     seen: dict[tuple, int] = {}
     tokens, at = [], 0
@@ -750,28 +832,29 @@ def _put_lengths(w: _Writer, lengths: list[int]) -> None:
     if len(used) <= 2 and used[-1] < 256:
         _write_lengths(w, lengths)
         return
-    held = np.array(lengths)
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(held)) + 1])
+    held = np.frombuffer(bytes(lengths), np.uint8)
+    cut = [0, *(np.flatnonzero(held[1:] != held[:-1]) + 1).tolist(), len(held)]
     symbols, before = [], 8
-    for value, run in zip(held[cut].tolist(), np.diff(np.append(cut, len(held))).tolist()):
+    for begin, end in zip(cut, cut[1:]):
+        value, run = lengths[begin], end - begin
         if not value:
             while run >= 3:
                 n = min(run, 138)
-                symbols.append((18, n - 11, 7) if n >= 11 else (17, n - 3, 3))
+                symbols.append((n - 11) << 5 | 18 if n >= 11 else (n - 3) << 5 | 17)
                 run -= n
         else:
-            if value != before:
-                symbols.append((value, 0, 0))
+            if value != before and run >= 3:
+                symbols.append(value)
                 run -= 1
             while run >= 3:
                 n = min(run, 6)
-                symbols.append((16, n - 3, 2))
+                symbols.append((n - 3) << 5 | 16)
                 run -= n
             before = value
-        symbols += [(value, 0, 0)] * run
-    counts = [0] * 19
-    for s, _, _ in symbols:
-        counts[s] += 1
+        symbols += [value] * run
+    counts, often = [0] * 19, Counter(symbols)  # of symbols with their extra bits above them
+    for s, n in often.items():
+        counts[s & 31] += n
     while max(outer := _huffman(counts)) > 7:
         counts = [-(-c // 2) for c in counts]
     last = max(n for n, kind in enumerate(CODE_LENGTH_ORDER) if outer[kind])
@@ -781,9 +864,19 @@ def _put_lengths(w: _Writer, lengths: list[int]) -> None:
         w.put(outer[kind], 3)
     w.put(0, 1)
     words = _canonical(outer)
-    for s, value, extra in symbols:
-        word, n = words[s]
-        w.put(word | value << n, n + extra)
+    spelt = {}  # as digits, the last bit first
+    for s in often:
+        word, n = words[s & 31]
+        n += {16: 2, 17: 3, 18: 7}.get(s & 31, 0)
+        spelt[s] = f"{word | s >> 5 << words[s & 31][1]:0{n}b}" if n else ""
+    digits = "".join(map(spelt.__getitem__, reversed(symbols)))
+    w.put(int(digits or "0", 2), len(digits))
+
+
+@lru_cache(maxsize=64)
+def _short(width: int) -> dict[int, int]:
+    """The codes of short distances."""
+    return {max(1, x + y * width): n + 1 for n, (x, y) in reversed(list(enumerate(NEIGHBOURS)))}
 
 
 def _copies(px: np.ndarray, least: int = 3) -> list[tuple[int, int, int]]:
@@ -844,7 +937,7 @@ def _put_pixels(w: _Writer, px: np.ndarray, width: int, top: bool) -> None:
         w.put(0, 1)
     plain = np.flatnonzero(alone & ~hit)
     channels = [(px[plain] >> np.uint32(k) & np.uint32(255)).astype(np.int64) for k in (8, 16, 0, 24)]
-    short = {max(1, x + y * width): n + 1 for n, (x, y) in reversed(list(enumerate(NEIGHBOURS)))} if copies else {}
+    short = _short(width)
     lengths = [_prefixed(length) for _, length, _ in copies]
     distances = [_prefixed(short.get(back, back + 120)) for _, _, back in copies]
     counts = [np.bincount(c, minlength=256) for c in channels]
@@ -855,15 +948,13 @@ def _put_pixels(w: _Writer, px: np.ndarray, width: int, top: bool) -> None:
     codes = []
     for k, held in enumerate(counts):
         if 1 < k < 4:
-            w.array(spelt)
+            w.add(own)
             codes.append(codes[1])
             continue
         found = pooled if k == 1 else _code_lengths(held)
         own = _Writer()
         _put_lengths(own, found)
-        own.flush()
-        spelt = np.concatenate(own.parts)
-        w.array(spelt)
+        w.add(own)
         codes.append(_words(np.array(found)))
     # One entry a token: what it writes (64 bits at most) and how many bits that is.
     value, size = np.zeros(len(px), np.uint64), np.zeros(len(px), np.int64)
@@ -878,9 +969,6 @@ def _put_pixels(w: _Writer, px: np.ndarray, width: int, top: bool) -> None:
             whole |= part << at
             at += count
         value[begin], size[begin] = whole, at
-    # A token may write nothing, where each of its codes has one symbol.
-    keep = np.flatnonzero(size)
-    value, size = value[keep], size[keep]
     w.array(_spread(value, size))
 
 
