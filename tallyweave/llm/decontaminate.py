@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .shared import null_ids, whole_id
+from .shared import held_by_worker, null_ids, whole_id
 
 FOUND = "doc_id bigint, item_id bigint, distance int, start bigint, end bigint"
 _WORD = re.compile(r"[^\W_]+")
@@ -186,17 +186,6 @@ def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
     yield block
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
-def _matcher(key: str, items: list[tuple[int, str]], rate: float) -> Matcher:
-    """The automaton of a block, made once for each Python worker, which serves many tasks."""
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(items, rate)
-    return _MATCHERS[key]
-
-
 @F.pandas_udf(StringType())
 def _normalised(texts: pd.Series) -> pd.Series:
     return texts.map(normalised)
@@ -212,7 +201,7 @@ def leaks(
         sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame], sent=sent, key=key) -> Iterator[pd.DataFrame]:
-            matcher = _matcher(key, sent.value, rate) if sent.value else None
+            matcher = held_by_worker(key, lambda: Matcher(sent.value, rate)) if sent.value else None
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch["doc_id"], batch["text"]):

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import durable
+from .shared import durable, held_by_worker
 
 UNDETERMINED = "und"
 #: Probability of a letter that is not a piece.
@@ -263,19 +263,13 @@ class Scorer:
         return self.model.languages[best], float(1.0 / shares.sum())
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def tagger(spark: SparkSession, model: Model):
     """A column function: text -> struct<lang_pred, score>."""
     sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.pandas_udf("lang_pred string, score double")
     def tag(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = _SCORERS.get(key)  # one for each worker and model, which serves many tasks
-        if scorer is None:
-            _SCORERS.clear()
-            scorer = _SCORERS[key] = Scorer(sent.value)
+        scorer = held_by_worker(key, lambda: Scorer(sent.value))
         for texts in parts:
             yield pd.DataFrame([scorer.score(t) for t in texts], columns=["lang_pred", "score"])
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach, chunks, durable, mixed, range_hashes, remove_path, repeats, scratch_path, text_mark, whole_id, winnow
+from .shared import attach, chunks, durable, let_go, mixed, range_hashes, remove_path, repeats, scratch_path, text_mark, whole_id, winnow
 
 _BLANK = b" \t\n\x0b\x0c\r"
 
@@ -58,6 +58,7 @@ def matches(docs: DataFrame, gram: int, window: int) -> DataFrame:
     (the fingerprint, a hash of the lines to both sides, and where the run starts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             for ids, texts in chunks(zip(batch["doc_id"], batch["mark"]), batch["text"]):
                 hashes, first = _lines(texts)
@@ -105,6 +106,7 @@ def deduplicate(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "
 
     @F.pandas_udf("text string, n_lines bigint, n_removed bigint")
     def cut_all(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        let_go()
         return pd.DataFrame([cut(t, s, length) for t, s in zip(text, starts)], columns=["text", "n_lines", "n_removed"])
 
     return attach(keyed, side, ["doc_id", "mark"], "n_starts").select("row", cut_all(F.col("row")[text_col], F.col("starts")).alias("lines"))

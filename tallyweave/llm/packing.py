@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import attach, durable, null_ids, whole_id
+from .shared import attach, durable, held_by_worker, null_ids, whole_id
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLACED = PIECE + ", sequence_id bigint, offset bigint"
@@ -87,22 +87,12 @@ class ChunkIds:
         return b"".join(map(new.__getitem__, chunks))
 
 
-_TABLES: dict[str, ChunkIds] = {}
-
-
-def chunk_ids(path: str) -> ChunkIds:
-    """One table for each Python worker, which serves many tasks."""
-    if path not in _TABLES:
-        _TABLES[path] = ChunkIds(path)
-    return _TABLES[path]
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, its partition (leaf) and its rank among the
     leaf's pieces of the same length."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, end = chunk_ids(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        table, end = held_by_worker(tokenizer_path, lambda: ChunkIds(tokenizer_path)), np.asarray([end_id], "<u4").tobytes()
         leaf, met = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             out = []

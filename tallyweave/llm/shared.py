@@ -3,13 +3,17 @@ and vectorised hashing of unit (word or line) sequences."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +40,13 @@ def null_ids(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(c), F.lit(NULL_ID)) for c in columns or ("doc_id",)})
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows to an Arrow batch than by default (texts are long), unless the session has its own number."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Fewer rows and bytes to an Arrow batch than by default (texts are long, and a row of tiles holds two whole
+    tiles), unless the session has its own numbers. Batches lie outside the heap, and again in the worker."""
+    for key, default, own in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", "67108864b", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, str(own))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +84,28 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held_by_worker(key: str, make: Callable[[], object]):
+    """make(), made once for each Python worker, which serves many tasks. A worker holds one such thing at a time:
+    what a stage before has left goes first, and its memory back to the system."""
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Drop what the worker holds, if anything; for tasks that need no table."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc keeps freed memory otherwise
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def attach(docs: DataFrame, side: DataFrame, key: str | list[str], weight: str | None = None) -> DataFrame:
     """docs left-joined to side (one row per key at most; already durable).
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import attach, durable, mixed, null_ids, whole_id
+from .shared import attach, durable, let_go, mixed, null_ids, whole_id
 
 TILE = 2048
 
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42
     """doc_id and two arrays of one signed 64-bit number for each seed: fp and least, the least hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             found = [np.array(fingerprint(t, shingle, seeds), np.uint64).view(np.int64) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [x[0] for x in found], "least": [x[1] for x in found]})
@@ -142,6 +143,7 @@ def links(reps: DataFrame, radius: int, words: int, slices: int = 4, width: int
     same = F.col("own") & (F.col("a_tile") == F.col("b_tile"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             out = []
             for same, a_ids, a_fps, b_ids, b_fps in zip(*(batch[c] for c in ("same", "a_ids", "a_fps", "b_ids", "b_fps"))):
@@ -256,6 +258,7 @@ def _compared(pairs: DataFrame, words: int, radius: int, similarity: float) -> D
     """Stars (u, v) of pairs(same, a_..., b_...); if same, a is met with itself."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
@@ -299,11 +302,13 @@ def _similar_groups(docs: DataFrame, similarity: float, shingle: int, radius: in
     texts = docs.select(whole_id(), F.col(text_col).alias("text"))
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             found = [sketch(t, shingle, seeds) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"]} | {name: [x[k] for x in found] for k, name in enumerate(("fp", "least", "size", "same"))})
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch["text"]]
             own = np.array([set_hash(x) for x in sets], np.int64) == batch["same"].to_numpy(np.int64)
