@@ -212,6 +212,11 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis))
 
 
+#: So many characters of each window are scored at once, while their states are near.
+CHUNK = 16
+_clip, _MINUS, _ZERO, _ONE = np._core.umath.clip, np.float32(-1), np.float32(0), np.float32(1)  # np.clip without its checks of each call
+
+
 class Decoder:
     """A trained tagger for whole texts, in single precision. Embedding and input weights are one table
     for each direction, and the lines of the gates are part of them."""
@@ -231,26 +236,42 @@ class Decoder:
             self.trans[:, k] = self.start[k] = -1e4
             self.trans[[k - 1, k], k] = held
 
-    def _run(self, ids: np.ndarray, side: int) -> np.ndarray:
-        """Scores (time, batch, labels) of one direction; ids (time, batch) in its order."""
+    def _run(self, ids: np.ndarray, sizes: np.ndarray, side: int) -> np.ndarray:
+        """Scores (window, time, label) of one direction, that of the right in its opposite order; ids (time, window)
+        in its order, the windows from the longest to the shortest (sizes): those that are over are left out."""
         steps, batch = ids.shape
-        n, table, inner = self.hidden, self.tables[side], self.inner[side]
-        h, c, z, x = (np.zeros(shape, np.float32) for shape in ((n, batch), (n, batch), (4 * n, batch), (batch, 4 * n)))
-        gates, g, i, f, o = z[: 3 * n], z[3 * n :], z[:n], z[n : 2 * n], z[2 * n : 3 * n]
-        states = np.empty((steps, n, batch), np.float32)
-        for t in range(steps):
-            np.dot(inner, h, out=z)
-            np.take(table, ids[t], axis=0, out=x, mode="clip")
-            z += x.T
-            np.clip(gates, 0, 1, out=gates)
-            np.clip(g, -1, 1, out=g)
-            c *= f
-            g *= i
-            c += g
-            h = states[t]
-            np.clip(c, -1, 1, out=h)
-            h *= o
-        return np.matmul(states.transpose(0, 2, 1), self.out[side])
+        n, table, inner, project = self.hidden, self.tables[side], self.inner[side], self.out[side]
+        c, z, x, h = (np.zeros(shape, np.float32) for shape in ((n, batch), (4 * n, batch), (batch, 4 * n), (n, batch)))
+        states = np.zeros((min(steps, CHUNK), n, batch), np.float32)
+        row = np.dtype((np.void, 4 * LABELS))  # the scores of a character move as one
+        out = np.empty((batch, steps), row)
+        live = np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()  # windows longer than the step
+        for begin in range(0, steps, CHUNK):
+            end = min(begin + CHUNK, steps)
+            for t in range(begin, end):
+                m = live[t]
+                if m != len(x):
+                    c, h, x = c[:, :m].copy(), h[:, :m], x[:m]
+                    z = np.empty((4 * n, m), np.float32)
+                np.matmul(inner, h, out=z)
+                np.take(table, ids[t, :m], axis=0, out=x, mode="clip")
+                z += x.T
+                gates, g = z[: 3 * n], z[3 * n :]
+                _clip(gates, _ZERO, _ONE, out=gates)
+                _clip(g, _MINUS, _ONE, out=g)
+                c *= z[n : 2 * n]
+                g *= z[:n]
+                c += g
+                h = states[t - begin, :, :m]
+                _clip(c, _MINUS, _ONE, out=h)
+                h *= z[2 * n : 3 * n]
+            m = live[begin]
+            found = np.matmul(states[: end - begin, :, :m].transpose(0, 2, 1), project).view(row)[..., 0].T
+            if side:
+                out[:m, steps - end : steps - begin] = found[:, ::-1]
+            else:
+                out[:m, begin:end] = found
+        return out.view(np.float32).reshape(batch, steps, LABELS)
 
     def scores(self, classes: np.ndarray, first: np.ndarray, lanes: int = 1536) -> np.ndarray:
         """Scores (character, label) of texts laid end to end; first: where each begins, and the end."""
@@ -260,17 +281,19 @@ class Decoder:
         if not windows:
             return np.zeros((0, LABELS), np.float32)
         held = np.array(windows)
-        held = held[np.argsort(held[:, 1] - held[:, 0], kind="stable")]
+        held = held[np.argsort(held[:, 0] - held[:, 1], kind="stable")]
         out = np.empty((len(classes), LABELS), np.float32)
         padded = np.concatenate([classes, np.full(STRIDE + 2 * MARGIN, 32, classes.dtype)])
         for part in np.array_split(held, -(-len(held) // lanes)):
             low, high = part[:, 0], part[:, 1]
-            step = np.arange((high - low).max())[:, None]
-            left, right = self._run(padded[low + step], 0), self._run(padded[np.maximum(high - 1 - step, 0)], 1)
+            sizes = high - low
+            steps = int(sizes.max())
+            step = np.arange(steps)[:, None]
+            left, right = self._run(padded[low + step], sizes, 0), self._run(padded[np.maximum(high - 1 - step, 0)], sizes, 1)
             for lane, (a, b, begin, end) in enumerate(part.tolist()):
-                own = out[begin:end]
-                np.add(left[begin - a : end - a, lane], right[b - end : b - begin, lane][::-1], out=own)
-        return out + self.bias
+                np.add(left[lane, begin - a : end - a], right[lane, steps - b + begin : steps - b + end], out=out[begin:end])
+        out += self.bias
+        return out
 
     def _gains(self) -> list[tuple[float, float, float]]:
         """For each kind what its first character, each later one and its end gain at most by transitions
@@ -286,8 +309,11 @@ class Decoder:
         """The stretches outside of which the best labelling has no span: those whose characters some span goes
         through that can gain. First by the best gains of all kinds at once, then, inside, kind by kind."""
         gains = self._gains()
-        best = lambda start, gain: reduce(np.maximum, (e[:, start + 2 * n] + np.float32(x[gain]) for n, x in enumerate(gains))) - e[:, 0]
-        enter, inner = best(1, 0), best(2, 1)
+        best = lambda e, start, gain: reduce(np.maximum, (e[start + 2 * n] + np.float32(x[gain]) for n, x in enumerate(gains))) - e[0]
+        enter, inner = np.empty(len(e), np.float32), np.empty(len(e), np.float32)
+        for at in range(0, len(e), 4096):  # label by label, a piece at a time
+            part = np.ascontiguousarray(e[at : at + 4096].T)
+            enter[at : at + 4096], inner[at : at + 4096] = best(part, 1, 0), best(part, 2, 1)
         texts = np.repeat(np.arange(len(first) - 1), np.diff(first))
         rough = np.flatnonzero(_through(enter, inner, max(x[2] for x in gains), texts))
         if not len(rough):

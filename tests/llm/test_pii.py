@@ -166,3 +166,19 @@ def test_whole_result_by_brute_force(spark, decoder):
         assert got[n]["spans"] == line(kinds) and got[n]["base_sha256"] == hashlib.sha256(line(base).encode()).hexdigest()
         assert [got[n][f"n_{k}"] for k in m.KINDS] == [sum(x[0] == k for x in kinds) for k in m.KINDS]
         assert got[n]["secrets"] == line([x for x in more if x[0] == "secret"])
+
+
+def test_windows_of_all_lengths_score_as_alone():
+    """Windows that are over are left out of the steps that follow; the scores stay those of each text alone."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab @.0123é") for _ in range(n)) for n in (0, 1, 2, 15, 16, 17, 31, 33, 400, m.STRIDE, m.STRIDE + 1, 2 * m.STRIDE + 40)]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    model = m.Decoder(m.trained())
+    asked = []
+    step, model._run = model._run, lambda *x: asked.append(x) or step(*x)
+    together = model.scores(m._classes("".join(texts)), first)
+    for n, text in enumerate(texts):
+        alone = model.scores(m._classes(text), np.array([0, len(text)]))
+        np.testing.assert_allclose(together[first[n] : first[n + 1]], alone, atol=1e-4)
+    sizes = asked[0][1]
+    assert list(sizes) == sorted(sizes, reverse=True) and sizes.sum() < 0.6 * len(sizes) * sizes[0]
