@@ -14,6 +14,7 @@ an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -40,6 +41,8 @@ def _byte_letters() -> dict[int, str]:
 #: contractions), nothing that could be a special token, no letter whose lower case needs context.
 _PLAIN = re.compile("[A-Za-z0-9!-&(-/:;=?@\\[-`{}~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+")
 _TOKEN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]|[^A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+#: The ASCII marks of plain chunks.
+_MARKS = frozenset(filter(_PLAIN.fullmatch, map(chr, range(128)))) - set("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
 class ChunkIds:
@@ -60,21 +63,25 @@ class ChunkIds:
         self.tokens: dict[str, bytes] = {}
 
     def _token(self, token: str) -> bytes:
-        spelt = token if token.isascii() else "".join(map(self.letters.__getitem__, token.encode()))
-        return np.asarray([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+        got = self.tokens.get(token)
+        if got is None:
+            if len(self.tokens) > self.limit:
+                self.tokens.clear()
+            spelt = token if token.isascii() else "".join(map(self.letters.__getitem__, token.encode()))
+            ids = [t.id for t in self.model.tokenize(spelt)]
+            got = self.tokens[token] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():  # mostly a word, or a word and a mark
+            lower = chunk.lower()
+            if lower.isalpha():
+                return self._token(lower)
+            if lower[-1:] in _MARKS and lower[:-1].isalpha():
+                return self._token(lower[:-1]) + self._token(lower[-1])
         if not _PLAIN.fullmatch(chunk):
             return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        out = b""
-        for token in _TOKEN.findall(chunk.lower()):
-            got = self.tokens.get(token)
-            if got is None:
-                if len(self.tokens) > self.limit:
-                    self.tokens.clear()
-                got = self.tokens[token] = self._token(token)
-            out += got
-        return out
+        return b"".join(map(self._token, _TOKEN.findall(chunk.lower())))
 
     def ids(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")

@@ -4,6 +4,7 @@ import gc
 
 import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tallyweave.llm import decontaminate, langid, line_dedup, packing, shared, simhash
 
@@ -45,6 +46,13 @@ def test_stages_let_go_of_the_tables_before_them(spark):
     assert "ChunkIds" not in names()
 
 
+def test_marks_and_words_have_the_tokenizers_ids():
+    table, plain = packing.ChunkIds(PATH, limit=50), Tokenizer.from_file(PATH)
+    for text in [f"Word{chr(c)} {chr(c)} {chr(c)}word{chr(c)}{chr(c)} A{chr(c)}" for c in range(33, 127)] + ["Ⱥ éa. É, Word", ". a .a a. A1. 1"]:
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert list(memoryview(table.ids(text)).cast("I")) == ids
+
+
 def test_batches_are_bounded_by_bytes(spark):
     def sizes(batches):
         import pandas as pd
