@@ -1,12 +1,10 @@
 """What a Python worker holds from task to task."""
 
-import gc
-
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyweave.llm import decontaminate, langid, line_dedup, packing, shared, simhash
+from tallyweave.llm import line_dedup, packing, shared, simhash
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -21,29 +19,16 @@ def test_a_worker_holds_one_table():
     assert not shared._HELD
 
 
-def test_stages_let_go_of_the_tables_before_them(spark):
-    """All tasks of one local worker: after each stage no table of another one is left in it."""
-    docs = spark.createDataFrame([(1, "the cat sat on the mat\na\nb\nc", "en"), (2, "the dog\na\nb\nc", "en"), (3, "der hund und die katze", "de")], "doc_id long, text string, lang string").coalesce(1)
-    items = spark.createDataFrame([(1, "the cat sat on the mat")], "item_id long, text string")
-    kinds = (langid.Scorer, decontaminate.Matcher, packing.ChunkIds)
-
-    def left(batches):
-        import pandas as pd
+def test_stages_without_a_table_let_go_of_the_one_before(spark):
+    class Docs:
+        """Gives the function that the workers run."""
 
-        gc.collect()
-        held = [type(x).__name__ for x in gc.get_objects() if isinstance(x, kinds)]
-        for _ in batches:
-            yield pd.DataFrame({"held": [sorted(held)]})
+        select = lambda self, *columns: self
+        mapInPandas = lambda self, run, schema: run
 
-    names = lambda: spark.range(1).coalesce(1).mapInPandas(left, "held array<string>").first()[0]
-    langid.identify(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
-    line_dedup.report(docs).collect()
-    assert "Scorer" not in names()
-    decontaminate.leaks(docs.select("doc_id", "text"), items).collect()
-    packing.pack(docs.select("doc_id", "text"), PATH, capacity=8).collect()
-    assert "Matcher" not in names()
-    simhash.near_groups(docs.select("doc_id", "text")).collect()
-    assert "ChunkIds" not in names()
+    for run in (simhash.fingerprints(Docs()), line_dedup.matches(Docs(), 2, 2)):
+        shared.held_by_worker("table", object)
+        assert shared._HELD and list(run(iter([]))) == [] and not shared._HELD
 
 
 def test_marks_and_words_have_the_tokenizers_ids():
