@@ -73,16 +73,19 @@ def matches(docs: DataFrame, gram: int, window: int) -> DataFrame:
 
 
 def later_runs(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
-    """doc_id, mark and starts: the first lines (counted over units) of the runs that occur earlier.
+    """doc_id, mark, starts and n_starts: the first lines (counted over units) of the runs that occur earlier, and how many.
 
     docs: doc_id, mark, text. The mark tells rows with one doc_id (or none) and different texts apart.
-    Positions meet by fingerprint and equal sides in one sort over all partitions, which splits frequent lines."""
-    path = scratch_path(docs.sparkSession, "line-matches")  # sampled for the bounds of the sort, then read
-    matches(docs, gram, window).write.option("compression", "zstd").parquet(path)
-    later = durable(repeats(docs.sparkSession.read.parquet(path), ["fp", "around"], ["doc_id", "mark", "s"], path + "-later", later_only=True))
-    for done in (path, path + "-later"):
-        remove_path(docs.sparkSession, done)
-    return later.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.col("s").cast("int"))).alias("starts"))
+    Positions meet by fingerprint and equal sides in one sort over all partitions, which splits frequent lines. They are
+    shuffled once before it (sampled for the bounds of the sort, then read) and not written as a table: for each file an
+    executor starts processes, and while one starts all memory of the JVM is seen twice."""
+    path = scratch_path(docs.sparkSession, "line-later")
+    places = matches(docs, gram, window).hint("rebalance")
+    later = repeats(places, ["fp", "around"], ["doc_id", "mark", "s"], path, later_only=True)
+    starts = later.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.col("s").cast("int"))).alias("starts"))
+    starts = durable(starts.withColumn("n_starts", F.size("starts")))
+    remove_path(docs.sparkSession, path)
+    return starts
 
 
 def cut(text: str | None, starts, length: int) -> tuple[str | None, int, int]:
@@ -100,7 +103,7 @@ def deduplicate(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "
     """`row`, all columns of docs as a struct, and `lines`: struct<text, n_lines, n_removed>."""
     key = whole_id(id_col).alias("doc_id"), text_mark(text_col)
     texts = docs.select(*key, F.col(text_col).alias("text"))
-    side = durable(later_runs(texts, gram, window).withColumn("n_starts", F.size("starts")))
+    side = later_runs(texts, gram, window)
     length = gram + window - 1
     keyed = docs.select(*key, F.struct(*docs.columns).alias("row"))
 

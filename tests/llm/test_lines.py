@@ -49,3 +49,14 @@ def test_rows_without_or_with_one_id(spark):
         kept = [t for t in holding if not got[t]["n_removed"]]
         assert len(kept) == 1 and all(got[t]["n_removed"] == 3 and got[t]["text"] == t.replace(shared + "\n", "").replace("\n" + shared, "") for t in holding if t not in kept)
         assert all(got[t]["n_removed"] == 0 and got[t]["text"] == t for t in texts if shared not in t)
+
+
+def test_only_what_is_read_twice_is_written(spark, monkeypatch):
+    cuts, gone = [], []
+    durable, remove_path = m.durable, m.remove_path
+    monkeypatch.setattr(m, "durable", lambda df: cuts.append(1) or durable(df))
+    monkeypatch.setattr(m, "remove_path", lambda s, path: gone.append(path) or remove_path(s, path))
+    docs = spark.createDataFrame([(n, "a\nb\nc\nd" + "\ne" * n) for n in range(6)], "doc_id long, text string")
+    removed = {r["row"]["doc_id"]: r["lines"]["n_removed"] for r in m.deduplicate(docs).collect()}
+    assert removed == {0: 0, 1: 4, 2: 5, 3: 6, 4: 8, 5: 9}
+    assert len(cuts) == 1 and len(gone) == 1
