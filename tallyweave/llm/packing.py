@@ -13,10 +13,11 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,68 +31,89 @@ PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint
 PLACED = PIECE + ", sequence_id bigint, offset bigint"
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> str:
     """The byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(0x100 + n) for n, b in enumerate(other)}
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in plain else next(other)) for b in range(256))
 
 
 #: Chunks whose tokens are plain to see: Latin letters and ASCII marks, no apostrophe (it opens
-#: contractions), nothing that could be a special token, no letter whose lower case needs context.
-_PLAIN = re.compile("[A-Za-z0-9!-&(-/:;=?@\\[-`{}~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+")
-_TOKEN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]|[^A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+#: contractions), nothing that could be a special token, no letter whose lower case needs context or lies elsewhere.
+_PLAIN = re.compile("[A-Za-z0-9!-&(-/:;=?@\\[-`{}~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
+_TOKEN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+|[0-9]|[^A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+")
 #: The ASCII marks of plain chunks.
 _MARKS = frozenset(filter(_PLAIN.fullmatch, map(chr, range(128)))) - set("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+#: Most plain chunks: a word, or a word and a mark.
+_WORD = re.compile(f"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+)([{re.escape(''.join(sorted(_MARKS)))}]?)")
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(33)]
+
+
+def _lowered(text: str) -> str:
+    """The text in lower case where that gives the same ids: the tokenizer lowers letters, and up to U+00FF each
+    by itself; a special token, in its own case, has a `<`."""
+    if "<" in text:
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
+class _Entries(dict):
+    """Ids by chunk; one that is not there is taken from the older half, or made."""
+
+    def __init__(self, make: Callable[[str], bytes], old: dict[str, bytes]):
+        self.make, self.old = make, old
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self.old.get(chunk)
+        if got is None:
+            got = self.make(chunk)
+        self[chunk] = got
+        return got
 
 
 class ChunkIds:
     """Packed little-endian ids of space-free chunks of text, each computed when first met.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its chunks' ids in
-    turn; within a plain chunk the same holds for its runs of letters and of marks. Memory is bounded:
-    when `limit` entries are held they become the older half, of which those that are met again move
-    on, and the rest goes at the next change."""
+    turn; within a plain chunk the same holds for its runs of letters and of marks, which are entries of the
+    same table. Memory is bounded: when `limit` entries are held they become the older half, of which those
+    that are met again move on, and the rest goes at the next change."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.new = _Entries(self._chunk, {})
 
     def _token(self, token: str) -> bytes:
-        got = self.tokens.get(token)
-        if got is None:
-            if len(self.tokens) > self.limit:
-                self.tokens.clear()
-            spelt = token if token.isascii() else "".join(map(self.letters.__getitem__, token.encode()))
-            ids = [t.id for t in self.model.tokenize(spelt)]
-            got = self.tokens[token] = struct.pack(f"<{len(ids)}I", *ids)
-        return got
+        spelt = token if token.isascii() else codecs.charmap_decode(token.encode(), "strict", self.letters)[0]
+        ids = [t.id for t in self.tokenize(spelt)]
+        return _PACKED[len(ids)](*ids) if len(ids) < len(_PACKED) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():  # mostly a word, or a word and a mark
-            lower = chunk.lower()
-            if lower.isalpha():
-                return self._token(lower)
-            if lower[-1:] in _MARKS and lower[:-1].isalpha():
-                return self._token(lower[:-1]) + self._token(lower[-1])
+        lower, new = chunk.lower(), self.new
+        if lower.isascii() and lower.isalpha() and chunk.isascii():
+            return self._token(lower) if lower == chunk else new[lower]
+        if word := _WORD.fullmatch(chunk):
+            if word[2]:
+                return new[lower[:-1]] + new[word[2]]
+            return self._token(lower) if lower == chunk else new[lower]
         if not _PLAIN.fullmatch(chunk):
             return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self._token, _TOKEN.findall(chunk.lower())))
+        tokens = _TOKEN.findall(lower)
+        return self._token(lower) if len(tokens) == 1 else b"".join(map(new.__getitem__, tokens))
 
     def ids(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
         if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        for c in set(chunks).difference(new):
-            got = old.get(c)
-            new[c] = self._chunk(c) if got is None else got
-        return b"".join(map(new.__getitem__, chunks))
+            self.new.old = {}
+            self.new = _Entries(self._chunk, self.new)
+        return b"".join(map(self.new.__getitem__, _lowered(text).replace("\n", " ").split(" ")))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, text_col: str = "text") -> DataFrame:

@@ -81,3 +81,20 @@ def test_long_and_short_texts_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id")
     got = m.pack(docs, PATH, capacity=64, fan_in=3).select("sequence_id", "length").collect()
     assert len({r["sequence_id"] for r in got}) == -(-sum(r["length"] for r in got) // 64)
+
+
+def test_letters_whose_lower_case_lies_elsewhere():
+    table, plain = m.ChunkIds(PATH), Tokenizer.from_file(PATH)
+    odd = ["aƁara1 ƁARA, xƏy2", "aȺb1 ȺB. b\u023eB", "ÀÉ.Þß ĀĂ.1 Ÿÿ,", "<|ENDOFTEXT|> A<|endoftext|>B", "µM ªA ºB Ab\xa0C"]
+    odd += [f"a{chr(c)}b1 {chr(c)}A. {chr(c)}" for c in range(0x80, 0x260)]
+    for text in odd:
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(table.ids(text), "<u4").tolist() == ids
+
+
+def test_words_are_held_once():
+    table = m.ChunkIds(PATH)
+    tokenize, made = table.tokenize, []
+    table.tokenize = lambda x: made.append(x) or tokenize(x)
+    table.ids("House house, HOUSE. \u00c9t\u00e9 \u00e9t\u00e9! (house)")
+    assert len(made) == len(set(made)) == 7  # two words and five marks
