@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -55,6 +56,12 @@ def _mirror() -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=17)
+def _mirrored(bits: int) -> np.ndarray:
+    """The numbers of so many bits, each with its bits in reverse."""
+    return _mirror()[np.arange(1 << bits) << (16 - bits)]
+
+
 def _words(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each symbol its word, first bit lowest, and the number of bits; a lone symbol takes no bits."""
     words, sizes = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.int64)
@@ -162,8 +169,23 @@ def _crossed(px: int, element: int, sign: int) -> int:
     return (px & 0xFF00FF00) | new_red << 16 | new_blue
 
 
+_SIGNED = np.arange(256, dtype=np.uint8).view(np.int8).astype(np.int64)
+
+
+@lru_cache(maxsize=256)
+def _share(slope: int) -> np.ndarray:
+    """What cross-colour adds by a slope (a byte) for each byte of green."""
+    return (_signed(slope) * _SIGNED >> 5).astype(np.uint8)
+
+
 def _crossed_all(px: np.ndarray, side: list, width: int, height: int, size: int, sign: int) -> np.ndarray:
     """`_crossed` for all pixels at once."""
+    if len(side) == 1 and not side[0] >> 16 & 255:  # what is added depends on the green byte alone
+        out = px.view(np.uint8).reshape(-1, 4).copy()
+        for channel, k in ((2, 0), (0, 8)):
+            more = _share(side[0] >> k & 255)[out[:, 1]]
+            out[:, channel] += more if sign > 0 else -more
+        return out.reshape(-1).view("<u4")
     element = np.array(side, np.uint32)
     if len(side) > 1:
         across, at = -(-width >> size), np.arange(width * height)
@@ -207,6 +229,10 @@ class _Reader:
         return value
 
 
+#: Stands for the place after a copy, whose end is read only if the walk comes there.
+STOP = 1 << 40
+
+
 class _Code:
     """A prefix code; its table is made only when single symbols are read."""
 
@@ -219,7 +245,7 @@ class _Code:
         self.widest = int(sizes.max()) if len(self.used) > 1 else 0
         if self.widest and (1 << (self.widest - sizes)).sum() != 1 << self.widest:
             raise ValueError("a prefix code is not complete")
-        self.table = self.entries = None
+        self.table = self.entries = self.bits = None
 
     def look(self) -> list[int]:
         """For the next bits the symbol, in sixteenths, and the length of its word."""
@@ -233,10 +259,21 @@ class _Code:
             # in order of the words, each as often as its bits leave room, then by mirrored index
             used = self.used[np.argsort(self.lengths[self.used], kind="stable")]
             n = self.lengths[used] if self.widest else np.zeros(1, np.int64)
-            entries = np.repeat(used << 4 | n, 1 << (self.widest - n))
-            self.entries = entries[_mirror()[: 1 << self.widest] if self.widest == 16 else _mirror()[np.arange(1 << self.widest) << (16 - self.widest)]]
+            self.entries = np.repeat(used << 4 | n, 1 << (self.widest - n))[_mirrored(self.widest)]
         return self.entries
 
+    def spans(self) -> np.ndarray:
+        """For the next bits the length of the word alone."""
+        if self.bits is None:
+            self.bits = self.looked() & 15
+        return self.bits
+
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """For the next bits, in a code of green: the length of the word, STOP if it begins a copy, and whether it is a colour."""
+        entries = self.looked()
+        colour = entries < 4096
+        return np.where(colour | (entries >= 4480), entries & 15, STOP), colour
+
     def read(self, reader: _Reader) -> int:
         found = self.look()[reader.peek() & ((1 << self.widest) - 1)]
         reader.at += found & 15
@@ -360,14 +397,17 @@ def _read_pixels(r: _Reader, width: int, height: int, top: bool) -> np.ndarray:
     return np.array(px, np.uint32)
 
 
-def _copied(px: list[int], length: int, back: int, width: int, total: int) -> list[int]:
-    """The pixels of a back-reference; small distances are those of the map of neighbours."""
-    at = len(px)
-    if back > 120:
-        back -= 120
-    else:
-        x, y = NEIGHBOURS[back - 1]
-        back = max(1, x + y * width)
+def _distance(code: int, width: int) -> int:
+    """How many pixels back a distance code means; small ones are those of the map of neighbours."""
+    if code > 120:
+        return code - 120
+    x, y = NEIGHBOURS[code - 1]
+    return max(1, x + y * width)
+
+
+def _copied(px: list[int], length: int, code: int, width: int, total: int) -> list[int]:
+    """The pixels of a back-reference."""
+    at, back = len(px), _distance(code, width)
     if back > at or at + length > total:
         raise ValueError("a back-reference leaves the image")
     return (px[at - back :] * (length // back + 1))[:length] if length > back else px[at - back : at - back + length]
@@ -375,19 +415,17 @@ def _copied(px: list[int], length: int, back: int, width: int, total: int) -> li
 
 #: So many bits of the stream are looked up at once; a token takes under 64.
 STRETCH = 1 << 14
-
-
-def _amounts(symbols: np.ndarray, at: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """`_amount` of many symbols whose extra bits begin at `at`, and where those end."""
-    extra = np.where(symbols < 4, 0, symbols - 2 >> 1)
-    more = seen.take(at, mode="clip") & (1 << extra) - 1
-    return np.where(symbols < 4, symbols, (2 + (symbols & 1) << extra) + more) + 1, at + extra
+_EIGHT = np.arange(8)
+_PLACES = np.arange(STRETCH + 256)
 
 
 def _read_tokens(r: _Reader, codes: list[_Code], width: int, total: int, cache: list[int], cache_bits: int) -> np.ndarray:
     """The pixels of one code group. For each bit of a stretch it is looked up where a token that begins there
     ends; only the walk from one token to the next is a loop."""
-    spans, values, backs, have = [], [], [], 0
+    green, red, blue, alpha, distance = codes
+    masks = {c: (1 << c.widest) - 1 for c in codes}
+    green_steps, colour = green.steps()
+    values, copies, have, held = [], [], 0, 0  # held: tokens that are no copies
     while have < total:
         base, first = r.at >> 3, r.at & 7
         limit = min(STRETCH, 64 * (total - have) + 8, 8 * (len(r.data) - base) - 128)
@@ -395,66 +433,103 @@ def _read_tokens(r: _Reader, codes: list[_Code], width: int, total: int, cache:
             raise ValueError("the stream ends within the image")
         raw = np.frombuffer(r.data, np.uint8, (limit + 7 >> 3) + 12, base).astype(np.int64)
         four = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-        seen = (four[:, None] >> np.arange(8)).reshape(-1)
-        place = np.arange(len(seen))
-        found = {c: c.looked().take(seen & (1 << c.widest) - 1) for c in codes[:4]}
-        after = {c: place + (entries & 15) for c, entries in found.items()}
-        green, red, blue, alpha, distance = codes
-        entries = found[green]
-        in_red = after[green]
+        seen = (four[:, None] >> _EIGHT).reshape(-1)
+        after = {c: c.spans().take(seen & masks[c]) for c in {red, blue, alpha}}
+        for step in after.values():
+            step += _PLACES[: len(seen)]
+        at_green = seen & masks[green]
+        in_red = green_steps.take(at_green)
+        in_red += _PLACES[: len(seen)]
         in_blue = after[red].take(in_red, mode="clip")
         in_alpha = after[blue].take(in_blue, mode="clip")
-        jump = np.where(entries < 4096, after[alpha].take(in_alpha, mode="clip"), in_red)
-        copy = np.flatnonzero((entries >= 4096) & (entries < 4480))
-        length, at = _amounts((entries[copy] >> 4) - 256, in_red[copy], seen)
-        far_off = distance.looked()[seen.take(at, mode="clip") & (1 << distance.widest) - 1]
-        back, jump[copy] = _amounts(far_off >> 4, at + (far_off & 15), seen)
+        jump = np.where(colour.take(at_green), after[alpha].take(in_alpha, mode="clip"), in_red)
         walk, pos, onward = [], first, memoryview(jump)
-        if onward[pos] == pos:  # no token takes any bits, so all are alike
-            walk = [pos] * (total - have)
+        while have < total and pos < limit:
+            begin = len(walk)
+            if onward[pos] == pos:  # no token takes any bits, so all are alike
+                walk += [pos] * (total - have)
+            else:
+                add, here = walk.append, pos
+                while here < limit:
+                    add(here)
+                    here = onward[here]
+            last = walk[-1]
+            more = len(walk) - begin - (onward[last] >= STOP)
+            if have + more >= total:
+                del walk[begin + total - have :]
+                more = total - have
+            have += more
+            pos = onward[walk[-1]]
+            if have < total and pos >= STOP:
+                del walk[-1]
+                entry = int(green.looked()[at_green[last]])
+                r.at = 8 * base + last + (entry & 15)
+                length = _amount(r, (entry >> 4) - 256)
+                entry = int(distance.looked()[r.peek() & masks[distance]])
+                r.at += entry & 15
+                copies.append((held + len(walk), length, _amount(r, entry >> 4)))
+                have, pos = have + length, r.at - 8 * base
+        r.at = 8 * base + pos
+        held += len(walk)
+        walk = np.frombuffer(array("q", walk), np.int64)
+        kind = green.looked().take(at_green[walk]) >> 4
+        argb = kind << 8
+        if red is blue is alpha:  # one look-up for all
+            at = np.concatenate([in_red[walk], in_blue[walk], in_alpha[walk]])
+            symbols = (red.looked().take(seen.take(at, mode="clip") & masks[red]) >> 4).reshape(3, -1)
+            argb |= symbols[0] << 16 | symbols[1] | symbols[2] << 24
         else:
-            while pos < limit:
-                walk.append(pos)
-                pos = onward[pos]
-        walk = np.array(walk)
-        kind = entries[walk] >> 4
-        copied = (kind >= 256) & (kind < 280)
-        which = np.searchsorted(copy, walk[copied])
-        span, far = np.ones(len(walk), np.int64), np.zeros(len(walk), np.int64)
-        span[copied], far[copied] = length[which], back[which]
-        ends = np.cumsum(span)
-        used = min(len(walk), int(np.searchsorted(ends, total - have)) + 1)
-        walk, kind = walk[:used], kind[:used]
-        argb = (
-            found[alpha].take(in_alpha[walk], mode="clip") >> 4 << 24
-            | found[red].take(in_red[walk], mode="clip") >> 4 << 16
-            | kind << 8
-            | found[blue].take(in_blue[walk], mode="clip") >> 4
-        )
-        spans.append(span[:used])
-        backs.append(far[:used])
-        values.append(np.where(kind < 256, argb, np.where(kind < 280, -1, 279 - kind)))  # a slot as -1 - slot
-        have += int(ends[used - 1])
-        r.at = 8 * base + int(jump[walk[-1]])
-    return _placed(np.concatenate(spans), np.concatenate(values), np.concatenate(backs), width, total, cache, cache_bits)
-
-
-def _placed(span: np.ndarray, value: np.ndarray, back: np.ndarray, width: int, total: int, cache: list[int], cache_bits: int) -> np.ndarray:
-    """The pixels of tokens: a colour, a slot of the cache (-1 - slot), or `span` pixels from the distance code `back` on."""
-    special = np.flatnonzero((value < 0) | (back > 0))
-    values, px, done = value.tolist(), [], 0
-    late, shift = 0, 32 - cache_bits  # late: the first pixel that is not in the cache yet
-    for n, length, far in zip(special.tolist(), span[special].tolist(), back[special].tolist()):
+            for c, at, k in ((alpha, in_alpha, 24), (red, in_red, 16), (blue, in_blue, 0)):
+                argb |= c.looked().take(seen.take(at[walk], mode="clip") & masks[c]) >> 4 << k
+        values.append(np.where(kind < 256, argb, 279 - kind))
+    return _placed(values[0] if len(values) == 1 else np.concatenate(values), copies, width, total, cache, cache_bits)
+
+
+def _placed(value: np.ndarray, copies: list[tuple[int, int, int]], width: int, total: int, cache: list[int], cache_bits: int) -> np.ndarray:
+    """The pixels of tokens: a colour or a slot of the cache (-1 - slot), and copies as (tokens before it, length,
+    distance code). A slot of the cache is brought up to date when it is asked for: with the last pixel of that slot."""
+    hits = np.flatnonzero(value < 0)
+    if not len(hits) and not copies:
+        return value.astype(np.uint32)
+    values, px, done, asked = value.tolist(), [], 0, iter(())
+    if len(hits):
+        slots = np.where(value < 0, -1 - value, (value.astype(np.uint32) * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
+        at = hits
+        if copies:
+            of, end = np.empty(total, np.uint16), 0
+            for n, length, far in copies:
+                of[end : end + n - done] = slots[done:n]
+                end, done = end + n - done, n
+                back = _distance(far, width)
+                if back > end or end + length > total:
+                    raise ValueError("a back-reference leaves the image")
+                of[end : end + length] = of[end - back : end - back + length] if back >= length else np.resize(of[end - back : end], length)
+                end += length
+            of[end:] = slots[done:]
+            slots, done = of, 0
+            added = np.cumsum([0] + [length for _, length, _ in copies])
+            at = hits + added[np.searchsorted([n for n, _, _ in copies], hits, side="right")]
+        order = np.argsort(slots, kind="stable")
+        same = np.flatnonzero(slots[order[1:]] == slots[order[:-1]])
+        before = np.full(len(slots), -1)
+        before[order[same + 1]] = order[same]
+        asked = zip(hits.tolist(), at.tolist(), before[at].tolist())
+    hit = next(asked, None)
+    for n, length, far in [*copies, (len(values), 0, 0)]:
         px += values[done:n]
-        done = n + 1
-        if far:
+        done = n
+        while hit and hit[0] < n:
+            _, at, last = hit
+            slot = -1 - px[at]
+            if last >= 0:
+                cache[slot] = px[last]
+            px[at] = cache[slot]
+            hit = next(asked, None)
+        if length:
             px += _copied(px, length, far, width, total)
-            continue
-        for p in px[late:]:
-            cache[(0x1E35A7BD * p & 0xFFFFFFFF) >> shift] = p
-        late = len(px)
-        px.append(cache[-1 - values[n]])
-    return np.array(px + values[done:], np.uint32)
+    if len(px) != total:
+        raise ValueError("a copy leaves the image")
+    return np.frombuffer(array("I", px), np.uint32)
 
 
 def _read_even(r: _Reader, codes: list[_Code], symbols: list[np.ndarray], total: int) -> np.ndarray:
@@ -668,9 +743,31 @@ def _write_even(w: _Writer, px: np.ndarray) -> None:
         w.array(np.unpackbits(quads.reshape(-1, 1), axis=1, count=bits).reshape(-1))
 
 
+def _depths(weight: list[int]) -> list[int]:
+    """Code lengths of two symbols or more in order of their counts: they and the nodes made of them are two
+    queues, of whose heads the two lightest are joined."""
+    size = len(weight)
+    weight = weight + [0] * (size - 1)
+    parent = [0] * (2 * size - 1)
+    leaf, node = 0, size
+    for new in range(size, 2 * size - 1):
+        total = 0
+        for _ in (0, 1):
+            if leaf < size and (node >= new or weight[leaf] <= weight[node]):
+                pick, leaf = leaf, leaf + 1
+            else:
+                pick, node = node, node + 1
+            total += weight[pick]
+            parent[pick] = new
+        weight[new] = total
+    depth = [0] * (2 * size - 1)
+    for n in range(2 * size - 3, -1, -1):
+        depth[n] = depth[parent[n]] + 1
+    return depth[:size]
+
+
 def _huffman(counts: list[int]) -> list[int]:
-    """Code lengths of at most 15 bits; counts are halved until the lengths fit. Leaves in order of their counts
-    and the nodes made of them are two queues, of whose heads the two lightest are joined."""
+    """Code lengths of at most 15 bits; counts are halved until the lengths fit."""
     lengths = [0] * len(counts)
     while True:
         leaves = sorted([c << 12 | n for n, c in enumerate(counts) if c])  # fewer than 4,096 symbols
@@ -678,23 +775,7 @@ def _huffman(counts: list[int]) -> list[int]:
             for leaf in leaves:
                 lengths[leaf & 4095] = 1
             return lengths
-        size = len(leaves)
-        weight = [leaf >> 12 for leaf in leaves] + [0] * (size - 1)
-        parent = [0] * (2 * size - 1)
-        leaf, node = 0, size
-        for new in range(size, 2 * size - 1):
-            total = 0
-            for _ in (0, 1):
-                if leaf < size and (node >= new or weight[leaf] <= weight[node]):
-                    pick, leaf = leaf, leaf + 1
-                else:
-                    pick, node = node, node + 1
-                total += weight[pick]
-                parent[pick] = new
-            weight[new] = total
-        depth = [0] * (2 * size - 1)
-        for n in range(2 * size - 3, -1, -1):
-            depth[n] = depth[parent[n]] + 1
+        depth = _depths([leaf >> 12 for leaf in leaves])
         if max(depth) <= 15:
             for leaf, d in zip(leaves, depth):
                 lengths[leaf & 4095] = d
@@ -818,61 +899,83 @@ def encode(px: np.ndarray, width: int, transforms: tuple = (), cache_bits: int =
 LONGEST = 12
 
 
-def _code_lengths(counts: np.ndarray) -> list[int]:
+def _code_lengths(counts: np.ndarray) -> np.ndarray:
     """Huffman lengths of at most LONGEST bits."""
-    counts = counts.tolist()
-    while max(lengths := _huffman(counts)) > LONGEST:
-        counts = [-(-c // 4) for c in counts]
-    return lengths if any(lengths) else [1] + [0] * (len(counts) - 1)
+    used, lengths = np.flatnonzero(counts), np.zeros(len(counts), np.uint8)
+    if len(used) <= 1:
+        lengths[used[0] if len(used) else 0] = 1
+        return lengths
+    counts = counts[used]
+    while True:
+        leaves = np.sort(counts << 12 | used)
+        depth = _depths((leaves >> 12).tolist())
+        if max(depth) <= LONGEST:
+            lengths[leaves & 4095] = depth
+            return lengths
+        counts = -(-counts // 4)
+
+
+@lru_cache(maxsize=4096)
+def _run_symbols(value: int, run: int, again: bool) -> list[int]:
+    """The codes of a run of equal lengths (again: the length before it, zeros apart, is the same), with their
+    extra bits above them."""
+    symbols = []
+    if not value:
+        while run >= 3:
+            n = min(run, 138)
+            symbols.append((n - 11) << 5 | 18 if n >= 11 else (n - 3) << 5 | 17)
+            run -= n
+    else:
+        if not again and run >= 3:
+            symbols.append(value)
+            run -= 1
+        while run >= 3:
+            n = min(run, 6)
+            symbols.append((n - 3) << 5 | 16)
+            run -= n
+    return symbols + [value] * run
 
 
-def _put_lengths(w: _Writer, lengths: list[int]) -> None:
+def _put_lengths(w: _Writer, lengths: np.ndarray) -> None:
     """A prefix code whose lengths are coded in turn, runs of zeros and repeats by the codes 16 to 18."""
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 2 and used[-1] < 256:
+    raw = lengths.tobytes()
+    if len(raw) - raw.count(0) <= 2 and not any(raw[256:]):
         _write_lengths(w, lengths)
         return
-    held = np.frombuffer(bytes(lengths), np.uint8)
-    cut = [0, *(np.flatnonzero(held[1:] != held[:-1]) + 1).tolist(), len(held)]
+    cut = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(raw)]
     symbols, before = [], 8
     for begin, end in zip(cut, cut[1:]):
-        value, run = lengths[begin], end - begin
-        if not value:
-            while run >= 3:
-                n = min(run, 138)
-                symbols.append((n - 11) << 5 | 18 if n >= 11 else (n - 3) << 5 | 17)
-                run -= n
-        else:
-            if value != before and run >= 3:
-                symbols.append(value)
-                run -= 1
-            while run >= 3:
-                n = min(run, 6)
-                symbols.append((n - 3) << 5 | 16)
-                run -= n
-            before = value
-        symbols += [value] * run
+        value = raw[begin]
+        symbols += _run_symbols(value, end - begin, value == before)
+        before = value or before
     counts, often = [0] * 19, Counter(symbols)  # of symbols with their extra bits above them
     for s, n in often.items():
         counts[s & 31] += n
     while max(outer := _huffman(counts)) > 7:
         counts = [-(-c // 2) for c in counts]
-    last = max(n for n, kind in enumerate(CODE_LENGTH_ORDER) if outer[kind])
-    w.put(0, 1)
-    w.put(max(0, last - 3), 4)
-    for kind in CODE_LENGTH_ORDER[: max(4, last + 1)]:
-        w.put(outer[kind], 3)
-    w.put(0, 1)
+    order = [outer[kind] for kind in CODE_LENGTH_ORDER]
+    while len(order) > 4 and not order[-1]:
+        order.pop()
+    head = len(order) - 4 << 1
+    for at, n in enumerate(order):
+        head |= n << 5 + 3 * at
+    w.put(head, 6 + 3 * len(order))
     words = _canonical(outer)
     spelt = {}  # as digits, the last bit first
     for s in often:
         word, n = words[s & 31]
-        n += {16: 2, 17: 3, 18: 7}.get(s & 31, 0)
-        spelt[s] = f"{word | s >> 5 << words[s & 31][1]:0{n}b}" if n else ""
-    digits = "".join(map(spelt.__getitem__, reversed(symbols)))
+        word |= s >> 5 << n
+        n += _EXTRA[s & 31]
+        spelt[s] = f"{word:0{n}b}" if n else ""
+    symbols.reverse()
+    digits = "".join(map(spelt.__getitem__, symbols))
     w.put(int(digits or "0", 2), len(digits))
 
 
+#: Extra bits after each code of a code length.
+_EXTRA = [0] * 16 + [2, 3, 7]
+
+
 @lru_cache(maxsize=64)
 def _short(width: int) -> dict[int, int]:
     """The codes of short distances."""
@@ -888,13 +991,24 @@ def _copies(px: np.ndarray, least: int = 3) -> list[tuple[int, int, int]]:
     key = px[:n].astype(np.uint64)
     for k in range(1, least):
         key = key * np.uint64(0x9E3779B97F4A7C15) ^ px[k : n + k].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    order = np.argsort(key, kind="stable")
-    again = key[order[1:]] == key[order[:-1]]
+    # Sorted by the upper bits of the keys, with the place in the lower ones.
+    low = np.uint64(n.bit_length())
+    held = np.sort(key >> low << low | np.arange(n, dtype=np.uint64))
+    again = np.flatnonzero((held[1:] ^ held[:-1]) >> low == 0)
+    if not len(again):
+        return []
+    held &= np.uint64((1 << int(low)) - 1)
+    order = held.view(np.int64)
     back = np.zeros(n, np.int64)
-    back[order[1:][again]] = (order[1:] - order[:-1])[again]
+    at = order[again + 1]
+    back[at] = at - order[again]
     at = np.flatnonzero(back)
     # The keys may collide: a copy has to be one.
-    at = at[np.all([px[at + k] == px[at + k - back[at]] for k in range(least)], axis=0)] if len(at) else at
+    from_there = at - back[at]
+    alike = px[at] == px[from_there]
+    for k in range(1, least):
+        alike &= px[at + k] == px[from_there + k]
+    at = at[alike]
     if not len(at):
         return []
     cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(back[at]) != 0))
@@ -912,7 +1026,7 @@ def _copies(px: np.ndarray, least: int = 3) -> list[tuple[int, int, int]]:
 def _cached(px: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Each pixel's slot in the colour cache, and whether the cache holds it when it comes."""
     slot = (px * np.uint32(0x1E35A7BD)) >> np.uint32(32 - bits)
-    order = np.argsort(slot, kind="stable")
+    order = np.argsort(slot.astype(np.uint16), kind="stable")  # bits is 11 at most; short numbers sort faster
     same = (slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])
     hit = np.zeros(len(px), bool)
     hit[order[1:][same]] = True
@@ -936,7 +1050,7 @@ def _put_pixels(w: _Writer, px: np.ndarray, width: int, top: bool) -> None:
     if top:
         w.put(0, 1)
     plain = np.flatnonzero(alone & ~hit)
-    channels = [(px[plain] >> np.uint32(k) & np.uint32(255)).astype(np.int64) for k in (8, 16, 0, 24)]
+    channels = px[plain].view(np.uint8).reshape(-1, 4).T[[1, 2, 0, 3]].astype(np.int64)
     short = _short(width)
     lengths = [_prefixed(length) for _, length, _ in copies]
     distances = [_prefixed(short.get(back, back + 120)) for _, _, back in copies]
@@ -955,12 +1069,14 @@ def _put_pixels(w: _Writer, px: np.ndarray, width: int, top: bool) -> None:
         own = _Writer()
         _put_lengths(own, found)
         w.add(own)
-        codes.append(_words(np.array(found)))
+        codes.append(_words(found.astype(np.int64)))
     # One entry a token: what it writes (64 bits at most) and how many bits that is.
     value, size = np.zeros(len(px), np.uint64), np.zeros(len(px), np.int64)
-    for (words, sizes), symbols in zip(codes, channels):
-        value[plain] |= words[symbols] << size[plain].astype(np.uint64)
-        size[plain] += sizes[symbols]
+    whole, at = codes[0][0][channels[0]], codes[0][1][channels[0]]
+    for (words, sizes), symbols in zip(codes[1:4], channels[1:]):
+        whole |= words[symbols] << at.view(np.uint64)
+        at += sizes[symbols]
+    value[plain], size[plain] = whole, at
     if bits:
         value[hit], size[hit] = codes[0][0][280 + slot[hit]], codes[0][1][280 + slot[hit]]
     for (begin, _, _), (s, n, v), (t, m, u) in zip(copies, lengths, distances):
@@ -972,14 +1088,19 @@ def _put_pixels(w: _Writer, px: np.ndarray, width: int, top: bool) -> None:
     w.array(_spread(value, size))
 
 
-_CHANNELS = np.arange(0, 1024, 256, dtype=np.int64)
+@lru_cache(maxsize=1)
+def _weighed(most: int) -> np.ndarray:
+    """n * log2(n) for n up to the most pixels."""
+    n = np.arange(most + 1, dtype=np.float64)
+    return n * np.log2(np.maximum(n, 1))
 
 
-def _bits_of(px: np.ndarray) -> float:
-    """Bits that the four channels take by their entropy, with a share for each symbol of the codes."""
-    counts = np.bincount((px.view(np.uint8).reshape(-1, 4) + _CHANNELS).reshape(-1), minlength=1024)
-    counts = counts[counts > 0]
-    return float((counts * (np.log2(len(px)) - np.log2(counts))).sum()) + 6.0 * len(counts)
+def _bits_of(planes: np.ndarray) -> np.ndarray:
+    """For each row of bytes the bits that they take by their entropy, with a share for each symbol of the code."""
+    k, n = planes.shape
+    counts = np.bincount((planes + np.arange(0, 256 * k, 256)[:, None]).reshape(-1), minlength=256 * k).reshape(k, 256)
+    weighed = _weighed(max(n, WIDTH * MAX_HEIGHT))
+    return weighed[n] - weighed.take(counts).sum(axis=1) + 6.0 * (counts > 0).sum(axis=1)
 
 
 def _slopes(px: np.ndarray) -> int:
@@ -987,7 +1108,7 @@ def _slopes(px: np.ndarray) -> int:
     held = px.view(np.int8).reshape(-1, 4).astype(np.float32)  # blue, green, red, alpha
     held -= held.mean(axis=0)
     spread = held.T @ held
-    slope = lambda y: int(np.clip(round(32 * float(spread[1, y]) / max(1e-9, float(spread[1, 1]))), -127, 127)) & 255
+    slope = lambda y: max(-127, min(127, round(32 * float(spread[1, y]) / max(1e-9, float(spread[1, 1]))))) & 255
     return slope(2) | slope(0) << 8
 
 
@@ -995,31 +1116,39 @@ def compact(px: np.ndarray, width: int) -> bytes:
     """One WebP file of argb pixels by the transform that leaves the least entropy, if any."""
     px = np.ascontiguousarray(px, np.uint32)
     height = len(px) // width
-    costs = {(): _bits_of(px)}
-    forms = {(): px}
-    above = px.copy()
-    above[width:] = _less(px[width:], px[:-width])
-    above[1:width] = _less(px[1:width], px[: width - 1])
-    above[0] = _less(px[:1], np.array([0xFF000000], np.uint32))[0]
-    parts = px.view(np.uint8).reshape(-1, 4).copy()
-    parts[:, 0] -= parts[:, 1]
-    parts[:, 2] -= parts[:, 1]
     element = _slopes(px)
-    forms |= {(PREDICTOR,): above, (SUBTRACT_GREEN,): parts.reshape(-1).view("<u4")}
+    # The channels as they are, all less the pixel before (the one above), blue and red less green, and less what they have of it.
+    planes = np.empty((12, len(px)), np.uint8)
+    planes[:4] = planes[4:8] = px.view(np.uint8).reshape(-1, 4).T
+    blue, green, red = planes[:3]
+    above = planes[4:8]
+    above[:, width:] -= planes[:4, :-width]
+    above[:, 1:width] -= planes[:4, : width - 1]
+    above[3, :1] -= 255
+    planes[8], planes[9] = blue - green, red - green
+    planes[10], planes[11] = blue - _share(element >> 8 & 255)[green], red - _share(element & 255)[green]
+    bits = _bits_of(planes).tolist()
+    costs = {(): sum(bits[:4]), (PREDICTOR,): sum(bits[4:8]) + 40, (SUBTRACT_GREEN,): bits[8] + bits[1] + bits[9] + bits[3] + 40}
     if element:
-        forms[(CROSS_COLOUR,)] = _crossed_all(px, [element], width, height, 14, -1)
-    costs |= {kind: _bits_of(np.ascontiguousarray(form)) + 40 for kind, form in forms.items() if kind}
-    few = len(set(px[:1024].tolist())) <= 256
+        costs[(CROSS_COLOUR,)] = bits[10] + bits[1] + bits[11] + bits[3] + 40
+    head = np.sort(px[:1024])
+    few = np.count_nonzero(head[1:] != head[:-1]) < 256
     colours = np.unique(px) if few else px
     if few and len(colours) <= 256:
         steps = np.concatenate([colours[:1], _less(colours[1:], colours[:-1])])
         index = np.searchsorted(colours, px)
         counts = np.bincount(index)
-        costs[(PALETTE,)] = float((counts * (np.log2(len(px)) - np.log2(counts))).sum()) + 6.0 * len(colours) + _bits_of(steps) + 48
+        costs[(PALETTE,)] = float((counts * (np.log2(len(px)) - np.log2(counts))).sum()) + 6.0 * len(colours) + float(_bits_of(steps.view(np.uint8).reshape(-1, 4).T).sum()) + 48
     kinds = min(costs, key=lambda k: (costs[k], k))
     w = _Writer()
     w.put(0x2F | (width - 1) << 8 | (height - 1) << 22 | 1 << 36, 40)
-    held, wide = forms.get(kinds, px), width
+    held, wide = px, width
+    if kinds == (PREDICTOR,):
+        held = np.ascontiguousarray(above.T).reshape(-1).view("<u4")
+    elif kinds == (SUBTRACT_GREEN,):
+        held = np.ascontiguousarray(planes[[8, 1, 9, 3]].T).reshape(-1).view("<u4")
+    elif kinds == (CROSS_COLOUR,):
+        held = _crossed_all(px, [element], width, height, 14, -1)
     for kind in kinds:
         w.put(1 | kind << 1, 3)
         if kind == PALETTE:

@@ -125,3 +125,39 @@ def test_every_column_by_brute_force(spark):
         assert (row["tail_crc32"], row["media_bytes"], row["media_sha256"]) == (zlib.crc32(whole[-64:]), len(media), hashlib.sha256(media).hexdigest())
         assert row["feature"] == bytes(int(sum(c) / len(c)) for c in columns).hex() + bytes(bands).hex()
         assert m.load(media) == whole
+
+
+def test_stored_files_stay_the_same():
+    # What the plain, one by one form of the writer made of these payloads.
+    import hashlib
+
+    rng = np.random.default_rng(10)
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, n)).encode() for n in (3, 30, 300, 3000)] + [b"", b"abc " * 900, bytes(range(256)) * 9]
+    files = b"".join(m.store(m.padded(x)) for x in texts)
+    assert hashlib.sha256(files).hexdigest() == "16726e30c35b9d2e5c7f63ec5fc4e9c28c34aa6d38ed533d0b9e5b837e86c50c"
+
+
+def test_only_slots_that_are_asked_for_are_kept(monkeypatch):
+    # A slot of the cache is brought up to date when a token asks for it, not with each pixel.
+    rng = np.random.default_rng(11)
+    colours = rng.integers(0, 2**32, 900, dtype=np.uint32)
+    px = np.concatenate([colours, np.repeat(colours[:100], 2)[rng.permutation(200)], colours[300:700]])
+    payload, written = m.padded(px.astype("<u4").tobytes()), []
+
+    class Counted(list):
+        def __setitem__(self, k, p):
+            written.append(k)
+            list.__setitem__(self, k, p)
+
+    read = m._read_tokens
+    monkeypatch.setattr(m, "_read_tokens", lambda r, codes, width, total, cache, bits: read(r, codes, width, total, Counted(cache), bits))
+    assert m.load(m.store(payload)) == payload
+    assert 0 < len(written) <= 220
+
+
+def test_a_copy_outside_the_image_is_an_error():
+    with pytest.raises(ValueError):
+        m._placed(np.array([5]), [(0, 3, 121)], 16, 4, [], 0)
+    with pytest.raises(ValueError):
+        m._placed(np.array([5, -1]), [(1, 9, 121)], 16, 4, [0, 0], 1)
