@@ -72,19 +72,25 @@ def matches(docs: DataFrame, gram: int, window: int) -> DataFrame:
     return docs.mapInPandas(run, "fp bigint, around bigint, doc_id bigint, mark bigint, s bigint")
 
 
-def later_runs(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
+def later_runs(docs: DataFrame, gram: int = 2, window: int = 2, written: bool = True) -> DataFrame:
     """doc_id, mark, starts and n_starts: the first lines (counted over units) of the runs that occur earlier, and how many.
 
     docs: doc_id, mark, text. The mark tells rows with one doc_id (or none) and different texts apart.
-    Positions meet by fingerprint and equal sides in one sort over all partitions, which splits frequent lines. They are
-    shuffled once before it (sampled for the bounds of the sort, then read) and not written as a table: for each file an
-    executor starts processes, and while one starts all memory of the JVM is seen twice."""
+    Positions meet by fingerprint and equal sides in one sort over all partitions, which splits frequent lines. Before it
+    (sampled for the bounds of the sort, then read) they are written, or shuffled once more: that takes more memory, but an
+    executor starts processes for each file it writes, and while one starts all memory of the JVM is seen twice."""
     path = scratch_path(docs.sparkSession, "line-later")
-    places = matches(docs, gram, window).hint("rebalance")
+    places = matches(docs, gram, window)
+    if written:
+        places.write.option("compression", "zstd").parquet(path + "-matches")
+        places = docs.sparkSession.read.parquet(path + "-matches")
+    else:
+        places = places.hint("rebalance", "doc_id", "s")
     later = repeats(places, ["fp", "around"], ["doc_id", "mark", "s"], path, later_only=True)
     starts = later.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.col("s").cast("int"))).alias("starts"))
     starts = durable(starts.withColumn("n_starts", F.size("starts")))
-    remove_path(docs.sparkSession, path)
+    for done in [path] + [path + "-matches"] * written:
+        remove_path(docs.sparkSession, done)
     return starts
 
 
@@ -99,11 +105,11 @@ def cut(text: str | None, starts, length: int) -> tuple[str | None, int, int]:
     return kept.decode("utf-8", "surrogatepass"), len(held), len(gone)
 
 
-def deduplicate(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "doc_id", text_col: str = "text", written: bool = True) -> DataFrame:
     """`row`, all columns of docs as a struct, and `lines`: struct<text, n_lines, n_removed>."""
     key = whole_id(id_col).alias("doc_id"), text_mark(text_col)
     texts = docs.select(*key, F.col(text_col).alias("text"))
-    side = later_runs(texts, gram, window)
+    side = later_runs(texts, gram, window, written)
     length = gram + window - 1
     keyed = docs.select(*key, F.struct(*docs.columns).alias("row"))
 
@@ -117,5 +123,5 @@ def deduplicate(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "
 
 def report(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of the remaining text (null: empty)."""
-    out = deduplicate(docs.select("doc_id", "text"), gram, window)
+    out = deduplicate(docs.select("doc_id", "text"), gram, window, written=False)
     return out.select("row.doc_id", "lines.n_lines", "lines.n_removed", F.sha2(F.coalesce("lines.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -57,6 +57,6 @@ def test_only_what_is_read_twice_is_written(spark, monkeypatch):
     monkeypatch.setattr(m, "durable", lambda df: cuts.append(1) or durable(df))
     monkeypatch.setattr(m, "remove_path", lambda s, path: gone.append(path) or remove_path(s, path))
     docs = spark.createDataFrame([(n, "a\nb\nc\nd" + "\ne" * n) for n in range(6)], "doc_id long, text string")
-    removed = {r["row"]["doc_id"]: r["lines"]["n_removed"] for r in m.deduplicate(docs).collect()}
+    removed = {r["doc_id"]: r["n_removed"] for r in m.report(docs).collect()}
     assert removed == {0: 0, 1: 4, 2: 5, 3: 6, 4: 8, 5: 9}
     assert len(cuts) == 1 and len(gone) == 1
