@@ -59,30 +59,41 @@ def _mirror() -> np.ndarray:
 @lru_cache(maxsize=17)
 def _mirrored(bits: int) -> np.ndarray:
     """The numbers of so many bits, each with its bits in reverse."""
-    return _mirror()[np.arange(1 << bits) << (16 - bits)]
+    return _mirror()[np.arange(1 << bits) << (16 - bits)].astype(np.int64)
 
 
-def _words(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol its word, first bit lowest, and the number of bits; a lone symbol takes no bits."""
-    words, sizes = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.int64)
-    used = np.flatnonzero(lengths)
+@lru_cache(maxsize=1)
+def _mirror_list() -> list[int]:
+    return _mirror().tolist()
+
+
+def _in_order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a code in order of their words, and the lengths of these."""
+    used = lengths.nonzero()[0]
+    n = lengths[used]
+    order = n.argsort(kind="stable")
+    return used[order], n[order].astype(np.int64)
+
+
+def _words(lengths: np.ndarray) -> np.ndarray:
+    """For each symbol its word, first bit lowest, and above 16 bits the number of its bits; a lone symbol takes none."""
+    words = np.zeros(len(lengths), np.int64)
+    used, n = _in_order(lengths)
     if len(used) > 1:
-        used = used[np.argsort(lengths[used], kind="stable")]
-        n = lengths[used]
         share = np.int64(1) << (15 - n)
-        words[used] = _mirror()[(np.cumsum(share) - share) >> (15 - n)] >> (16 - n)
-        sizes[used] = n
-    return words, sizes
+        words[used] = _mirror()[(share.cumsum() - share) >> (15 - n)] >> (16 - n) | n << 16
+    return words
 
 
-def _canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
+def _canonical(lengths) -> dict[int, tuple[int, int]]:
     """Symbol -> (word with its first bit lowest, number of bits); a lone symbol takes no bits."""
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    used = sorted([n << 16 | s for s, n in enumerate(lengths) if n])
     if len(used) == 1:
-        return {used[0][1]: (0, 0)}
-    out, word = {}, 0
-    for n, s in used:
-        out[s] = (int(f"{word >> 15 - n:0{n}b}"[::-1], 2), n)
+        return {used[0] & 0xFFFF: (0, 0)}
+    out, word, mirror = {}, 0, _mirror_list()
+    for held in used:
+        n = held >> 16
+        out[held & 0xFFFF] = (mirror[word << 1], n)
         word += 1 << 15 - n
     return out
 
@@ -237,15 +248,15 @@ class _Code:
     """A prefix code; its table is made only when single symbols are read."""
 
     def __init__(self, lengths):
-        self.lengths = np.asarray(lengths, np.int64)
-        self.used = np.flatnonzero(self.lengths)
-        if not len(self.used):
+        self.lengths = np.asarray(lengths, np.uint8)
+        often = np.bincount(self.lengths).tolist()  # how many words there are of each length
+        words = len(self.lengths) - often[0]
+        if not words:
             raise ValueError("a prefix code has no symbol")
-        sizes = self.lengths[self.used]
-        self.widest = int(sizes.max()) if len(self.used) > 1 else 0
-        if self.widest and (1 << (self.widest - sizes)).sum() != 1 << self.widest:
+        self.widest = len(often) - 1 if words > 1 else 0
+        if self.widest and sum([c << self.widest - n for n, c in enumerate(often) if n]) != 1 << self.widest:
             raise ValueError("a prefix code is not complete")
-        self.table = self.entries = self.bits = None
+        self.table = self.words = self.entries = self.bits = None
 
     def look(self) -> list[int]:
         """For the next bits the symbol, in sixteenths, and the length of its word."""
@@ -253,26 +264,37 @@ class _Code:
             self.table = self.looked().tolist()
         return self.table
 
+    def known(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols in order of their words, the lengths of these, and of how many next bits each is the begin."""
+        if self.words is None:
+            used, n = _in_order(self.lengths)
+            n = n if self.widest else np.zeros(1, np.int64)
+            self.words = used, n, 1 << (self.widest - n)
+        return self.words
+
+    def by_bits(self, of_words: np.ndarray, width: int) -> np.ndarray:
+        """What is given for each word, for each value of the next `width` bits (`widest` at least)."""
+        found = of_words.repeat(self.known()[2]).take(_mirrored(self.widest))
+        return np.tile(found, 1 << width - self.widest) if width > self.widest else found
+
     def looked(self) -> np.ndarray:
-        """The same as an array."""
+        """`look` as an array."""
         if self.entries is None:
-            # in order of the words, each as often as its bits leave room, then by mirrored index
-            used = self.used[np.argsort(self.lengths[self.used], kind="stable")]
-            n = self.lengths[used] if self.widest else np.zeros(1, np.int64)
-            self.entries = np.repeat(used << 4 | n, 1 << (self.widest - n))[_mirrored(self.widest)]
+            used, n, _ = self.known()
+            self.entries = self.by_bits(used << 4 | n, self.widest)
         return self.entries
 
-    def spans(self) -> np.ndarray:
-        """For the next bits the length of the word alone."""
-        if self.bits is None:
-            self.bits = self.looked() & 15
+    def spans(self, width: int) -> np.ndarray:
+        """For the next `width` bits the length of the word alone."""
+        if self.bits is None or len(self.bits) != 1 << width:
+            self.bits = self.by_bits(self.known()[1], width)
         return self.bits
 
-    def steps(self) -> tuple[np.ndarray, np.ndarray]:
-        """For the next bits, in a code of green: the length of the word, STOP if it begins a copy, and whether it is a colour."""
-        entries = self.looked()
-        colour = entries < 4096
-        return np.where(colour | (entries >= 4480), entries & 15, STOP), colour
+    def steps(self, width: int, slot: int) -> np.ndarray:
+        """For the next `width` bits, in a code of green: the length of the word for a colour, `slot` more for a slot of
+        the cache, STOP for what begins a copy."""
+        used, n, _ = self.known()
+        return self.by_bits(np.where(used < 256, n, np.where(used < 280, STOP, n + slot)), width)
 
     def read(self, reader: _Reader) -> int:
         found = self.look()[reader.peek() & ((1 << self.widest) - 1)]
@@ -281,8 +303,9 @@ class _Code:
 
     def even(self, below: int = 256) -> np.ndarray | None:
         """The symbols in order of their words if all words have `widest` bits and all are under `below`."""
-        if len(self.used) == 1 << self.widest and self.used[-1] < below:
-            return self.used.astype(np.uint8)
+        used = self.lengths.nonzero()[0]
+        if len(used) == 1 << self.widest and used[-1] < below:
+            return used.astype(np.uint8)
         return None
 
 
@@ -291,54 +314,73 @@ def _code(lengths: bytes) -> _Code:
     return _Code(np.frombuffer(lengths, np.uint8))
 
 
+@lru_cache(maxsize=4096)
+def _length_words(outer: bytes) -> dict[int, tuple[int, int]]:
+    return _canonical(outer)
+
+
+@lru_cache(maxsize=4096)
+def _length_table(outer: bytes) -> tuple[list[tuple[int, int]], int]:
+    """For the next bits the code of a length and the number of its bits, and how many bits are looked at."""
+    used = [n for n in outer if n]
+    if not used:
+        raise ValueError("a prefix code has no symbol")
+    if len(used) > 1 and sum([1 << 7 - n for n in used]) != 1 << 7:
+        raise ValueError("a prefix code is not complete")
+    words = _length_words(outer)
+    widest = max(used) if len(used) > 1 else 0
+    table = [(0, 0)] * (1 << widest)
+    for symbol, (word, n) in words.items():
+        table[word :: 1 << n] = [(symbol, n)] * (1 << widest - n)
+    return table, widest
+
+
 def _read_code(r: _Reader, alphabet: int) -> _Code:
-    lengths = [0] * alphabet
     if r.bits(1):
+        lengths = [0] * alphabet
         two, wide = r.bits(1), r.bits(1)
         symbols = [r.bits(8 if wide else 1)] + ([r.bits(8)] if two else [])
         for s in symbols:
             lengths[s] = 1
         return _code(bytes(lengths))
-    outer = bytearray(19)
-    count = 4 + r.bits(4)
-    ahead = r.bits(3 * count)
+    outer, head = bytearray(19), r.ahead(62)  # all up to the bit that tells whether their number is given
+    count = 4 + (head & 15)
     for n in range(count):
-        outer[CODE_LENGTH_ORDER[n]] = ahead >> 3 * n & 7
-    code, left = _code(bytes(outer)), alphabet
-    if r.bits(1):
+        outer[CODE_LENGTH_ORDER[n]] = head >> 4 + 3 * n & 7
+    r.at += 5 + 3 * count
+    (table, widest), left = _length_table(bytes(outer)), alphabet
+    if head >> 4 + 3 * count & 1:
         left = 2 + r.bits(2 + 2 * r.bits(3))
-    if left == alphabet and (kinds := code.even(16)) is not None and code.widest <= 1:  # all at once: no repeats
-        if not code.widest:
-            return _code(np.full(alphabet, kinds[0], np.uint8).tobytes())
+    if left == alphabet and widest <= 1 and max(table)[0] < 16:  # all at once: no repeats
+        if not widest:
+            return _code(bytes([table[0][0]]) * alphabet)
         raw = np.frombuffer(r.data, np.uint8)[r.at >> 3 : (r.at + alphabet + 7 >> 3) + 1]
         bits = np.unpackbits(raw, bitorder="little")[r.at & 7 :][:alphabet]
         r.at += alphabet
-        return _code(kinds[bits].tobytes())
-    at, before, table, mask = 0, 8, code.look(), (1 << code.widest) - 1
+        return _code(np.array([table[0][0], table[1][0]], np.uint8)[bits].tobytes())
+    mask, lengths = (1 << widest) - 1, bytearray()
+    add = lengths.append
     byte, have = (r.at >> 3) + 32, 256 - (r.at & 7)
     held = int.from_bytes(r.data[byte - 32 : byte], "little") >> (r.at & 7)
-    while at < alphabet and left:
+    for _ in range(left):
         if have < 16:
             held |= int.from_bytes(r.data[byte : byte + 32], "little") << have
             byte, have = byte + 32, have + 256
-        left -= 1
-        found = table[held & mask]
-        symbol, n = found >> 4, found & 15
+        symbol, n = table[held & mask]
         held >>= n
         have -= n
         if symbol < 16:
-            lengths[at] = symbol
-            before, at = symbol or before, at + 1
-            continue
-        more, extra, value = ((3, 2, before), (3, 3, 0), (11, 7, 0))[symbol - 16]
-        count = more + (held & ((1 << extra) - 1))
-        held >>= extra
-        have -= extra
-        if value:
-            lengths[at : at + count] = [value] * count
-        at += count
+            add(symbol)
+        else:
+            more, extra = ((3, 2), (3, 3), (11, 7))[symbol - 16]
+            again = lengths.rstrip(b"\0")[-1:] or b"\x08" if symbol == 16 else b"\0"
+            lengths += again * (more + (held & ((1 << extra) - 1)))
+            held >>= extra
+            have -= extra
+        if len(lengths) >= alphabet:
+            break
     r.at = 8 * byte - have
-    return _code(bytes(lengths[:alphabet]))
+    return _code(bytes(lengths[:alphabet]).ljust(alphabet, b"\0"))
 
 
 def _read_codes(r: _Reader, slots: int) -> list[_Code]:
@@ -415,16 +457,15 @@ def _copied(px: list[int], length: int, code: int, width: int, total: int) -> li
 
 #: So many bits of the stream are looked up at once; a token takes under 64.
 STRETCH = 1 << 14
-_EIGHT = np.arange(8)
 _PLACES = np.arange(STRETCH + 256)
+_SHIFTS = _PLACES & 7
 
 
 def _read_tokens(r: _Reader, codes: list[_Code], width: int, total: int, cache: list[int], cache_bits: int) -> np.ndarray:
     """The pixels of one code group. For each bit of a stretch it is looked up where a token that begins there
     ends; only the walk from one token to the next is a loop."""
     green, red, blue, alpha, distance = codes
-    masks = {c: (1 << c.widest) - 1 for c in codes}
-    green_steps, colour = green.steps()
+    masks, widest = {c: (1 << c.widest) - 1 for c in codes}, max(c.widest for c in codes[:4])
     values, copies, have, held = [], [], 0, 0  # held: tokens that are no copies
     while have < total:
         base, first = r.at >> 3, r.at & 7
@@ -433,16 +474,21 @@ def _read_tokens(r: _Reader, codes: list[_Code], width: int, total: int, cache:
             raise ValueError("the stream ends within the image")
         raw = np.frombuffer(r.data, np.uint8, (limit + 7 >> 3) + 12, base).astype(np.int64)
         four = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-        seen = (four[:, None] >> _EIGHT).reshape(-1)
-        after = {c: c.spans().take(seen & masks[c]) for c in {red, blue, alpha}}
+        seen = four.repeat(8)
+        n = len(seen)
+        places = _PLACES[:n]
+        seen >>= _SHIFTS[:n]
+        seen &= (1 << widest) - 1
+        after = {c: c.spans(widest).take(seen) for c in {red, blue, alpha}}
         for step in after.values():
-            step += _PLACES[: len(seen)]
-        at_green = seen & masks[green]
-        in_red = green_steps.take(at_green)
-        in_red += _PLACES[: len(seen)]
-        in_blue = after[red].take(in_red, mode="clip")
-        in_alpha = after[blue].take(in_blue, mode="clip")
-        jump = np.where(colour.take(at_green), after[alpha].take(in_alpha, mode="clip"), in_red)
+            step += places
+        # Where a token ends whose green word ends at a place, if it is a colour; then the places themselves, for slots; then STOP, for copies.
+        ends = np.empty(2 * n + 1, np.int64)
+        after[alpha].take(after[blue].take(after[red], mode="clip"), out=ends[:n], mode="clip")
+        ends[n:-1], ends[-1] = places, STOP
+        in_red = green.steps(widest, n).take(seen)
+        in_red += places
+        jump = ends.take(in_red, mode="clip")
         walk, pos, onward = [], first, memoryview(jump)
         while have < total and pos < limit:
             begin = len(walk)
@@ -462,7 +508,7 @@ def _read_tokens(r: _Reader, codes: list[_Code], width: int, total: int, cache:
             pos = onward[walk[-1]]
             if have < total and pos >= STOP:
                 del walk[-1]
-                entry = int(green.looked()[at_green[last]])
+                entry = int(green.looked()[seen[last] & masks[green]])
                 r.at = 8 * base + last + (entry & 15)
                 length = _amount(r, (entry >> 4) - 256)
                 entry = int(distance.looked()[r.peek() & masks[distance]])
@@ -472,28 +518,27 @@ def _read_tokens(r: _Reader, codes: list[_Code], width: int, total: int, cache:
         r.at = 8 * base + pos
         held += len(walk)
         walk = np.frombuffer(array("q", walk), np.int64)
-        kind = green.looked().take(at_green[walk]) >> 4
+        kind = green.looked().take(seen.take(walk) & masks[green]) >> 4
         argb = kind << 8
-        if red is blue is alpha:  # one look-up for all
-            at = np.concatenate([in_red[walk], in_blue[walk], in_alpha[walk]])
-            symbols = (red.looked().take(seen.take(at, mode="clip") & masks[red]) >> 4).reshape(3, -1)
-            argb |= symbols[0] << 16 | symbols[1] | symbols[2] << 24
-        else:
-            for c, at, k in ((alpha, in_alpha, 24), (red, in_red, 16), (blue, in_blue, 0)):
-                argb |= c.looked().take(seen.take(at[walk], mode="clip") & masks[c]) >> 4 << k
-        values.append(np.where(kind < 256, argb, 279 - kind))
+        at = in_red.take(walk)
+        for c, k in ((red, 16), (blue, 0), (alpha, 24)):
+            found = c.looked().take(seen.take(at, mode="clip") & masks[c])
+            argb |= found >> 4 << k
+            at += found & 15
+        values.append(np.where(kind < 256, argb, 279 - kind) if cache else argb)
     return _placed(values[0] if len(values) == 1 else np.concatenate(values), copies, width, total, cache, cache_bits)
 
 
 def _placed(value: np.ndarray, copies: list[tuple[int, int, int]], width: int, total: int, cache: list[int], cache_bits: int) -> np.ndarray:
     """The pixels of tokens: a colour or a slot of the cache (-1 - slot), and copies as (tokens before it, length,
     distance code). A slot of the cache is brought up to date when it is asked for: with the last pixel of that slot."""
-    hits = np.flatnonzero(value < 0)
+    hits = (value < 0).nonzero()[0] if cache else value[:0]
     if not len(hits) and not copies:
         return value.astype(np.uint32)
-    values, px, done, asked = value.tolist(), [], 0, iter(())
+    values, px, done, ats, lasts, marks = value.tolist(), [], 0, [], [], []
     if len(hits):
-        slots = np.where(value < 0, -1 - value, (value.astype(np.uint32) * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
+        slots = (value.astype(np.uint32) * np.uint32(0x1E35A7BD) >> np.uint32(32 - cache_bits)).astype(np.uint16)
+        slots[hits] = -1 - value[hits]
         at = hits
         if copies:
             of, end = np.empty(total, np.uint16), 0
@@ -507,24 +552,28 @@ def _placed(value: np.ndarray, copies: list[tuple[int, int, int]], width: int, t
                 end += length
             of[end:] = slots[done:]
             slots, done = of, 0
+            starts = [n for n, _, _ in copies]
+            marks = hits.searchsorted(starts).tolist()
             added = np.cumsum([0] + [length for _, length, _ in copies])
-            at = hits + added[np.searchsorted([n for n, _, _ in copies], hits, side="right")]
-        order = np.argsort(slots, kind="stable")
-        same = np.flatnonzero(slots[order[1:]] == slots[order[:-1]])
-        before = np.full(len(slots), -1)
-        before[order[same + 1]] = order[same]
-        asked = zip(hits.tolist(), at.tolist(), before[at].tolist())
-    hit = next(asked, None)
-    for n, length, far in [*copies, (len(values), 0, 0)]:
+            at = hits + added.take(np.searchsorted(starts, hits, side="right"))
+        order = slots.argsort(kind="stable")
+        ranked = slots.take(order)
+        again = np.empty(len(slots), bool)  # the place before it in order has the same slot
+        again[0] = False
+        np.equal(ranked[1:], ranked[:-1], out=again[1:])
+        before = np.empty(len(slots), np.int64)
+        before[order[1:]] = order[:-1]
+        before[order[~again]] = -1
+        ats, lasts = at.tolist(), before.take(at).tolist()
+    marks = [0, *marks, len(ats)] if ats else [0] * (len(copies) + 2)
+    for n, length, far, begin, end in zip(*zip(*copies, (len(values), 0, 0)), marks, marks[1:]):
         px += values[done:n]
         done = n
-        while hit and hit[0] < n:
-            _, at, last = hit
+        for at, last in zip(ats[begin:end], lasts[begin:end]):
             slot = -1 - px[at]
             if last >= 0:
                 cache[slot] = px[last]
             px[at] = cache[slot]
-            hit = next(asked, None)
         if length:
             px += _copied(px, length, far, width, total)
     if len(px) != total:
@@ -637,18 +686,23 @@ def decode(data: bytes) -> list[tuple[int, int, np.ndarray]]:
 
 def _spread(value: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bits of all values (of so many bits each, 64 at most), the lowest first."""
-    keep = np.flatnonzero(size)
+    keep = size.nonzero()[0]
     if not len(keep):
         return np.empty(0, np.uint8)
     value, size = value[keep], size[keep]
-    ends = np.cumsum(size)
-    word, shift = ends - size >> 6, (ends - size & 63).astype(np.uint64)
-    first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])  # each word but the last has a value that begins in it
-    last = np.append(first[1:], len(word)) - 1  # and only the last one of them goes on in the next word
-    held = np.zeros(int(word[-1]) + 2, np.uint64)
-    held[word[first]] = np.bitwise_or.reduceat(value << shift, first)
-    held[word[last] + 1] |= value[last] >> np.uint64(1) >> np.uint64(63) - shift[last]
-    return np.unpackbits(held.view(np.uint8), count=int(ends[-1]), bitorder="little")
+    begins = size.cumsum()
+    total = int(begins[-1])
+    begins -= size
+    word, shift = begins >> 6, (begins & 63).view(np.uint64)
+    first = np.zeros(int(word[-1]) + 1, np.int64)  # each word but the last has a value that begins in it
+    change = (word[1:] != word[:-1]).nonzero()[0]
+    first[1:] = change + 1
+    last = np.empty_like(first)  # and only the last one of them goes on in the next word
+    last[:-1], last[-1] = change, len(word) - 1
+    held = np.zeros(len(first) + 1, np.uint64)
+    held[:-1] = np.bitwise_or.reduceat(value << shift, first)
+    held[1:] |= value[last] >> np.uint64(1) >> np.uint64(63) - shift[last]
+    return np.unpackbits(held.view(np.uint8), count=total, bitorder="little")
 
 
 class _Writer:
@@ -687,8 +741,8 @@ class _Writer:
 
 def _write_lengths(w: _Writer, lengths) -> None:
     """A prefix code: the simple form for one or two bytes, else each length by a code of its own."""
-    lengths = np.asarray(lengths, np.int64)
-    used = np.flatnonzero(lengths).tolist() or [0]
+    lengths = np.asarray(lengths)
+    used = lengths.nonzero()[0].tolist() or [0]
     if len(used) <= 2 and used[-1] < 256:
         w.put(1 | (len(used) - 1) << 1 | 4, 3)
         for s in used:
@@ -746,24 +800,31 @@ def _write_even(w: _Writer, px: np.ndarray) -> None:
 def _depths(weight: list[int]) -> list[int]:
     """Code lengths of two symbols or more in order of their counts: they and the nodes made of them are two
     queues, of whose heads the two lightest are joined."""
-    size = len(weight)
-    weight = weight + [0] * (size - 1)
-    parent = [0] * (2 * size - 1)
-    leaf, node = 0, size
-    for new in range(size, 2 * size - 1):
-        total = 0
-        for _ in (0, 1):
-            if leaf < size and (node >= new or weight[leaf] <= weight[node]):
-                pick, leaf = leaf, leaf + 1
-            else:
-                pick, node = node, node + 1
-            total += weight[pick]
-            parent[pick] = new
-        weight[new] = total
-    depth = [0] * (2 * size - 1)
-    for n in range(2 * size - 3, -1, -1):
-        depth[n] = depth[parent[n]] + 1
-    return depth[:size]
+    size, none = len(weight), 1 << 62
+    leaves, nodes, parent = [*weight, none], [none] * size, [0] * (2 * size - 1)
+    leaf = node = 0
+    for new in range(size - 1):
+        if (one := leaves[leaf]) <= (other := nodes[node]):
+            parent[leaf] = new
+            leaf += 1
+            total = one
+        else:
+            parent[size + node] = new
+            node += 1
+            total = other
+        if (one := leaves[leaf]) <= (other := nodes[node]):
+            parent[leaf] = new
+            leaf += 1
+            total += one
+        else:
+            parent[size + node] = new
+            node += 1
+            total += other
+        nodes[new] = total
+    depth = [0] * (size - 1)
+    for n in range(size - 3, -1, -1):
+        depth[n] = depth[parent[size + n]] + 1
+    return [depth[n] + 1 for n in parent[:size]]
 
 
 def _huffman(counts: list[int]) -> list[int]:
@@ -901,7 +962,7 @@ LONGEST = 12
 
 def _code_lengths(counts: np.ndarray) -> np.ndarray:
     """Huffman lengths of at most LONGEST bits."""
-    used, lengths = np.flatnonzero(counts), np.zeros(len(counts), np.uint8)
+    used, lengths = counts.nonzero()[0], np.zeros(len(counts), np.uint8)
     if len(used) <= 1:
         lengths[used[0] if len(used) else 0] = 1
         return lengths
@@ -942,12 +1003,19 @@ def _put_lengths(w: _Writer, lengths: np.ndarray) -> None:
     if len(raw) - raw.count(0) <= 2 and not any(raw[256:]):
         _write_lengths(w, lengths)
         return
-    cut = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(raw)]
-    symbols, before = [], 8
-    for begin, end in zip(cut, cut[1:]):
-        value = raw[begin]
-        symbols += _run_symbols(value, end - begin, value == before)
-        before = value or before
+    cut = (lengths[1:] != lengths[:-1]).nonzero()[0].tolist()
+    symbols, before, begin = [], 8, 0
+    for end in cut:
+        value = raw[end]
+        end += 1
+        if (run := end - begin) < 3:
+            symbols.append(value)
+            if run == 2:
+                symbols.append(value)
+        else:
+            symbols += _run_symbols(value, run, value == before)
+        before, begin = value or before, end
+    symbols += _run_symbols(raw[-1], len(raw) - begin, raw[-1] == before)
     counts, often = [0] * 19, Counter(symbols)  # of symbols with their extra bits above them
     for s, n in often.items():
         counts[s & 31] += n
@@ -960,18 +1028,25 @@ def _put_lengths(w: _Writer, lengths: np.ndarray) -> None:
     for at, n in enumerate(order):
         head |= n << 5 + 3 * at
     w.put(head, 6 + 3 * len(order))
-    words = _canonical(outer)
+    words = _length_words(bytes(outer))
     spelt = {}  # as digits, the last bit first
     for s in often:
         word, n = words[s & 31]
-        word |= s >> 5 << n
-        n += _EXTRA[s & 31]
-        spelt[s] = f"{word:0{n}b}" if n else ""
+        if s > 15:
+            word |= s >> 5 << n
+            n += _EXTRA[s & 31]
+        spelt[s] = _DIGITS[n][word] if n < 8 else f"{word:0{n}b}"
     symbols.reverse()
-    digits = "".join(map(spelt.__getitem__, symbols))
+    digits = "".join([spelt[s] for s in symbols])
     w.put(int(digits or "0", 2), len(digits))
 
 
+#: The numbers of so many bits as digits.
+_DIGITS = [[""], *([f"{word:0{n}b}" for word in range(1 << n)] for n in range(1, 8))]
+
+#: The lengths of a code of distances that is never asked.
+_LONE = np.array([1] + [0] * 39, np.uint8)
+
 #: Extra bits after each code of a code length.
 _EXTRA = [0] * 16 + [2, 3, 7]
 
@@ -988,13 +1063,19 @@ def _copies(px: np.ndarray, least: int = 3) -> list[tuple[int, int, int]]:
     n = len(px) - least + 1
     if n < 2:
         return []
-    key = px[:n].astype(np.uint64)
+    long = px.astype(np.uint64)
+    spread, key = long * np.uint64(0xC2B2AE3D27D4EB4F), long[:n]
     for k in range(1, least):
-        key = key * np.uint64(0x9E3779B97F4A7C15) ^ px[k : n + k].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        key = key * np.uint64(0x9E3779B97F4A7C15)
+        key ^= spread[k : n + k]
     # Sorted by the upper bits of the keys, with the place in the lower ones.
     low = np.uint64(n.bit_length())
-    held = np.sort(key >> low << low | np.arange(n, dtype=np.uint64))
-    again = np.flatnonzero((held[1:] ^ held[:-1]) >> low == 0)
+    key >>= low
+    key <<= low
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    held = key
+    again = ((held[1:] ^ held[:-1]) >> low == 0).nonzero()[0]
     if not len(again):
         return []
     held &= np.uint64((1 << int(low)) - 1)
@@ -1011,11 +1092,12 @@ def _copies(px: np.ndarray, least: int = 3) -> list[tuple[int, int, int]]:
     at = at[alike]
     if not len(at):
         return []
-    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(back[at]) != 0))
-    first, last = at[np.concatenate([[0], cut + 1])].tolist(), at[np.concatenate([cut, [len(at) - 1]])].tolist()
+    far = back[at]
+    cut = ((at[1:] - at[:-1] != 1) | (far[1:] != far[:-1])).nonzero()[0]
+    begins, ends = [int(at[0]), *at[cut + 1].tolist()], [*at[cut].tolist(), int(at[-1])]
     out, free = [], 0
-    for begin, end in zip(first, last):
-        distance, begin, stop = int(back[begin]), max(begin, free), end + least
+    for begin, end, distance in zip(begins, ends, [int(far[0]), *far[cut + 1].tolist()]):
+        begin, stop = max(begin, free), end + least
         while stop - begin >= least:
             length = min(stop - begin, 4096)
             out.append((begin, length, distance))
@@ -1036,80 +1118,95 @@ def _cached(px: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def _put_pixels(w: _Writer, px: np.ndarray, width: int, top: bool) -> None:
     """Pixels by Huffman codes; the main image (top) with back-references and a colour cache."""
     copies = _copies(px) if top else []
-    alone = np.ones(len(px), bool)
+    alone, free = np.ones(len(px), bool), len(px)
     for begin, length, _ in copies:
         alone[begin : begin + length] = False
-    bits = min(10, max(1, int(alone.sum()).bit_length() - 3)) if top else 0
+        free -= length
+    bits = min(10, max(1, free.bit_length() - 3)) if top else 0
     slot, hit = _cached(px, bits) if bits else (None, np.zeros(len(px), bool))
     hit &= alone
-    if not hit.any():
+    asked = hit.nonzero()[0]
+    if not len(asked):
         bits = 0
-    w.put(bool(bits), 1)
-    if bits:
-        w.put(bits, 4)
+    w.put(bool(bits) | bits << 1, 5 if bits else 1)
     if top:
         w.put(0, 1)
-    plain = np.flatnonzero(alone & ~hit)
-    channels = px[plain].view(np.uint8).reshape(-1, 4).T[[1, 2, 0, 3]].astype(np.int64)
-    short = _short(width)
-    lengths = [_prefixed(length) for _, length, _ in copies]
-    distances = [_prefixed(short.get(back, back + 120)) for _, _, back in copies]
-    counts = [np.bincount(c, minlength=256) for c in channels]
-    more = np.bincount(slot[hit], minlength=1 << bits) if bits else np.empty(0, np.int64)
-    counts[0] = np.concatenate([counts[0], np.bincount([s for s, _, _ in lengths], minlength=24) if copies else np.zeros(24, np.int64), more])
-    counts.append(np.bincount([s for s, _, _ in distances], minlength=40) if copies else np.zeros(40, np.int64))
-    pooled = _code_lengths(counts[1] + counts[2] + counts[3])  # red, blue and alpha are alike in bytes of text
+    alone ^= hit
+    plain = alone.nonzero()[0]
+    channels = np.empty((4, len(plain)), np.int64)
+    for k, channel in zip((2, 0, 1, 3), px[plain].view(np.uint8).reshape(-1, 4).T):
+        channels[k] = channel
+    greens = np.zeros(280 + (1 << bits if bits else 0), np.int64)
+    greens[:256] = np.bincount(channels[0], minlength=256)
+    far = None
+    if copies:
+        short = _short(width)
+        lengths = [_prefixed(length) for _, length, _ in copies]
+        distances = [_prefixed(short.get(back, back + 120)) for _, _, back in copies]
+        greens[256:280] = np.bincount([s for s, _, _ in lengths], minlength=24)
+        far = np.bincount([s for s, _, _ in distances], minlength=40)
+    if bits:
+        of = slot[asked]
+        greens[280:] = np.bincount(of, minlength=1 << bits)
+    pooled = np.bincount(channels[1:].reshape(-1), minlength=256)  # red, blue and alpha are alike in bytes of text
     codes = []
-    for k, held in enumerate(counts):
-        if 1 < k < 4:
-            w.add(own)
-            codes.append(codes[1])
-            continue
-        found = pooled if k == 1 else _code_lengths(held)
+    for held, times in ((greens, 1), (pooled, 3), (far, 1))[: 3 if copies else 2]:
+        found = _code_lengths(held)
         own = _Writer()
         _put_lengths(own, found)
-        w.add(own)
-        codes.append(_words(found.astype(np.int64)))
+        for _ in range(times):
+            w.add(own)
+        codes.append(_words(found))
+    if not copies:
+        _put_lengths(w, _LONE)
     # One entry a token: what it writes (64 bits at most) and how many bits that is.
     value, size = np.zeros(len(px), np.uint64), np.zeros(len(px), np.int64)
-    whole, at = codes[0][0][channels[0]], codes[0][1][channels[0]]
-    for (words, sizes), symbols in zip(codes[1:4], channels[1:]):
-        whole |= words[symbols] << at.view(np.uint64)
-        at += sizes[symbols]
-    value[plain], size[plain] = whole, at
+    found, others = codes[0].take(channels[0]), codes[1].take(channels[1:])
+    whole, at = found & 0xFFFF, found >> 16
+    words, sizes = others & 0xFFFF, others >> 16
+    for k in range(3):
+        whole |= words[k] << at
+        at += sizes[k]
+    value[plain], size[plain] = whole.view(np.uint64), at
     if bits:
-        value[hit], size[hit] = codes[0][0][280 + slot[hit]], codes[0][1][280 + slot[hit]]
-    for (begin, _, _), (s, n, v), (t, m, u) in zip(copies, lengths, distances):
-        whole = at = 0
-        for part, count in ((int(codes[0][0][256 + s]), int(codes[0][1][256 + s])), (v, n), (int(codes[4][0][t]), int(codes[4][1][t])), (u, m)):
-            whole |= part << at
-            at += count
-        value[begin], size[begin] = whole, at
+        found = codes[0][280:].take(of)
+        value[asked], size[asked] = found & 0xFFFF, found >> 16
+    if copies:
+        starts, ends = codes[0][256:280].tolist(), codes[2].tolist()
+        for (begin, _, _), (s, n, v), (t, m, u) in zip(copies, lengths, distances):
+            whole = at = 0
+            for part, count in ((starts[s] & 0xFFFF, starts[s] >> 16), (v, n), (ends[t] & 0xFFFF, ends[t] >> 16), (u, m)):
+                whole |= part << at
+                at += count
+            value[begin], size[begin] = whole, at
     w.array(_spread(value, size))
 
 
 @lru_cache(maxsize=1)
 def _weighed(most: int) -> np.ndarray:
-    """n * log2(n) for n up to the most pixels."""
+    """n * log2(n) for n up to the most pixels, less the share of a symbol that occurs."""
     n = np.arange(most + 1, dtype=np.float64)
-    return n * np.log2(np.maximum(n, 1))
+    return n * np.log2(np.maximum(n, 1)) - 6.0 * (n > 0)
 
 
 def _bits_of(planes: np.ndarray) -> np.ndarray:
     """For each row of bytes the bits that they take by their entropy, with a share for each symbol of the code."""
     k, n = planes.shape
-    counts = np.bincount((planes + np.arange(0, 256 * k, 256)[:, None]).reshape(-1), minlength=256 * k).reshape(k, 256)
+    counts = np.bincount(np.add(planes, _ROWS[:k], dtype=np.int64).reshape(-1), minlength=256 * k).reshape(k, 256)
     weighed = _weighed(max(n, WIDTH * MAX_HEIGHT))
-    return weighed[n] - weighed.take(counts).sum(axis=1) + 6.0 * (counts > 0).sum(axis=1)
+    return weighed[n] + 6.0 - np.add.reduce(weighed.take(counts), axis=1)
+
+
+_ROWS = np.arange(0, 256 * 12, 256)[:, None]
 
 
 def _slopes(px: np.ndarray) -> int:
     """The cross-colour element of an image: slopes of red and blue over green, in 32nds."""
-    held = px.view(np.int8).reshape(-1, 4).astype(np.float32)  # blue, green, red, alpha
-    held -= held.mean(axis=0)
-    spread = held.T @ held
-    slope = lambda y: max(-127, min(127, round(32 * float(spread[1, y]) / max(1e-9, float(spread[1, 1]))))) & 255
-    return slope(2) | slope(0) << 8
+    held = px.view(np.int8).reshape(-1, 4).T.astype(np.float64)  # blue, green, red, alpha; the sums are whole numbers
+    total, by_green = np.add.reduce(held, axis=1).tolist(), (held @ held[1]).tolist()
+    blue, green, red = (by_green[k] - total[k] * total[1] / len(px) for k in range(3))
+    slope = lambda y: max(-127, min(127, round(32 * y / max(1e-9, green)))) & 255
+    return slope(red) | slope(blue) << 8
 
 
 def compact(px: np.ndarray, width: int) -> bytes:
@@ -1125,16 +1222,17 @@ def compact(px: np.ndarray, width: int) -> bytes:
     above[:, width:] -= planes[:4, :-width]
     above[:, 1:width] -= planes[:4, : width - 1]
     above[3, :1] -= 255
-    planes[8], planes[9] = blue - green, red - green
-    planes[10], planes[11] = blue - _share(element >> 8 & 255)[green], red - _share(element & 255)[green]
+    np.subtract(blue, green, out=planes[8])
+    np.subtract(red, green, out=planes[9])
+    np.subtract(blue, _share(element >> 8 & 255).take(green), out=planes[10])
+    np.subtract(red, _share(element & 255).take(green), out=planes[11])
     bits = _bits_of(planes).tolist()
     costs = {(): sum(bits[:4]), (PREDICTOR,): sum(bits[4:8]) + 40, (SUBTRACT_GREEN,): bits[8] + bits[1] + bits[9] + bits[3] + 40}
     if element:
         costs[(CROSS_COLOUR,)] = bits[10] + bits[1] + bits[11] + bits[3] + 40
     head = np.sort(px[:1024])
-    few = np.count_nonzero(head[1:] != head[:-1]) < 256
-    colours = np.unique(px) if few else px
-    if few and len(colours) <= 256:
+    colours = head[1:][head[1:] != head[:-1]]  # but the least
+    if len(colours) < 256 and len(colours := np.unique(px) if len(px) > 1024 else np.append(head[:1], colours)) <= 256:
         steps = np.concatenate([colours[:1], _less(colours[1:], colours[:-1])])
         index = np.searchsorted(colours, px)
         counts = np.bincount(index)
@@ -1196,7 +1294,7 @@ def load(media: bytes) -> bytes:
 def feature(payload: bytes) -> str:
     """Sixteen column means of the pixel rows and the share of each of 16 value bands, in hex."""
     rows = np.frombuffer(payload, np.uint8)
-    means = rows.reshape(-1, 16).mean(axis=0).astype(np.uint8)
+    means = (np.add.reduce(rows.reshape(-1, 16), axis=0, dtype=np.int64) // (len(rows) >> 4)).astype(np.uint8)
     bands = np.bincount(rows >> 4, minlength=16) * 255 // len(rows)
     return means.tobytes().hex() + bands.astype(np.uint8).tobytes().hex()
 

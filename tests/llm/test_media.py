@@ -161,3 +161,25 @@ def test_a_copy_outside_the_image_is_an_error():
         m._placed(np.array([5]), [(0, 3, 121)], 16, 4, [], 0)
     with pytest.raises(ValueError):
         m._placed(np.array([5, -1]), [(1, 9, 121)], 16, 4, [0, 0], 1)
+
+
+def test_calls_of_a_short_text():
+    # Most texts are short, so what they cost is the number of calls, whatever the machine.
+    import sys
+
+    rng = np.random.default_rng(12)
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(200)]
+    payloads = [m.padded(" ".join(rng.choice(words, 250)).encode()) for _ in range(6)]
+    assert m.load(m.store(payloads[0])) == payloads[0]  # tables that are made once
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        back = [m.load(m.store(p)) for p in payloads[1:]]
+    finally:
+        sys.setprofile(None)
+    assert back == payloads[1:]
+    assert calls[0] < 5 * 1250, calls[0] / 5
