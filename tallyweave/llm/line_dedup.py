@@ -118,7 +118,9 @@ def deduplicate(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "
         let_go()
         return pd.DataFrame([cut(t, s, length) for t, s in zip(text, starts)], columns=["text", "n_lines", "n_removed"])
 
-    return attach(keyed, side, ["doc_id", "mark"], "n_starts").select("row", cut_all(F.col("row")[text_col], F.col("starts")).alias("lines"))
+    # Spark would copy it into each filter on `lines`: texts cut twice, by two workers a task, which stay for all later stages.
+    once = cut_all.asNondeterministic()
+    return attach(keyed, side, ["doc_id", "mark"], "n_starts").select("row", once(F.col("row")[text_col], F.col("starts")).alias("lines"))
 
 
 def report(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:

@@ -58,6 +58,14 @@ def test_rows_without_or_with_one_id(spark, tmp_path):
     assert sorted(r["text"] for r in clean.collect()) == sorted([*texts, rows[-1][1]]) and clean.columns == docs.columns
 
 
+def test_line_dedup_cuts_texts_once(spark):
+    """The stage filters on what the cut gives; a second cut in the filter takes a second worker for each task."""
+    docs = spark.createDataFrame([(n, "a\nb\nc", "en", "s", 5) for n in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.line_deduplication(spark, docs, "")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r["doc_id"] for r in out.collect()] == [0]
+
+
 def test_entry_names():
     import __spark_entry__ as entry
 
